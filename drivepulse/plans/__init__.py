@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "shaping_queries",
+    "health_queries",
 )
 
 
