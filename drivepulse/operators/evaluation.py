@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from drivepulse.functions.domains import CLASSES
 from drivepulse.functions.scalars import hash_word
 from drivepulse.operators.ranking import exact_quantiles
-from drivepulse.session import SMALL_TABLE_ROWS, small_rows
+from drivepulse.session import small_rows
+
+# Profiles a draw may search through, and profiles one task may hold.
+SEARCHED_PROFILES, LISTED_PROFILES = 2_000, 2_000_000
 
 TRUE, PRED = "true_label", "predicted_label"
 
@@ -207,30 +210,23 @@ def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataF
     replicates × sessions draws is made where it is summed.
     """
     spark = counts.sparkSession
-    rows = small_rows(session_profiles(counts), SMALL_TABLE_ROWS)
+    rows = small_rows(session_profiles(counts), SEARCHED_PROFILES)
     if rows is None:
         raise ValueError("too many session profiles for hashed draws; use bootstrap_multinomial")
     rows = sorted((r["d"], r["n"], r["sessions"]) for r in rows)
     total = sum(r[2] for r in rows)
     if total == 0:
         return spark.createDataFrame([], "replicate long, delta double")
-    ends, upto = [], 0
-    for d, n, c in rows:
-        ends.append((upto, upto + c, d, n))
-        upto += c
-    ranges = F.broadcast(spark.createDataFrame(ends, "lo long, hi long, d long, n long").agg(
-        F.array_sort(F.collect_list(F.struct("hi", "lo", "d", "n"))).alias("ranges")
-    ))
+    ends = np.cumsum([r[2] for r in rows]).tolist()
     draws = spark.range(0, total * replicates).select(
         F.floor(F.col("id") / total).alias("replicate"), (F.col("id") % total).alias("draw")
     )
     target = hash_word(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(total)
-    placed = draws.select("replicate", target.alias("t"))
-    # The one-row list joins without a shuffle; most sessions share few profiles.
-    looked = placed.join(ranges, F.lit(True)).select(
-        "replicate", F.filter("ranges", lambda s: (s["lo"] <= F.col("t")) & (F.col("t") < s["hi"]))[0].alias("s")
-    )
-    return looked.groupBy("replicate").agg((F.sum("s.d") / F.sum("s.n")).alias("delta"))
+    # The profile of a drawn session: how many profiles end at or before it.
+    at = F.size(F.filter(F.lit(ends), lambda end: end <= F.col("t")))
+    placed = draws.select("replicate", target.alias("t")).select("replicate", at.alias("at"))
+    d, n = (F.get(F.lit([int(r[i]) for r in rows]), F.col("at")) for i in (0, 1))
+    return placed.groupBy("replicate").agg((F.sum(d) / F.sum(n)).alias("delta"))
 
 
 def bootstrap_multinomial(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
@@ -248,7 +244,7 @@ def permutation_binomial(counts: DataFrame, replicates: int, seed: int = 42) ->
 
 def _profile_replicates(counts: DataFrame, replicates: int, seed: int, kind: str) -> DataFrame:
     spark = counts.sparkSession
-    rows = small_rows(session_profiles(counts), 2_000_000)
+    rows = small_rows(session_profiles(counts), LISTED_PROFILES)
     if rows is None:
         raise ValueError("session sizes vary too much to be listed as profiles")
     rows = sorted((r["d"], r["n"], r["sessions"]) for r in rows)
@@ -294,8 +290,7 @@ def permutation_deltas(counts: DataFrame, replicates: int, seed: int = 42) -> Da
 def permutation_p(counts: DataFrame, deltas: DataFrame) -> DataFrame:
     """Two-sided p: share of flipped differences at least as large as the observed one."""
     observed = counts.agg((F.sum(F.col("n10") - F.col("n01")) / F.sum("n")).alias("observed"))
-    # One row: joins without a shuffle.
-    return deltas.join(F.broadcast(observed), F.lit(True)).agg(
+    return deltas.withColumn("observed", observed.scalar()).agg(
         F.max("observed").alias("observed"),
         F.avg((F.abs("delta") >= F.abs("observed") - F.lit(1e-12)).cast("double")).alias("p_value"),
     )
@@ -341,11 +336,9 @@ def latency_summary(
 def balanced_weights(samples: DataFrame, label: str = "cls", classes: int | None = None) -> DataFrame:
     """n / (k · n_c) per class, from one small aggregate."""
     counts = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    total = counts.agg(F.sum("n_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    k = F.col("_k") if classes is None else F.lit(classes)
-    return counts.join(F.broadcast(total), F.lit(True)).select(
-        label, "n_c", (F.col("_n") / (k * F.col("n_c"))).alias("weight")
-    )
+    n = counts.agg(F.sum("n_c")).scalar()
+    k = counts.agg(F.count(F.lit(1))).scalar() if classes is None else F.lit(classes)
+    return counts.select(label, "n_c", (n / (k * F.col("n_c"))).alias("weight"))
 
 
 def group_inventory(samples: DataFrame, by: str, group: str, label: str, classes: Sequence[str] = CLASSES) -> DataFrame:

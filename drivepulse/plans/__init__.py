@@ -7,6 +7,9 @@ import importlib
 MODULES = (
     "shaping_queries",
     "health_queries",
+    "evaluation_queries",
+    "split_queries",
+    "index_queries",
 )
 
 
