@@ -143,21 +143,29 @@ def to_panel(df: DataFrame, target: int = CHUNK_ROWS, *, array: str = "x", out:
 
 
 def stitch_fragments(
-    fragments: DataFrame, *, recording: Sequence[str], number: str = "fragment", size: str | None = None
+    fragments: DataFrame, *, recording: Sequence[str], number: str = "fragment", size: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Runs of consecutive fragment numbers: (recording, run, first, last, fragments[, rows])."""
-    order = Window.partitionBy(*recording).orderBy(number)
-    broken = F.when(F.col(number) - F.lag(number).over(order) == 1, 0).otherwise(1)
-    runs = fragments.withColumn("_break", broken).withColumn(
-        "run", F.sum("_break").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    """Runs of consecutive fragment numbers: (recording, run, first, last, fragments[, rows]).
+
+    Inside a run the fragment number minus its position is constant.
+    """
+    recording = list(recording)
+    placed = dense_position(
+        fragments, recording, [number], slice_by=F.floor(F.col(number) / 10_000), name="_at", hot_rows=hot_rows
     )
     extra = [F.sum(size).alias("n_rows")] if size else []
-    return runs.groupBy(*recording, "run").agg(
+    runs = placed.groupBy(*recording, (F.col(number) - F.col("_at")).alias("_island")).agg(
         F.min(number).alias("first_fragment"),
         F.max(number).alias("last_fragment"),
         F.count(F.lit(1)).alias("n_fragments"),
         *extra,
     )
+    numbered = dense_position(
+        runs, recording, ["first_fragment", "_island"], slice_by=F.floor(F.col("first_fragment") / 10_000), name="_run",
+        hot_rows=hot_rows,
+    )
+    return numbered.withColumn("run", F.col("_run") + 1).drop("_run", "_island")
 
 
 def fuse_sensors(

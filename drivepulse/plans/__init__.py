@@ -10,6 +10,7 @@ MODULES = (
     "evaluation_queries",
     "split_queries",
     "index_queries",
+    "spectral_queries",
 )
 
 
