@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drivepulse.functions.scalars import let
+
 
 def _zero() -> Column:
     return F.lit(0.0)
@@ -24,8 +26,20 @@ def column_of(matrix: Column, index: Column) -> Column:
 
 def transpose(matrix: Column) -> Column:
     """Rows become columns; the width is taken from the first row."""
-    width = F.size(F.get(matrix, F.lit(0)))
-    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: column_of(matrix, i))
+    def flip(m: Column) -> Column:
+        width = F.size(F.get(m, F.lit(0)))
+        return F.transform(F.sequence(F.lit(0), width - 1), lambda i: column_of(m, i))
+
+    return let(matrix, flip)
+
+
+def spread(df: DataFrame, keep, array, pos: str, value: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form of the generator carries no inferred size filter, which would
+    otherwise be pushed down together with a copy of the array's definition.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
 
 
 def moments(values: Column) -> Column:
@@ -53,14 +67,7 @@ def moments(values: Column) -> Column:
 
 def quantile(values: Column, q: float) -> Column:
     """Linear-interpolation quantile of an array (nulls must be absent)."""
-    ordered = F.array_sort(values)
-    return F.element_at(
-        F.transform(
-            F.array(ordered),
-            lambda s: _interpolated(s, (F.size(s) - 1) * F.lit(float(q))),
-        ),
-        1,
-    )
+    return let(F.array_sort(values), lambda s: _interpolated(s, (F.size(s) - 1) * F.lit(float(q))))
 
 
 def _interpolated(ordered: Column, place: Column) -> Column:
@@ -96,4 +103,5 @@ def rescale(matrix: Column, low: float, span: float) -> Column:
 
 def reshape(values: Column, rows: int, columns: int) -> Column:
     """Flat array to a row-major matrix."""
-    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.slice(values, i * columns + 1, columns))
+    starts = F.sequence(F.lit(0), F.lit(rows - 1))
+    return let(values, lambda xs: F.transform(starts, lambda i: F.slice(xs, i * columns + 1, columns)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from drivepulse.functions.domains import CLASSES, LABEL_IDS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    The optimizer may copy a column's definition into a lambda, where it would be
+    recomputed for every element; a bound variable keeps it outside.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_up(value: Column, digits: int) -> Column:
     """Round half upwards in plain IEEE steps, so any SQL engine agrees bit for bit."""
     scale = float(10**digits)
@@ -52,10 +61,13 @@ def decode_label(code: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Max-shifted softmax over an array column."""
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda v: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(exps, lambda v: v / total)
+    def shares(exps: Column) -> Column:
+        total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
+        return let(total, lambda s: F.transform(exps, lambda v: v / s))
+
+    return let(
+        logits, lambda x: let(F.array_max(x), lambda top: let(F.transform(x, lambda v: F.exp(v - top)), shares))
+    )
 
 
 def argmax0(values: Column) -> Column:

@@ -46,7 +46,8 @@ def response_alerts(responses: DataFrame) -> DataFrame:
     motor = F.when((fault != "NORMAL") | (score > MOTOR_QUIET), entry("motor", "motor_status", motor_text, fault))
     pack = F.when((cls != "NORMAL") | (soh < SOH_QUIET), entry("battery", "battery_status", pack_text, cls))
     found = F.filter(F.array(motor, pack), lambda a: a.isNotNull())
-    return responses.select("ts", "vehicle_id", "car_model", F.explode(found).alias("a")).select(
+    spread = responses.select("ts", "vehicle_id", "car_model", F.explode_outer(found).alias("a"))
+    return spread.filter(F.col("a").isNotNull()).select(
         "a.id", "ts", "vehicle_id", "car_model", "a.level", "a.component", "a.message", "a.fault_type"
     )
 

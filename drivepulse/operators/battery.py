@@ -15,7 +15,7 @@ from drivepulse.functions.domains import (
     PACK_V_MIN,
     PACK_V_SPAN,
 )
-from drivepulse.functions.scalars import argmax_name, half_up, ladder, lookup, softmax
+from drivepulse.functions.scalars import argmax_name, half_up, ladder, let, lookup, softmax
 
 # Limits of the rules below.
 LOW_CELL_VOLTS = 3.5
@@ -83,15 +83,12 @@ def folder_fault(pack_type: Column, status: Column) -> Column:
     )
 
 
-def _cell_scores(stat: Column, sign: float) -> Column:
-    """Per cell: statistic, z value and non-negative excess in the direction ``sign``."""
-    return F.transform(
-        F.array(F.struct(stat.alias("xs"), mx.moments(stat).alias("p"))),
-        lambda pack: F.transform(
-            pack["xs"],
-            lambda v: F.struct(v.alias("v"), ((v - pack["p"]["mean"]) / (pack["p"]["std"] + F.lit(1e-9))).alias("z")),
-        ),
-    )[0]
+def _z_values(stat: Column) -> Column:
+    """Distance of each cell from the pack in population deviations."""
+    return let(
+        mx.moments(stat),
+        lambda pack: F.transform(stat, lambda v: (v - pack["mean"]) / (pack["std"] + F.lit(1e-9))),
+    )
 
 
 def localise(packs: DataFrame, stat: Column, kind: str, prefix: str) -> DataFrame:
@@ -102,24 +99,26 @@ def localise(packs: DataFrame, stat: Column, kind: str, prefix: str) -> DataFram
     extreme cell is flagged, the first one on ties.
     """
     sign = -1.0 if kind == "low" else 1.0
-    scored = packs.withColumn("_z", _cell_scores(stat, sign))
-    scored = scored.withColumn("_raw", F.transform("_z", lambda c: F.greatest(c["z"] * F.lit(sign), F.lit(0.0))))
-    scored = scored.withColumn("_top", F.array_max("_raw") + F.lit(1e-9))
     if kind == "low":
-        extreme = F.array_min(F.transform("_z", lambda c: c["v"]))
-        hit = F.transform("_z", lambda c: (c["v"] < LOW_CELL_VOLTS) | (c["z"] < -Z_LIMIT))
+        extreme = F.array_min(stat)
+        hit = F.zip_with(stat, "_z", lambda v, z: (v < LOW_CELL_VOLTS) | (z < -Z_LIMIT))
     else:
-        extreme = F.array_max(F.transform("_z", lambda c: c["v"]))
-        hit = F.transform("_z", lambda c: c["z"] > Z_LIMIT)
-    fallback = F.array_position(F.transform("_z", lambda c: c["v"]), extreme).cast("int") - 1
-    flagged = F.filter(
-        F.transform("_hit", lambda h, i: F.when(h, i)), lambda i: i.isNotNull()
-    )
+        extreme = F.array_max(stat)
+        hit = F.transform("_z", lambda z: z > Z_LIMIT)
+
+    def scores(excess: Column) -> Column:
+        top = F.array_max(excess) + F.lit(1e-9)
+        return let(top, lambda t: F.transform(excess, lambda r: half_up(r / t, 4)))
+
+    def cells(hits: Column) -> Column:
+        places = F.filter(F.transform(hits, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+        return F.when(F.size(places) > 0, places).otherwise(F.array(F.array_position(stat, extreme).cast("int") - 1))
+
+    excess = F.transform("_z", lambda z: F.greatest(z * F.lit(sign), F.lit(0.0)))
     return (
-        scored.withColumn("_hit", hit)
-        .withColumn(f"{prefix}_scores", F.transform("_raw", lambda r: half_up(r / F.col("_top"), 4)))
-        .withColumn(f"{prefix}_cells", F.when(F.exists("_hit", lambda h: h), flagged).otherwise(F.array(fallback)))
-        .drop("_z", "_raw", "_top", "_hit")
+        packs.withColumn("_z", _z_values(stat))
+        .withColumns({f"{prefix}_scores": let(excess, scores), f"{prefix}_cells": let(hit, cells)})
+        .drop("_z")
     )
 
 
@@ -183,12 +182,11 @@ def cell_severity(score: Column, faulty: Column) -> Column:
 
 def cell_grid(packs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per cell with mean voltage, score, flag and severity bin."""
-    n = F.size("cell_mean_voltages")
-    cells = packs.select(*keys, "cell_mean_voltages", "cell_scores", "faulty_cells", F.explode(F.sequence(F.lit(0), n - 1)).alias("cell"))
+    cells = mx.spread(packs, [*keys, "cell_scores", "faulty_cells"], "cell_mean_voltages", "cell", "voltage")
     faulty = F.array_contains("faulty_cells", F.col("cell"))
     score = F.coalesce(F.get("cell_scores", F.col("cell")), F.lit(0.0))
     return cells.select(
-        *keys, "cell", F.get("cell_mean_voltages", F.col("cell")).alias("voltage"), score.alias("score"),
+        *keys, "cell", "voltage", score.alias("score"),
         faulty.alias("faulty"), cell_severity(score, faulty).alias("severity"),
     )
 
@@ -217,8 +215,7 @@ def head_result(df: DataFrame, status_logits: Column, fault_logits: Column) -> D
 
 def unpivot(packs: DataFrame, keys: list[str], matrix: str = "m") -> DataFrame:
     """Matrix rows to (t, cell, v)."""
-    by_time = packs.select(*keys, F.posexplode(matrix).alias("t", "_row"))
-    return by_time.select(*keys, "t", F.posexplode("_row").alias("cell", "v"))
+    return mx.spread(mx.spread(packs, keys, matrix, "t", "_row"), [*keys, "t"], "_row", "cell", "v")
 
 
 def pivot(cells: DataFrame, keys: list[str], matrix: str = "m") -> DataFrame:

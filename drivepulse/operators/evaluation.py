@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
-from drivepulse.functions.scalars import hash_word
+from drivepulse.functions.scalars import hash_word, let
 from drivepulse.operators.ranking import exact_quantiles
 from drivepulse.session import small_rows
 
@@ -223,8 +223,8 @@ def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataF
     )
     target = hash_word(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(total)
     # The profile of a drawn session: how many profiles end at or before it.
-    at = F.size(F.filter(F.lit(ends), lambda end: end <= F.col("t")))
-    placed = draws.select("replicate", target.alias("t")).select("replicate", at.alias("at"))
+    at = let(target, lambda t: F.size(F.filter(F.lit(ends), lambda end: end <= t)))
+    placed = draws.select("replicate", at.alias("at"))
     d, n = (F.get(F.lit([int(r[i]) for r in rows]), F.col("at")) for i in (0, 1))
     return placed.groupBy("replicate").agg((F.sum(d) / F.sum(n)).alias("delta"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CHUNK_ROWS, SENSORS, SIGNAL_COLUMNS
+from drivepulse.functions.matrices import spread
 from drivepulse.functions.scalars import fit_length, length_action
 from drivepulse.operators.ranking import HOT_ROWS, dense_position
 
@@ -106,7 +107,7 @@ def assemble_chunks(
 
 def explode_chunk(chunks: DataFrame, keys: Sequence[str], array: str = "x", value: str = "v") -> DataFrame:
     """Back to row form: the inverse of :func:`assemble_chunks`."""
-    return chunks.select(*keys, F.posexplode(array).alias("pos", value))
+    return spread(chunks, keys, array, "pos", value)
 
 
 def signal_column(df: DataFrame, name: str, *, keys: Sequence[str] = ()) -> DataFrame:

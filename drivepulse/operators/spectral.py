@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.functions import matrices as mx
+from drivepulse.functions.scalars import let
 
 EPS = 1e-12
 # Constants of the feature definitions.
@@ -108,80 +109,94 @@ def assemble_map(pixels: DataFrame, keys: Sequence[str], *, row: str = "row", co
     )
 
 
+def _row_z(row: Column) -> Column:
+    """Distance from the row's median in scaled median absolute deviations."""
+    def scaled(centred: Column) -> Column:
+        mad = mx.quantile(F.transform(centred, F.abs), 0.5)
+        return let(F.lit(MAD_SCALE) * (mad + F.lit(MAD_FLOOR)), lambda s: F.transform(centred, lambda d: d / s))
+
+    return let(mx.quantile(row, 0.5), lambda m: let(F.transform(row, lambda v: v - m), scaled))
+
+
 def remove_baseline(maps: DataFrame, *, matrix: str = "e", out: str = "z") -> DataFrame:
     """Robust z values per frequency row: median and scaled MAD over time."""
-    def row_z(row: Column) -> Column:
-        centred = F.transform(
-            F.array(F.struct(row.alias("r"), mx.quantile(row, 0.5).alias("m"))),
-            lambda s: F.transform(s["r"], lambda v: v - s["m"]),
-        )[0]
-        scaled = F.transform(
-            F.array(F.struct(centred.alias("d"), mx.quantile(F.transform(centred, F.abs), 0.5).alias("mad"))),
-            lambda s: F.transform(s["d"], lambda d: d / (F.lit(MAD_SCALE) * (s["mad"] + F.lit(MAD_FLOOR)))),
-        )
-        return scaled[0]
-
-    return maps.withColumn(out, F.transform(matrix, row_z))
+    return maps.withColumn(out, F.transform(matrix, _row_z))
 
 
-def basic_features(maps: DataFrame, *, keys: Sequence[str], matrix: str = "e") -> DataFrame:
-    """Peak bin, band start/end and rms per time column, one row per (key, t)."""
-    zmap = remove_baseline(maps, matrix=matrix).withColumn(
-        "_limit", mx.quantile(F.flatten("z"), THRESHOLD_QUANTILE)
-    )
-    cols = zmap.select(
-        *keys, "_limit", F.posexplode(F.arrays_zip(mx.transpose(F.col(matrix)).alias("e"), mx.transpose(F.col("z")).alias("z"))).alias("t", "c")
-    )
-    z, e = F.col("c.z"), F.col("c.e")
+def _located(cols: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Peak, band limits and rms from one column per row (``e``, ``z``, ``_limit``)."""
+    z = F.col("z")
     above = F.filter(F.transform(z, lambda v, i: F.when(v > F.col("_limit"), i)), lambda i: i.isNotNull())
     return cols.withColumn("_above", above).select(
-        *keys,
-        "t",
+        *keep,
         (F.array_position(z, F.array_max(z)).cast("int") - 1).alias("peak_freq_bin"),
         F.array_min("_above").alias("band_start"),
         F.array_max("_above").alias("band_end"),
-        F.sqrt(mx.total(F.transform(e, lambda v: v * v)) / F.size(e)).alias("rms"),
+        F.sqrt(mx.total(F.transform("e", lambda v: v * v)) / F.size("e")).alias("rms"),
     )
 
 
-def shape_of_column(cols: DataFrame, *, keys: Sequence[str], column: str = "col", prefix: str = "") -> DataFrame:
-    """Eight band shares, centroid, entropy, rolloff and log flatness of one spectrum per row.
+def _with_limit(maps: DataFrame, matrix: str) -> DataFrame:
+    return remove_baseline(maps, matrix=matrix).withColumn("_limit", mx.quantile(F.flatten("z"), THRESHOLD_QUANTILE))
+
+
+def basic_features(maps: DataFrame, *, keys: Sequence[str], matrix: str = "e") -> DataFrame:
+    """Peak bin, band start/end and rms per time column, one row per (key, t)."""
+    both = F.arrays_zip(mx.transpose(F.col(matrix)).alias("e"), mx.transpose(F.col("z")).alias("z"))
+    cols = mx.spread(_with_limit(maps, matrix), [*keys, "_limit"], both, "t", "c")
+    return _located(cols.select(*keys, "t", "_limit", "c.e", "c.z"), [*keys, "t"])
+
+
+def _shape(column: Column) -> Column:
+    """Struct of the twelve distribution features of one spectrum.
 
     Null bins (outside a resampled axis) count as absent.
     """
-    c = F.col(column)
-    height = F.size(c)
-    known = F.filter(c, lambda v: v.isNotNull())
-    staged = cols.withColumn("_k", known).withColumn("_sum", mx.total(F.col("_k")) + F.lit(EPS)).withColumn("_h", height)
-    staged = staged.withColumn("_p", F.transform(column, lambda v: F.coalesce(v, F.lit(0.0)) / F.col("_sum")))
-    p = F.col("_p")
-
-    def band(j: int) -> Column:
-        kept = F.transform(p, lambda v, i: F.when(F.floor(i * BANDS / F.col("_h")) == j, v).otherwise(0.0))
-        return mx.total(kept)
+    height = F.size(column)
+    known = F.filter(column, lambda v: v.isNotNull())
 
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("bin"))
-    pairs = F.transform(p, lambda v, i: F.struct(v.alias("p"), i.alias("i")))
+    def band(p: Column, j: int) -> Column:
+        kept = F.filter(p, lambda v, i: F.floor(i * BANDS / height) == j)
+        return mx.total(kept).alias(f"band_{j}")
 
     def walk(acc, s):
         run = acc["run"] + s["p"]
         return F.struct(run.alias("run"), F.coalesce(acc["bin"], F.when(run >= ROLLOFF_SHARE, s["i"])).alias("bin"))
 
-    n = F.size("_k")
-    logs = mx.total(F.transform("_k", lambda v: F.ln(v + EPS))) / n
-    flat = logs - F.ln(mx.total(F.col("_k")) / n + F.lit(EPS))
-    return staged.select(
-        *keys,
-        *[band(j).alias(f"{prefix}band_{j}") for j in range(BANDS)],
-        mx.total(F.transform(p, lambda v, i: v * i)).alias(f"{prefix}centroid"),
-        (-mx.total(F.transform(p, lambda v: v * F.ln(v + EPS)))).alias(f"{prefix}entropy"),
-        F.aggregate(pairs, start, walk, lambda acc: acc["bin"]).alias(f"{prefix}rolloff"),
-        F.when(n > 0, flat).alias(f"{prefix}log_flatness"),
+    def rolloff(p: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("bin"))
+        pairs = F.transform(p, lambda v, i: F.struct(v.alias("p"), i.alias("i")))
+        return F.aggregate(pairs, start, walk, lambda acc: acc["bin"])
+
+    def flatness(k: Column) -> Column:
+        logs = mx.total(F.transform(k, lambda v: F.ln(v + EPS))) / F.size(k)
+        return F.when(F.size(k) > 0, logs - F.ln(mx.total(k) / F.size(k) + F.lit(EPS)))
+
+    def described(k: Column, p: Column) -> Column:
+        return F.struct(
+            *[band(p, j) for j in range(BANDS)],
+            mx.total(F.transform(p, lambda v, i: v * i)).alias("centroid"),
+            (-mx.total(F.transform(p, lambda v: v * F.ln(v + EPS)))).alias("entropy"),
+            rolloff(p).alias("rolloff"),
+            flatness(k).alias("log_flatness"),
+        )
+
+    def shares(s: Column) -> Column:
+        return F.transform(column, lambda v: F.coalesce(v, F.lit(0.0)) / s)
+
+    return let(
+        known, lambda k: let(let(mx.total(k) + F.lit(EPS), shares), lambda p: described(k, p))
     )
 
 
+def shape_of_column(cols: DataFrame, *, keys: Sequence[str], column: str = "col", prefix: str = "") -> DataFrame:
+    """Eight band shares, centroid, entropy, rolloff and log flatness of one spectrum per row."""
+    staged = cols.withColumn("_shape", _shape(F.col(column)))
+    return staged.select(*keys, *[F.col(f"_shape.{s}").alias(f"{prefix}{s}") for s in SHAPE])
+
+
 def time_columns(maps: DataFrame, *, keys: Sequence[str], matrix: str = "e") -> DataFrame:
-    return maps.select(*keys, F.posexplode(mx.transpose(F.col(matrix))).alias("t", "col"))
+    return mx.spread(maps, keys, mx.transpose(F.col(matrix)), "t", "col")
 
 
 def shape_features(maps: DataFrame, *, keys: Sequence[str], matrix: str = "e", prefix: str = "") -> DataFrame:
@@ -208,30 +223,21 @@ def order_axis(maps: DataFrame, *, rpm: Column, reference_rpm: float, matrix: st
 
         return F.transform(F.sequence(F.lit(0), last), at)
 
-    by_time = F.transform(mx.transpose(F.col(matrix)), sample)
-    return maps.withColumn("_bt", by_time).withColumn(out, mx.transpose(F.col("_bt"))).drop("_bt")
+    return maps.withColumn(out, mx.transpose(F.transform(mx.transpose(F.col(matrix)), sample)))
 
 
 def sensor_features(maps: DataFrame, *, keys: Sequence[str], rpm: str = "rpm", reference_rpm: float, matrix: str = "e") -> DataFrame:
     """All 29 features per (key, t): basic, rpm, twelve absolute and twelve order features."""
     resampled = order_axis(maps, rpm=F.col(rpm), reference_rpm=reference_rpm, matrix=matrix)
-    zmap = remove_baseline(resampled, matrix=matrix).withColumn("_limit", mx.quantile(F.flatten("z"), THRESHOLD_QUANTILE))
     zipped = F.arrays_zip(
         mx.transpose(F.col(matrix)).alias("e"), mx.transpose(F.col("z")).alias("z"),
         mx.transpose(F.col("e_order")).alias("o"),
     )
-    cols = zmap.select(*keys, F.col(rpm).alias("rpm"), "_limit", F.posexplode(zipped).alias("t", "c")).select(
+    limited = _with_limit(resampled, matrix).withColumn("rpm", F.col(rpm))
+    cols = mx.spread(limited, [*keys, "rpm", "_limit"], zipped, "t", "c").select(
         *keys, "t", "rpm", "_limit", "c.e", "c.z", "c.o"
     )
-    z = F.col("z")
-    above = F.filter(F.transform(z, lambda v, i: F.when(v > F.col("_limit"), i)), lambda i: i.isNotNull())
-    cols = cols.withColumn("_above", above).select(
-        *keys, "t", "rpm", "e", "o",
-        (F.array_position(z, F.array_max(z)).cast("int") - 1).alias("peak_freq_bin"),
-        F.array_min("_above").alias("band_start"),
-        F.array_max("_above").alias("band_end"),
-        F.sqrt(mx.total(F.transform("e", lambda v: v * v)) / F.size("e")).alias("rms"),
-    )
+    cols = _located(cols, [*keys, "t", "rpm", "e", "o"])
     carried = [*keys, "t", "rpm", *BASIC]
     absolute = shape_of_column(cols, keys=[*carried, "o"], column="e", prefix="abs_")
     done = [*carried, *[f"abs_{s}" for s in SHAPE]]
@@ -264,11 +270,9 @@ def feature_set(name: str, *, left_out: str = "log_flatness", temperature: str =
 def channel_panel(features: DataFrame, *, keys: Sequence[str], columns: Sequence[str], out: str = "channels") -> DataFrame:
     """Feature rows of one recording to a channel-major panel in time order."""
     ordered = F.array_sort(F.collect_list(F.struct("t", F.array(*[F.col(c).cast("float") for c in columns]).alias("v"))))
-    gathered = features.groupBy(*keys).agg(ordered.alias("_o"))
-    channels = F.transform(
-        F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.transform("_o", lambda s: F.get(s["v"], i))
-    )
-    return gathered.select(*keys, channels.alias(out))
+    numbers = F.sequence(F.lit(0), F.lit(len(columns) - 1))
+    channels = let(ordered, lambda o: F.transform(numbers, lambda i: F.transform(o, lambda s: F.get(s["v"], i))))
+    return features.groupBy(*keys).agg(channels.alias(out))
 
 
 def condition_statistics(rows: DataFrame, *, chunk: Sequence[str], reference: str, actual: str, extra: Sequence[str] = (), pos: str = "pos", bin_by: str | None = None, bin_width: float = 25.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import PACK_CLASSES, PACK_FAULTS, VEHICLES
+from drivepulse.functions.matrices import spread
 from drivepulse.functions.scalars import (
     argmax0,
     decode_label,
@@ -48,7 +49,7 @@ def q_metrics(spark, sf):
     "WITH " + PACK + f" SELECT vec_id, CAST(cell AS INTEGER) AS cell, {r('avg(v)', 4)} AS voltage FROM cells GROUP BY 1, 2",
 )
 def q_cell_means(spark, sf):
-    return packs(spark, sf).select("vec_id", F.posexplode("cell_mean_voltages").alias("cell", "voltage"))
+    return spread(packs(spark, sf), ["vec_id"], "cell_mean_voltages", "cell", "voltage")
 
 
 @query("pack_rule_class", "WITH " + PACK_METRICS + " SELECT vec_id, classification FROM metrics")
@@ -110,12 +111,8 @@ faults AS (SELECT vec_id, any_value(fault_type) AS fault_type, CAST(count_if(fau
 
 
 def _flags(df, prefix):
-    n = F.size(f"{prefix}_scores")
-    cells = df.select("vec_id", f"{prefix}_scores", f"{prefix}_cells", F.explode(F.sequence(F.lit(0), n - 1)).alias("cell"))
-    return cells.select(
-        "vec_id", "cell", F.get(f"{prefix}_scores", F.col("cell")).alias("score"),
-        F.array_contains(f"{prefix}_cells", F.col("cell")).alias("faulty"),
-    )
+    cells = spread(df, ["vec_id", f"{prefix}_cells"], f"{prefix}_scores", "cell", "score")
+    return cells.select("vec_id", "cell", "score", F.array_contains(f"{prefix}_cells", F.col("cell")).alias("faulty"))
 
 
 @query(
@@ -249,7 +246,7 @@ def q_ranking(spark, sf):
         lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1)
         .when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0),
     )
-    out = probabilities(spark, sf).select("vec_id", F.posexplode(ordered).alias("place", "e"))
+    out = spread(probabilities(spark, sf), ["vec_id"], ordered, "place", "e")
     return out.select("vec_id", "place", F.col("e.name").alias("name"), half_up(F.col("e.p"), 5).alias("p"))
 
 

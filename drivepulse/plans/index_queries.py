@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES, SENSORS
+from drivepulse.functions.matrices import reshape, spread
+from drivepulse.functions.scalars import half_up
 from drivepulse.operators import shaping
 from drivepulse.plans.registry import half_up_sql as r
 from drivepulse.plans.registry import query
@@ -253,8 +255,6 @@ def q_stitch(spark, sf):
 
 def _channels(spark, sf):
     """Each sensor has two channels of 32 samples; Vib_TM is two samples short."""
-    from drivepulse.functions.matrices import reshape
-
     p = panel(spark, sf)
     two = reshape(F.col("x"), 2, 32)
     short = F.transform(two, lambda c: F.slice(c, 1, 30))
@@ -272,18 +272,11 @@ def q_fusion(spark, sf):
     fused = shaping.fuse_sensors(_channels(spark, sf), session=["session"])
     chunks = shaping.panel_chunks(fused, ["session"], 15)
     return (
-        chunks.select("session", "chunk_id", F.posexplode("fused").alias("channel", "_c"))
-        .select("session", "chunk_id", "channel", F.posexplode("_c").alias("pos", "v"))
-        .withColumn("v", half(F.col("v")))
+        spread(spread(chunks, ["session", "chunk_id"], "fused", "channel", "_c"), ["session", "chunk_id", "channel"], "_c", "pos", "v")
+        .withColumn("v", half_up(F.col("v"), 6))
     )
 
 
-def half(c):
-    from drivepulse.functions.scalars import half_up
-
-    return half_up(c, 6)
-
-
 @query(
     "session_completeness",
     "WITH " + PANEL + """, s AS (SELECT session, sensor, CASE WHEN vec_id % 11 = 0 THEN 30 ELSE 32 END AS length FROM panel)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from drivepulse.functions.matrices import spread
 from drivepulse.functions.scalars import half_up, ladder
 from drivepulse.operators import shaping
 from drivepulse.plans.registry import half_up_sql as r
@@ -121,9 +122,8 @@ FROM slots s LEFT JOIN tails t ON s.unit = t.unit AND s.piece = t.piece AND s.po
 def q_length_guard(spark, sf):
     pieces = _pieces(spark, sf)
     guarded = shaping.enforce_length(pieces, LENGTH_TARGET)
-    return guarded.select(
-        "unit", "piece", "input_len", "length_action", F.posexplode("x").alias("pos", "v")
-    ).withColumn("v", half_up(F.col("v"), 4))
+    rows = spread(guarded, ["unit", "piece", "input_len", "length_action"], "x", "pos", "v")
+    return rows.withColumn("v", half_up(F.col("v"), 4))
 
 
 def _pieces(spark, sf):

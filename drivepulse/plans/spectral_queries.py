@@ -6,12 +6,20 @@ from math import pi
 
 from pyspark.sql import functions as F
 
+from drivepulse.functions.matrices import spread
 from drivepulse.functions.scalars import half_up
 from drivepulse.operators import shaping, spectral
 from drivepulse.plans.registry import half_up_sql as r
 from drivepulse.plans.registry import query
 from drivepulse.plans.views import CHUNK, LENIENT, PANEL, SPEC, panel, sig_slice, spec, table
 
+
+
+def flat(maps, matrix, value):
+    """Matrix rows to (vec_id, f, t, value)."""
+    return spread(spread(maps, ["vec_id"], matrix, "f", "row"), ["vec_id", "f"], "row", "t", value)
+
+
 WINDOW, HOP, ROWS, REF_RPM = 16, 8, 8, 5700.0
 
 
@@ -27,8 +35,7 @@ SELECT vec_id, CAST(f AS INTEGER) AS f, CAST(t AS INTEGER) AS t, {r('a / max(a)
 )
 def q_stft(spark, sf):
     maps = spectral.stft(panel(spark, sf), keys=["vec_id"], window=WINDOW, hop=HOP, rows=ROWS)
-    rows = maps.select("vec_id", F.posexplode("e").alias("f", "row"))
-    return rows.select("vec_id", "f", F.posexplode("row").alias("t", "e")).withColumn("e", half_up(F.col("e"), 5))
+    return flat(maps, "e", "e").withColumn("e", half_up(F.col("e"), 5))
 
 
 def _jet_sql(v, off):
@@ -39,10 +46,8 @@ _RGB = SPEC + f""", px AS (SELECT vec_id, f, t, {_jet_sql('e', 3)} AS r, {_jet_s
 
 
 def pixels(spark, sf):
-    flat = spec(spark, sf).select("vec_id", F.posexplode("e").alias("f", "row"))
-    flat = flat.select("vec_id", "f", F.posexplode("row").alias("t", "e"))
     red, green, blue = spectral.jet(F.col("e"))
-    return flat.select("vec_id", "f", "t", red.alias("r"), green.alias("g"), blue.alias("b"))
+    return flat(spec(spark, sf), "e", "e").select("vec_id", "f", "t", red.alias("r"), green.alias("g"), blue.alias("b"))
 
 
 @query("colour_map", "WITH " + _RGB + " SELECT vec_id, CAST(f AS INTEGER) AS f, CAST(t AS INTEGER) AS t, r, g, b FROM px")
@@ -74,8 +79,7 @@ zz AS (SELECT s.vec_id, s.f, s.t, s.e, (s.e - md.m) / (1.4826e0 * (ma.mad + 1e-6
 @query("baseline_removed", "WITH " + _Z + f" SELECT vec_id, CAST(f AS INTEGER) AS f, CAST(t AS INTEGER) AS t, {r('z', 5)} AS z FROM zz")
 def q_baseline(spark, sf):
     z = spectral.remove_baseline(spec(spark, sf))
-    rows = z.select("vec_id", F.posexplode("z").alias("f", "row"))
-    return rows.select("vec_id", "f", F.posexplode("row").alias("t", "z")).withColumn("z", half_up(F.col("z"), 5))
+    return flat(z, "z", "z").withColumn("z", half_up(F.col("z"), 5))
 
 
 _BASIC = _Z + """, lim AS (SELECT vec_id, quantile_cont(z, 0.9) AS lim FROM zz GROUP BY 1),
@@ -128,8 +132,7 @@ _ORDER = _ORDER.replace("5700.0e0", "5700e0")
 @query("order_axis", "WITH " + _ORDER + f" SELECT vec_id, CAST(f AS INTEGER) AS f, CAST(t AS INTEGER) AS t, {r('e', 6)} AS e FROM ord")
 def q_order(spark, sf):
     o = spectral.order_axis(spec(spark, sf), rpm=F.col("rpm"), reference_rpm=REF_RPM)
-    rows = o.select("vec_id", F.posexplode("e_order").alias("f", "row"))
-    return rows.select("vec_id", "f", F.posexplode("row").alias("t", "e")).withColumn("e", half_up(F.col("e"), 6))
+    return flat(o, "e_order", "e").withColumn("e", half_up(F.col("e"), 6))
 
 
 @query(
