@@ -199,7 +199,8 @@ def panel_chunks(fused: DataFrame, keys: Sequence[str], chunk_size: int = CHUNK_
     length = F.size(F.get(F.col(panel), F.lit(0)))
     n = F.floor(length / chunk_size).cast("int")
     ids = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return fused.select(*keys, panel, F.explode(ids).alias("chunk_id")).select(
+    cut = fused.select(*keys, panel, F.explode_outer(ids).alias("chunk_id")).filter(F.col("chunk_id").isNotNull())
+    return cut.select(
         *keys,
         "chunk_id",
         F.transform(panel, lambda c: F.slice(c, F.col("chunk_id") * chunk_size + 1, F.lit(chunk_size))).alias(panel),

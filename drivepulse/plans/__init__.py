@@ -11,6 +11,7 @@ MODULES = (
     "split_queries",
     "index_queries",
     "spectral_queries",
+    "model_queries",
 )
 
 
