@@ -12,6 +12,7 @@ MODULES = (
     "index_queries",
     "spectral_queries",
     "model_queries",
+    "stream_queries",
 )
 
 

@@ -441,7 +441,11 @@ def q_shares(spark, sf):
 
 # Responses: one per event, with the pack whose id the user maps to.
 def responses(spark, sf):
-    e = table(spark, sf, "events")
+    return responses_of(spark, sf, table(spark, sf, "events"))
+
+
+def responses_of(spark, sf, e):
+    """Responses for a batch or stream of events."""
     p = located(spark, sf).select(
         F.col("vec_id").alias("_pack"), "classification", "soh_proxy", F.col("fault_type").alias("pack_fault"),
         F.size("faulty_cells").alias("n_faulty"),

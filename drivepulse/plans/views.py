@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def table_path(sf: str, name: str) -> str:
+    return f"{sf}/{name}.parquet"
+
+
 def _names(values) -> str:
     return "[" + ",".join(f"'{v}'" for v in values) + "]"
 
@@ -73,8 +77,12 @@ repaired AS (
 
 # Panels: 64 samples per vector, five classes, groups of one class each.
 def panel(spark, sf):
+    return panel_of(table(spark, sf, "embeddings"))
+
+
+def panel_of(embeddings):
     cls = F.col("label") % 5
-    return table(spark, sf, "embeddings").select(
+    return embeddings.select(
         "vec_id",
         cls.cast("int").alias("cls"),
         pick(CLASSES, cls.cast("int")).alias("fault_class"),
