@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,18 @@ def build_session(app: str = "drivepulse", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="drivepulse-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint location.
 
     Only a session without ``spark.checkpoint.dir`` (a test on one machine)
     gets a temporary folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="drivepulse-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

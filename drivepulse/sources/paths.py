@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES, RECORDING_SUFFIX, SENSORS, VEHICLES
+from drivepulse.functions.scalars import let
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -24,6 +25,14 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def _at(parts: Column, from_end: int) -> Column:
+    return F.try_element_at(parts, F.lit(-from_end))
+
+
+def _known(parts: Column, from_end: int, names: Sequence[str]) -> Column:
+    return F.coalesce(_at(parts, from_end).isin(*names), F.lit(False))
+
+
 def part(path: Column, from_end: int) -> Column:
     """Path element counted from the end: 1 is the file name."""
     return F.try_element_at(F.split(path, "/"), F.lit(-from_end))
@@ -44,17 +53,22 @@ def recording_index(
     classes: Sequence[str] = CLASSES,
 ) -> DataFrame:
     """Index rows of ``{vehicle}/{fault}/{date}/{sensor}/{file}``; other names drop out."""
-    path = F.col("path")
-    parsed = listing.select(
-        path.alias("csv_path"),
-        part(path, 5).alias("vehicle"),
-        part(path, 4).alias("fault_class"),
-        part(path, 3).alias("date"),
-        part(path, 2).alias("sensor"),
-        part(path, 1).alias("_file"),
-    ).filter(F.col("vehicle").isin(*vehicles) & F.col("sensor").isin(*sensors) & F.col("fault_class").isin(*classes))
-    keyed = parsed.withColumn("group_key", group_key(F.col("_file"), F.col("sensor")))
-    return keyed.filter(F.col("group_key").isNotNull()).drop("_file")
+    record = let(
+        F.split("path", "/"),
+        lambda parts: F.when(
+            _known(parts, 5, vehicles) & _known(parts, 4, classes) & _known(parts, 2, sensors),
+            F.struct(
+                _at(parts, 5).alias("vehicle"),
+                _at(parts, 4).alias("fault_class"),
+                _at(parts, 3).alias("date"),
+                _at(parts, 2).alias("sensor"),
+                group_key(_at(parts, 1), _at(parts, 2)).alias("group_key"),
+            ),
+        ),
+    )
+    # The generator keeps the filter above it, so each path is taken apart once.
+    parsed = listing.select(F.col("path").alias("csv_path"), F.explode_outer(F.array(record)).alias("r"))
+    return parsed.filter(F.col("r.group_key").isNotNull()).select("csv_path", "r.*")
 
 
 def coverage_gaps(
@@ -69,14 +83,17 @@ def coverage_gaps(
     The expectation grows only with the distinct date folders, not with the files.
     """
     spark = listing.sparkSession
-    path = F.col("path")
-    seen = listing.select(
-        part(path, 5).alias("vehicle"),
-        part(path, 4).alias("fault_class"),
-        part(path, 3).alias("date"),
-        part(path, 2).alias("sensor"),
-        group_key(part(path, 1), part(path, 2)).isNotNull().alias("_ok"),
+    record = let(
+        F.split("path", "/"),
+        lambda parts: F.struct(
+            _at(parts, 5).alias("vehicle"),
+            _at(parts, 4).alias("fault_class"),
+            _at(parts, 3).alias("date"),
+            _at(parts, 2).alias("sensor"),
+            group_key(_at(parts, 1), _at(parts, 2)).isNotNull().alias("_ok"),
+        ),
     )
+    seen = listing.select(F.explode_outer(F.array(record)).alias("r")).select("r.*")
     leaves = seen.groupBy("vehicle", "fault_class", "date", "sensor").agg(F.max("_ok").alias("_ok"))
     domain = [(v, c) for v in vehicles for c in classes]
     expected = spark.createDataFrame(domain, "vehicle string, fault_class string")
@@ -118,20 +135,19 @@ def pack_index(listing: DataFrame) -> DataFrame:
     folder; failing both, the matrix drops out.
     """
     pattern = r"([^/]+)/(NPY|JSON)/(([^/]+)/([^/]+)/(?:.*/)?)([^/]+)\.(npy|json)$"
-    p = F.col("path")
-    files = listing.filter(p.rlike(pattern)).select(
-        "path",
-        F.regexp_extract(p, pattern, 1).alias("pack_type"),
-        F.regexp_extract(p, pattern, 3).alias("folder"),
-        F.regexp_extract(p, pattern, 4).alias("vehicle"),
-        F.regexp_extract(p, pattern, 5).alias("status"),
-        F.regexp_extract(p, pattern, 6).alias("stem"),
-        F.regexp_extract(p, pattern, 7).alias("kind"),
+    names = {1: "pack_type", 3: "folder", 4: "vehicle", 5: "status", 6: "stem", 7: "kind"}
+    record = let(
+        F.col("path"),
+        lambda p: F.when(
+            p.rlike(pattern), F.struct(*[F.regexp_extract(p, pattern, i).alias(n) for i, n in names.items()])
+        ),
     )
+    files = listing.select("path", F.explode_outer(F.array(record)).alias("r"))
+    files = files.filter(F.col("r").isNotNull()).select("path", "r.*")
     data = files.filter(F.col("kind") == "npy").drop("kind").withColumnRenamed("path", "matrix_path")
     labels = files.filter(F.col("kind") == "json")
     exact = labels.groupBy("pack_type", "folder", "stem").agg(F.min("path").alias("_exact"))
-    spare = labels.groupBy("pack_type", "folder").agg(F.min("path").alias("_spare"))
+    spare = exact.groupBy("pack_type", "folder").agg(F.min("_exact").alias("_spare"))
     return (
         data.join(exact, ["pack_type", "folder", "stem"], "left")
         .join(spare, ["pack_type", "folder"], "left")
@@ -150,23 +166,26 @@ def spectrogram_index(listing: DataFrame, *, sensors: Sequence[str] = SENSORS) -
     with the channel renamed, else the first image of the channel folder. Labels
     follow the same exact-then-folder rule.
     """
-    p = F.col("path")
-    files = listing.select(
-        "path",
-        F.concat_ws("/", part(p, 5), part(p, 4), part(p, 3)).alias("day"),
-        part(p, 5).alias("vehicle"),
-        part(p, 4).alias("fault_class"),
-        part(p, 2).alias("channel"),
-        F.regexp_extract(part(p, 1), r"^(.*)\.(png|json)$", 1).alias("stem"),
-        F.regexp_extract(part(p, 1), r"\.(png|json)$", 1).alias("kind"),
+    record = let(
+        F.split("path", "/"),
+        lambda parts: F.struct(
+            F.concat_ws("/", _at(parts, 5), _at(parts, 4), _at(parts, 3)).alias("day"),
+            _at(parts, 5).alias("vehicle"),
+            _at(parts, 4).alias("fault_class"),
+            _at(parts, 2).alias("channel"),
+            F.regexp_extract(_at(parts, 1), r"^(.*)\.(png|json)$", 1).alias("stem"),
+            F.regexp_extract(_at(parts, 1), r"\.(png|json)$", 1).alias("kind"),
+        ),
     )
+    files = listing.select("path", F.explode_outer(F.array(record)).alias("r")).select("path", "r.*")
     images = files.filter(F.col("kind") == "png")
-    lead = images.groupBy("day").agg(
+    # Derived from one another so that each listing pass is shuffled once and reused.
+    by_folder = images.groupBy("day", "channel").agg(F.min("path").alias("_spare"))
+    lead = by_folder.groupBy("day").agg(
         F.coalesce(F.max(F.when(F.col("channel") == sensors[0], F.col("channel"))), F.min("channel")).alias("lead")
     )
     leading = images.join(lead, "day").filter(F.col("channel") == F.col("lead"))
     by_name = images.groupBy("day", "channel", "stem").agg(F.min("path").alias("_exact"))
-    by_folder = images.groupBy("day", "channel").agg(F.min("path").alias("_spare"))
     # One row per image and channel: a fixed fan-out of the channel count.
     asked = leading.select(
         "path", "day", "vehicle", "fault_class", "lead", F.col("stem").alias("lead_stem"),
@@ -188,7 +207,7 @@ def spectrogram_index(listing: DataFrame, *, sensors: Sequence[str] = SENSORS) -
     exact = labels.groupBy("day", F.col("channel").alias("lead"), F.col("stem").alias("lead_stem")).agg(
         F.min("path").alias("_label")
     )
-    spare = labels.groupBy("day", F.col("channel").alias("lead")).agg(F.min("path").alias("_any"))
+    spare = exact.groupBy("day", "lead").agg(F.min("_label").alias("_any"))
     return (
         gathered.withColumn("channels", channels)
         .join(exact, ["day", "lead", "lead_stem"], "left")
