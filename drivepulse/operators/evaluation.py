@@ -52,27 +52,37 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, 0.0).otherwise(top / bottom)
 
 
-def class_scores(preds: DataFrame, keys: Sequence[str] = (), classes: Sequence[str] = CLASSES) -> DataFrame:
-    """Precision, recall, F1 and support for every class of the list; absent ones are zero."""
-    cells = confusion_cells(preds, keys)
-    # Each cell says something about its true and its predicted class.
-    hit = F.col(TRUE) == F.col(PRED)
-    roles = F.array(
-        F.struct(F.col(TRUE).alias("label"), F.when(hit, F.col("n")).otherwise(0).alias("tp"),
-                 F.lit(0).cast("long").alias("fp"), F.when(hit, 0).otherwise(F.col("n")).alias("fn")),
-        F.struct(F.col(PRED).alias("label"), F.lit(0).cast("long").alias("tp"),
-                 F.when(hit, 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("long").alias("fn")),
+def class_scores(
+    preds: DataFrame, keys: Sequence[str] = (), classes: Sequence[str] = CLASSES, *, n: str | None = None
+) -> DataFrame:
+    """Precision, recall, F1 and support for every class of the list; absent ones are zero.
+
+    Works on single predictions, or on counted cells when ``n`` names the count.
+    One pass and one shuffle: the per-class sums are combined map-side.
+    """
+    weight = F.lit(1).cast("long") if n is None else F.col(n)
+
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, weight)), F.lit(0))
+
+    t, p = F.col(TRUE), F.col(PRED)
+    sums = preds.groupBy(*keys).agg(
+        *[total((t == c) & (p == c)).alias(f"_hit_{c}") for c in classes],
+        *[total(p == c).alias(f"_said_{c}") for c in classes],
+        *[total(t == c).alias(f"_is_{c}") for c in classes],
     )
-    # A zero row per class keeps absent classes in the report.
-    blanks = cells.select(*keys).distinct() if keys else cells.select(F.lit(1).alias("_one")).limit(1)
-    blanks = blanks.select(
-        *keys, F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"),
-        *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")],
+    per_class = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("label"), F.col(f"_hit_{c}").alias("tp"),
+                (F.col(f"_said_{c}") - F.col(f"_hit_{c}")).alias("fp"),
+                (F.col(f"_is_{c}") - F.col(f"_hit_{c}")).alias("fn"),
+            )
+            for c in classes
+        ]
     )
-    parts = cells.select(*keys, F.explode(roles).alias("r")).select(*keys, "r.*").unionByName(blanks)
-    sums = parts.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return sums.filter(F.col("label").isin(*classes)).select(
+    return sums.select(*keys, F.explode_outer(per_class).alias("r")).select(*keys, "r.*").select(
         *keys, "label", "tp", "fp", "fn",
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
@@ -103,27 +113,31 @@ def classification_report(preds: DataFrame, keys: Sequence[str] = (), classes: S
                      weighted("recall").alias("recall"), weighted("f1").alias("f1"), n.alias("support")),
         ).alias("rows")
     )
-    flat = averages.select(*keys, F.explode("rows").alias("r")).select(*keys, "r.*")
+    flat = averages.select(*keys, F.explode_outer("rows").alias("r")).select(*keys, "r.*")
     return per_class.drop("tp", "fp", "fn").unionByName(flat)
 
 
-def macro_f1(preds: DataFrame, keys: Sequence[str], classes: Sequence[str] = CLASSES) -> DataFrame:
-    return class_scores(preds, keys, classes).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
+def macro_f1(
+    preds: DataFrame, keys: Sequence[str], classes: Sequence[str] = CLASSES, *, n: str | None = None
+) -> DataFrame:
+    return class_scores(preds, keys, classes, n=n).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
 
 
 def fold_summary(preds: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
     """Mean and spread of fold scores next to the score of the summed matrix.
 
-    ``std`` is the population deviation over the folds.
+    The samples are read once, into counted cells; ``std`` is the population
+    deviation over the folds.
     """
-    folds = macro_f1(preds, [*keys, fold]).join(
-        accuracy(preds, [*keys, fold]).drop("n"), [*keys, fold]
-    )
+    cells = confusion_cells(preds, [*keys, fold])
+    hit = F.when(F.col(TRUE) == F.col(PRED), F.col("n")).otherwise(0)
+    right = cells.groupBy(*keys, fold).agg((F.sum(hit) / F.sum("n")).alias("accuracy"))
+    folds = macro_f1(cells, [*keys, fold], n="n").join(right, [*keys, fold])
     spread = folds.groupBy(*keys).agg(
         F.avg("macro_f1").alias("f1_mean"), F.stddev_pop("macro_f1").alias("f1_std"),
         F.avg("accuracy").alias("acc_mean"), F.stddev_pop("accuracy").alias("acc_std"),
     )
-    whole = macro_f1(preds, keys).withColumnRenamed("macro_f1", "f1_cumulative")
+    whole = macro_f1(cells, keys, n="n").withColumnRenamed("macro_f1", "f1_cumulative")
     return spread.join(whole, list(keys))
 
 
@@ -218,12 +232,23 @@ def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataF
     if total == 0:
         return spark.createDataFrame([], "replicate long, delta double")
     ends = np.cumsum([r[2] for r in rows]).tolist()
+    stride = max(1, int(len(ends) ** 0.5))
+    coarse = ends[stride - 1 :: stride]
     draws = spark.range(0, total * replicates).select(
         F.floor(F.col("id") / total).alias("replicate"), (F.col("id") % total).alias("draw")
     )
     target = hash_word(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(total)
-    # The profile of a drawn session: how many profiles end at or before it.
-    at = let(target, lambda t: F.size(F.filter(F.lit(ends), lambda end: end <= t)))
+
+    def passed(bounds: Column, t: Column) -> Column:
+        return F.size(F.filter(bounds, lambda end: end <= t))
+
+    # The profile of a drawn session: how many profiles end at or before it, found in
+    # two short steps over every stride-th end and the ends in between.
+    def profile(t: Column) -> Column:
+        skip = passed(F.lit(coarse), t) * stride
+        return let(skip, lambda k: k + passed(F.slice(F.lit(ends), k + 1, F.lit(stride)), t))
+
+    at = let(target, profile)
     placed = draws.select("replicate", at.alias("at"))
     d, n = (F.get(F.lit([int(r[i]) for r in rows]), F.col("at")) for i in (0, 1))
     return placed.groupBy("replicate").agg((F.sum(d) / F.sum(n)).alias("delta"))
@@ -279,7 +304,10 @@ def bootstrap_interval(deltas: DataFrame, margin: float = 0.01) -> DataFrame:
 
 def permutation_deltas(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """Sign-flip replicates by hash: every session spreads to its replicates and is summed map-side."""
-    flips = counts.select(
+    spark = counts.sparkSession
+    # The per-session counts are small but fan out: spread them before they do.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    flips = counts.repartition(parts, "session").select(
         "session", (F.col("n10") - F.col("n01")).alias("d"), "n",
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )

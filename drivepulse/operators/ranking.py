@@ -18,8 +18,20 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k] == right[k] for k in keys])
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> DataFrame | bool | None:
+    """Keys with more than ``hot_rows`` rows.
+
+    None when there are none (or no limit is set), True when they are too many to
+    list, else a short table that may be broadcast: at most total/hot_rows keys
+    can be hot. One aggregate over the key columns alone.
+    """
+    if hot_rows is None:
+        return None
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
+    rows = small_rows(hot, SMALL_TABLE_ROWS)
+    if rows is None:
+        return True
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def dense_position(
@@ -29,45 +41,49 @@ def dense_position(
     *,
     slice_by: Column,
     name: str = "pos",
-    hot_rows: int = HOT_ROWS,
+    size: str | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | bool | None = False,
 ) -> DataFrame:
-    """0-based position of each row inside its key, as a long.
+    """0-based position of each row inside its key, as a long; ``size`` adds the key's row count.
 
     ``order`` must be total inside a key and ``slice_by`` must not decrease along
-    it. One aggregate over the key columns measures the keys; when none exceeds
-    ``hot_rows`` a plain window does the job. Otherwise the rows of the hot keys
-    are ranked inside (key, slice) and shifted by the rows of the earlier slices,
-    so that the largest task holds one slice instead of one key.
+    it. Keys up to ``hot_rows`` rows are ranked by a plain window. Hot keys are
+    ranked inside (key, slice) and shifted by the rows of the earlier slices, so
+    the largest task holds one slice instead of one key. ``hot`` takes the result
+    of :func:`find_hot` when it is known already.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
-    # At most total/hot_rows keys can be hot, so this list is short by construction.
-    hot_keys = small_rows(hot, SMALL_TABLE_ROWS)
-    ranks = Window.partitionBy(*keys).orderBy(*_cols(order))
-    if hot_keys is not None and not hot_keys:
-        return df.withColumn(name, F.row_number().over(ranks).cast("long") - 1)
-
-    if hot_keys is None:  # too many to list: slice every key instead
+    if hot is False:
+        hot = find_hot(df, keys, hot_rows)
+    if hot is None:
+        ranks = Window.partitionBy(*keys).orderBy(*_cols(order))
+        out = df.withColumn(name, F.row_number().over(ranks).cast("long") - 1)
+        return out if size is None else out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+    if hot is True:
         sliced = df.withColumn("_slice", slice_by)
     else:
-        spark = df.sparkSession
-        listed = spark.createDataFrame(hot_keys, hot.schema).withColumn("_hot", F.lit(True))
-        sliced = df.join(F.broadcast(listed), keys, "left").withColumn(
-            "_slice", F.when(F.col("_hot"), slice_by)
-        ).drop("_hot")
+        marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+        sliced = marked.withColumn("_slice", F.when(F.col("_hot"), slice_by)).drop("_hot")
     # One row per (key, slice): counted map-side before the shuffle.
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        F.col("_slice").alias("_r_slice"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(whole).alias("_total"),
+    )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*_cols(order))
     ranked = sliced.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-    right = offsets.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_slice").alias("_r_slice"), "_before")
     match = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_slice").eqNullSafe(F.col("_r_slice"))],
     )
-    return ranked.join(right, match).select(*df.columns, (F.col("_rank") + F.col("_before")).alias(name))
+    extra = [] if size is None else [F.col("_total").alias(size)]
+    return ranked.join(offsets, match).select(*df.columns, (F.col("_rank") + F.col("_before")).alias(name), *extra)
 
 
 def exact_quantiles(

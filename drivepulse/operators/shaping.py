@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from drivepulse.functions.domains import CHUNK_ROWS, SENSORS, SIGNAL_COLUMNS
 from drivepulse.functions.matrices import spread
 from drivepulse.functions.scalars import fit_length, length_action
-from drivepulse.operators.ranking import HOT_ROWS, dense_position
+from drivepulse.operators.ranking import HOT_ROWS, dense_position, find_hot
 
 
 def chunk_rows(
@@ -32,17 +32,17 @@ def chunk_rows(
         raise ValueError(f"chunk_size must be positive, got {chunk_size}")
     recording = list(recording)
     slice_by = F.floor(F.col(order[0]) / F.lit(1_000_000)) if slice_by is None else slice_by
-    placed = dense_position(signal, recording, list(order), slice_by=slice_by, name="_at", hot_rows=hot_rows)
-    sizes = signal.groupBy(*recording).agg(F.count(F.lit(1)).alias("_len"))
+    placed = dense_position(
+        signal, recording, list(order), slice_by=slice_by, name="_at", size="_len", hot_rows=hot_rows
+    )
     # Complete chunks of a recording are known from its length alone.
-    keep = F.col("_len") % chunk_size == 0 if strict else F.col("_len") >= chunk_size
-    whole = sizes.filter(keep).select(*recording, F.floor(F.col("_len") / chunk_size).alias("_chunks"))
+    length, at = F.col("_len"), F.col("_at")
+    whole = length % chunk_size == 0 if strict else at < length - length % chunk_size
     return (
-        placed.join(whole, recording)
-        .withColumn("chunk_id", F.floor(F.col("_at") / chunk_size).cast("int"))
-        .filter(F.col("chunk_id") < F.col("_chunks"))
-        .withColumn("pos", (F.col("_at") % chunk_size).cast("int"))
-        .drop("_at", "_chunks")
+        placed.filter(whole)
+        .withColumn("chunk_id", F.floor(at / chunk_size).cast("int"))
+        .withColumn("pos", (at % chunk_size).cast("int"))
+        .drop("_at", "_len")
     )
 
 
@@ -152,8 +152,9 @@ def stitch_fragments(
     Inside a run the fragment number minus its position is constant.
     """
     recording = list(recording)
+    hot = find_hot(fragments, recording, hot_rows)  # runs are never more than fragments
     placed = dense_position(
-        fragments, recording, [number], slice_by=F.floor(F.col(number) / 10_000), name="_at", hot_rows=hot_rows
+        fragments, recording, [number], slice_by=F.floor(F.col(number) / 10_000), name="_at", hot=hot
     )
     extra = [F.sum(size).alias("n_rows")] if size else []
     runs = placed.groupBy(*recording, (F.col(number) - F.col("_at")).alias("_island")).agg(
@@ -164,7 +165,7 @@ def stitch_fragments(
     )
     numbered = dense_position(
         runs, recording, ["first_fragment", "_island"], slice_by=F.floor(F.col("first_fragment") / 10_000), name="_run",
-        hot_rows=hot_rows,
+        hot=hot,
     )
     return numbered.withColumn("run", F.col("_run") + 1).drop("_run", "_island")
 

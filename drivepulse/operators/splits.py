@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
 from drivepulse.functions.scalars import hash_word
-from drivepulse.operators.ranking import HOT_ROWS, dense_position
+from drivepulse.operators.ranking import HOT_ROWS, dense_position, find_hot
 from drivepulse.session import small_rows
 
 WORD_SLICE = 1 << 20  # 4096 slices over the 32-bit hash range
@@ -137,7 +137,8 @@ def balanced_sample(
     inner = dense_position(
         keyed, [*cell, drive], ["_h", key], slice_by=F.floor(F.col("_h") / WORD_SLICE), name="_round", hot_rows=hot_rows
     ).filter(F.col("_round") < cap)  # later rounds of one drive can never be reached
-    outer = dense_position(inner, list(cell), ["_round", "_h", key], slice_by=F.col("_round"), name="_at", hot_rows=hot_rows)
+    hot = find_hot(samples, cell, hot_rows)
+    outer = dense_position(inner, list(cell), ["_round", "_h", key], slice_by=F.col("_round"), name="_at", hot=hot)
     return outer.filter(F.col("_at") < cap).drop("_h", "_round", "_at")
 
 
