@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES, LABEL_IDS
@@ -31,6 +31,22 @@ def hash_word(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
 
 
+def with_mix32(df: DataFrame, out: str, word: Column) -> DataFrame:
+    """Integer mixing of a 32-bit word: cheap enough for one call per simulated draw.
+
+    Each round is a column of its own; as one expression it would be written out
+    many times over, since every round uses its input twice.
+    """
+    def fold(name: str) -> Column:
+        return F.shiftright(name, 16).bitwiseXOR(F.col(name))
+
+    mask, factor = F.lit(0xFFFFFFFF), F.lit(0x45D9F3B).cast("long")
+    first = df.withColumn("_mix0", word.cast("long"))
+    second = first.withColumn("_mix1", (fold("_mix0") * factor).bitwiseAND(mask))
+    third = second.withColumn("_mix2", (fold("_mix1") * factor).bitwiseAND(mask))
+    return third.withColumn(out, fold("_mix2")).drop("_mix0", "_mix1", "_mix2")
+
+
 def hash_bucket(n: int, *parts: Column | str) -> Column:
     return hash_word(*parts) % F.lit(n)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
-from drivepulse.functions.scalars import hash_word, let
+from drivepulse.functions.scalars import hash_word, let, with_mix32
 from drivepulse.operators.ranking import exact_quantiles
 from drivepulse.session import small_rows
 
@@ -234,10 +234,14 @@ def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataF
     ends = np.cumsum([r[2] for r in rows]).tolist()
     stride = max(1, int(len(ends) ** 0.5))
     coarse = ends[stride - 1 :: stride]
-    draws = spark.range(0, total * replicates).select(
-        F.floor(F.col("id") / total).alias("replicate"), (F.col("id") % total).alias("draw")
+    draws = spark.range(0, total * replicates)
+    # Two mixed words give 63 bits, so the pool may hold far more than 2^32 sessions.
+    low, high = F.col("_low"), F.col("_high")
+    draws = with_mix32(draws, "_low", F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(seed)))
+    draws = with_mix32(
+        draws, "_high", low.bitwiseXOR(F.shiftright("id", 32)).bitwiseXOR(F.lit(0x5BD1E995).cast("long"))
     )
-    target = hash_word(F.lit(seed), F.col("replicate"), F.col("draw")) % F.lit(total)
+    target = (high.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(1 << 32) + low) % F.lit(total)
 
     def passed(bounds: Column, t: Column) -> Column:
         return F.size(F.filter(bounds, lambda end: end <= t))
@@ -249,7 +253,7 @@ def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataF
         return let(skip, lambda k: k + passed(F.slice(F.lit(ends), k + 1, F.lit(stride)), t))
 
     at = let(target, profile)
-    placed = draws.select("replicate", at.alias("at"))
+    placed = draws.select(F.expr(f"id div {total}").alias("replicate"), at.alias("at"))
     d, n = (F.get(F.lit([int(r[i]) for r in rows]), F.col("at")) for i in (0, 1))
     return placed.groupBy("replicate").agg((F.sum(d) / F.sum(n)).alias("delta"))
 
@@ -280,8 +284,10 @@ def _profile_replicates(counts: DataFrame, replicates: int, seed: int, kind: str
         for batch in batches:
             deltas = []
             for rep in batch["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                if kind == "bootstrap":
+                rng = np.random.default_rng([seed, int(rep) + 1])
+                if rep < 0:
+                    deltas.append((c * d).sum() / (c * n).sum())
+                elif kind == "bootstrap":
                     times = rng.multinomial(c.sum(), c / c.sum())
                     deltas.append((times * d).sum() / (times * n).sum())
                 else:
@@ -289,7 +295,7 @@ def _profile_replicates(counts: DataFrame, replicates: int, seed: int, kind: str
                     deltas.append(((2 * heads - c) * d).sum() / (c * n).sum())
             yield pd.DataFrame({"replicate": batch["id"], "delta": deltas})
 
-    return spark.range(replicates).mapInPandas(draw, "replicate long, delta double")
+    return spark.range(0 if kind == "bootstrap" else -1, replicates).mapInPandas(draw, "replicate long, delta double")
 
 
 def bootstrap_interval(deltas: DataFrame, margin: float = 0.01) -> DataFrame:
@@ -303,25 +309,33 @@ def bootstrap_interval(deltas: DataFrame, margin: float = 0.01) -> DataFrame:
 
 
 def permutation_deltas(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """Sign-flip replicates by hash: every session spreads to its replicates and is summed map-side."""
+    """Sign-flip replicates by hash: every session spreads to its replicates and is summed map-side.
+
+    Replicate -1 is the unflipped sum, so the observed value needs no second pass.
+    """
     spark = counts.sparkSession
     # The per-session counts are small but fan out: spread them before they do.
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flips = counts.repartition(parts, "session").select(
-        "session", (F.col("n10") - F.col("n01")).alias("d"), "n",
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
+        hash_word(F.lit(seed), F.col("session")).alias("_w"), (F.col("n10") - F.col("n01")).alias("d"), "n",
+        F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("replicate"),
     )
-    sign = F.when(hash_word(F.lit(seed), F.col("session"), F.col("replicate")) % 2 == 0, 1).otherwise(-1)
+    # One digest per session, one cheap mix per replicate.
+    flips = with_mix32(flips, "_r", F.greatest("replicate", F.lit(0)))
+    flips = with_mix32(flips, "_s", F.col("_w").bitwiseXOR(F.col("_r")))
+    sign = F.when((F.col("replicate") < 0) | (F.col("_s") % 2 == 0), 1).otherwise(-1)
     return flips.groupBy("replicate").agg((F.sum(F.col("d") * sign) / F.sum("n")).alias("delta"))
 
 
-def permutation_p(counts: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Two-sided p: share of flipped differences at least as large as the observed one."""
-    observed = counts.agg((F.sum(F.col("n10") - F.col("n01")) / F.sum("n")).alias("observed"))
-    return deltas.withColumn("observed", observed.scalar()).agg(
-        F.max("observed").alias("observed"),
-        F.avg((F.abs("delta") >= F.abs("observed") - F.lit(1e-12)).cast("double")).alias("p_value"),
-    )
+def permutation_p(deltas: DataFrame) -> DataFrame:
+    """Two-sided p: share of flipped differences at least as large as the observed one.
+
+    ``deltas`` holds one row per replicate, a number fixed by the caller.
+    """
+    flipped = F.collect_list(F.when(F.col("replicate") >= 0, F.abs("delta")))
+    out = deltas.agg(F.max(F.when(F.col("replicate") < 0, F.col("delta"))).alias("observed"), flipped.alias("_f"))
+    reached = F.filter("_f", lambda d: d >= F.abs("observed") - F.lit(1e-12))
+    return out.select("observed", (F.size(reached) / F.size("_f")).alias("p_value"))
 
 
 def design_effect(sizes: DataFrame) -> DataFrame:

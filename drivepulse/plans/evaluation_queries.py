@@ -8,7 +8,7 @@ from drivepulse.functions.domains import CLASSES, VEHICLES
 from drivepulse.functions.scalars import half_up
 from drivepulse.operators import evaluation as ev
 from drivepulse.plans.registry import half_up_sql as r
-from drivepulse.plans.registry import hash_sql, query
+from drivepulse.plans.registry import hash_sql, mix_sql, query
 from drivepulse.plans.views import PACK_METRICS, PANEL, PRED, panel, pred, table
 
 REPLICATES = 200
@@ -185,8 +185,10 @@ def q_effect(spark, sf):
 
 DRAWS = PAIRED + f""",
 ordered AS (SELECT n10 - n01 AS d, n, row_number() OVER (ORDER BY n10 - n01, n) - 1 AS place, count(*) OVER () AS total FROM sess),
-draws AS (SELECT i // total AS replicate, {hash_sql('42', 'i // total', 'i % total')} % total AS t
+ids AS (SELECT i, total, {mix_sql('xor(i & 4294967295, 42)')} AS low
   FROM (SELECT unnest(range((SELECT count(*) FROM sess) * {REPLICATES})) AS i), (SELECT count(*) AS total FROM sess)),
+words AS (SELECT i, total, low, {mix_sql('xor(xor(low, i >> 32), 1540483477)')} AS high FROM ids),
+draws AS (SELECT i // total AS replicate, ((high & 2147483647) * 4294967296 + low) % total AS t FROM words),
 deltas AS (SELECT replicate, sum(d) / sum(n) AS delta FROM draws JOIN ordered ON t = place GROUP BY 1)"""
 
 
@@ -214,21 +216,19 @@ def q_multinomial(spark, sf):
 @query(
     "permutation_test",
     "WITH " + PAIRED + f""",
-flips AS (SELECT session, n10 - n01 AS d, n, unnest(range({REPLICATES})) AS replicate FROM sess),
-deltas AS (SELECT replicate, sum(d * (CASE WHEN {hash_sql('42', 'session', 'replicate')} % 2 = 0 THEN 1 ELSE -1 END)) / sum(n) AS delta FROM flips GROUP BY 1),
+flips AS (SELECT {hash_sql('42', 'session')} AS w, n10 - n01 AS d, n, unnest(range({REPLICATES})) AS replicate FROM sess),
+deltas AS (SELECT replicate, sum(d * (CASE WHEN {mix_sql('xor(w, ' + mix_sql('replicate') + ')')} % 2 = 0 THEN 1 ELSE -1 END)) / sum(n) AS delta FROM flips GROUP BY 1),
 o AS (SELECT sum(n10 - n01) / sum(n) AS observed FROM sess)
 SELECT {r('max(observed)', 8)} AS observed, {r('avg(CAST(abs(delta) >= abs(observed) - 1e-12 AS DOUBLE))', 6)} AS p_value FROM deltas, o""",
 )
 def q_permutation(spark, sf):
-    counts = paired(spark, sf)
-    out = ev.permutation_p(counts, ev.permutation_deltas(counts, REPLICATES))
+    out = ev.permutation_p(ev.permutation_deltas(paired(spark, sf), REPLICATES))
     return out.select(half_up(F.col("observed"), 8).alias("observed"), half_up(F.col("p_value"), 6).alias("p_value"))
 
 
 @query("permutation_binomial")
 def q_binomial(spark, sf):
-    counts = paired(spark, sf)
-    return ev.permutation_p(counts, ev.permutation_binomial(counts, 20_000))
+    return ev.permutation_p(ev.permutation_binomial(paired(spark, sf), 20_000))
 
 
 @query(

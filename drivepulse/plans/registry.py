@@ -28,6 +28,15 @@ def half_up_sql(expr: str, digits: int) -> str:
     return f"(floor(({expr})*1e{digits}+0.5e0)/1e{digits})"
 
 
+def mix_sql(word: str) -> str:
+    """SQL form of :func:`drivepulse.functions.scalars.with_mix32`."""
+    def fold(x: str) -> str:
+        return f"xor(({x}) >> 16, {x})"
+
+    once = f"(({fold(word)} * 73244475) & 4294967295)"
+    return fold(f"(({fold(once)} * 73244475) & 4294967295)")
+
+
 def hash_sql(*parts: str) -> str:
     """SQL form of :func:`drivepulse.functions.scalars.hash_word`."""
     text = "||'|'||".join(f"CAST({p} AS VARCHAR)" for p in parts)

@@ -11,6 +11,12 @@ from drivepulse.functions.domains import CLASSES, RECORDING_SUFFIX, SENSORS, VEH
 from drivepulse.functions.scalars import let
 
 
+def plain_path(path: Column) -> Column:
+    """One spelling for a path: listings and file metadata differ in escapes and slashes."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "/")
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """All files below ``root`` as ``path``; file contents are never read.
 

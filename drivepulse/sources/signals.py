@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from drivepulse.functions.domains import ALLOWED_ROW_COUNTS, CHUNK_ROWS, CLASSES, META_COLUMNS, SIGNAL_COLUMNS
 from drivepulse.functions.scalars import encode_label
+from drivepulse.sources.paths import plain_path
 
 SIGNAL_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in META_COLUMNS]
@@ -24,7 +25,7 @@ def check_columns(present: Sequence[str]) -> None:
         raise ValueError(f"missing metadata columns: {missing}")
 
 
-def scan_signals(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def scan_signals(spark: SparkSession, paths: str | Sequence[str], *, skip_unreadable: bool = False) -> DataFrame:
     """Recordings as rows with ``path``; NaN samples become null.
 
     The header of the files decides which columns exist, so files that lack a
@@ -40,13 +41,14 @@ def scan_signals(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .option("enforceSchema", False)
         .option("recursiveFileLookup", True)
         .option("nanValue", "NaN")
+        .option("ignoreCorruptFiles", skip_unreadable)
         .csv(paths)
     )
     if "time_idx" not in header.columns:
         raise ValueError("missing time_idx: rows of a distributed scan have no order of their own")
     wanted = [c for c in header.columns if c in fields]
     clean = {c: F.nanvl(F.col(c), F.lit(None).cast("float")) for c in SIGNAL_COLUMNS if c in wanted}
-    return raw.select(F.col("_metadata.file_path").alias("path"), *wanted).withColumns(clean)
+    return raw.select(plain_path(F.col("_metadata.file_path")).alias("path"), *wanted).withColumns(clean)
 
 
 def recording_meta(

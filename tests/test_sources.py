@@ -188,3 +188,46 @@ def test_polygon_box(spark):
     )
     out = [r[0] for r in df.select(health.polygon_box(F.col("p"), F.lit(2000), F.lit(1280))).collect()]
     assert tuple(out[0]) == (0.1, 0.1, 0.5, 1.0) and out[1] is None and out[2] is None
+
+
+def test_tree_to_models(spark, tmp_path):
+    from drivepulse.plans import training
+
+    root = str(tmp_path / "tree")
+    for c in CLASSES:
+        for rec in range(5):
+            write_csv(root, "KONA", c, "Vib_TM", rec * 10 + CLASSES.index(c), 40 if rec else 30)
+    index = training.build_index(spark, root, str(tmp_path / "index"))
+    assert index.count() == 25
+    split = training.split_groups(index)
+    sides = {r["side"]: r["count"] for r in split.groupBy("side").count().collect()}
+    assert sides == {"train": 20, "val": 5}
+    sinks.write_splits(split, str(tmp_path / "splits"))
+    assert spark.read.json(str(tmp_path / "splits")).count() == 25
+    chunks = training.load_chunks(index, chunk_size=20)
+    # Recordings of 30 rows are rejected as a whole.
+    assert chunks.count() == 5 * 4 * 2 and {len(r["x"]) for r in chunks.collect()} == {20}
+    assert {r["cls"] for r in chunks.select("cls").distinct().collect()} == set(range(5))
+    exported = training.export_validation_chunks(index, split, str(tmp_path / "val"), chunk_size=20)
+    held = {r["group_key"] for r in split.filter("side = 'val'").collect()}
+    assert {r["group_key"] for r in exported.collect()} <= held
+    report = training.train_sensors(chunks, split, str(tmp_path / "out"), n_features=84, sensors=["Vib_TM"], max_iter=5)
+    assert report.filter("label = 'macro avg'").count() == 1
+    assert os.path.isdir(tmp_path / "out" / "models" / "slot=Vib_TM")
+    assert spark.read.json(str(tmp_path / "out" / "summary")).count() == 9
+
+
+def test_large_file_lists_are_filtered_by_a_join(spark, tmp_path, monkeypatch):
+    from drivepulse.plans import training
+
+    root = str(tmp_path / "ordner mit ümlaut+x")
+    for rec in range(4):
+        write_csv(root, "KONA", "ECC20", "Vib_TM", rec, 20)
+    index = training.build_index(spark, root)
+    some = index.filter("group_key like '%zsplit002' or group_key like '%zsplit003'").select("sensor", "group_key")
+    listed = training.load_chunks(index, some, chunk_size=20)
+    rows = sorted((r["group_key"], r["x"]) for r in listed.collect())
+    assert len(rows) == 2
+    monkeypatch.setattr(training, "LISTED_FILES", 1)
+    joined = training.load_chunks(index, some, chunk_size=20)
+    assert sorted((r["group_key"], r["x"]) for r in joined.collect()) == rows
