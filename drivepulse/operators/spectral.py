@@ -4,6 +4,7 @@ indexed [frequency][time]; every feature is a projection, so nothing is shuffled
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -60,28 +61,55 @@ def jet(value: Column) -> list[Column]:
     return [channel(o) for o in (3.0, 2.0, 1.0)]
 
 
-def colour_table(spark) -> DataFrame:
-    """Nearest of the 256 map colours for each voxel of the colour cube.
+@cache
+def _nearest_colours() -> np.ndarray:
+    """Index of the nearest of the 256 map colours for each voxel of the colour cube.
 
-    Exactly 64³ rows by construction, so it may always be broadcast. Distances are
-    integers between voxel centres and colours; ties go to the lower index.
+    Distances are integers between voxel centres and colours; ties go to the lower
+    index. Built once per worker from the rule of the map.
     """
     side = VOXELS_PER_AXIS
+    v = np.arange(256) / 255.0
+    offsets = np.array([3.0, 2.0, 1.0])[:, None]
+    colours = np.floor(np.clip(1.5 - np.abs(4.0 * v - offsets), 0, 1) * 255.0).astype("int32")
+    centres = np.arange(side, dtype="int32") * VOXEL_STEP + VOXEL_STEP // 2
+    gap = (centres[None, :, None] - colours[:, None, :]) ** 2  # channel, voxel, colour
+    plane = gap[1][:, None, :] + gap[2][None, :, :]
+    return np.stack([(plane + gap[0][i]).argmin(axis=2) for i in range(side)]).reshape(-1).astype("int32")
+
+
+def colour_table(spark) -> DataFrame:
+    """Voxel number and nearest colour: exactly 64³ rows, so it may always be broadcast."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = np.arange(256) / 255.0
-        offsets = np.array([3.0, 2.0, 1.0])[:, None]
-        colours = np.floor(np.clip(1.5 - np.abs(4.0 * v - offsets), 0, 1) * 255.0).astype("int64")
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            best = np.empty(len(ids), dtype="int32")
-            for part in np.array_split(np.arange(len(ids)), max(1, len(ids) // 4096)):
-                axes = np.stack([ids[part] // (side * side), ids[part] // side % side, ids[part] % side])
-                gap = (axes * VOXEL_STEP + VOXEL_STEP // 2)[:, :, None] - colours[:, None, :]
-                best[part] = (gap * gap).sum(axis=0).argmin(axis=1)
-            yield pd.DataFrame({"voxel": ids, "colour": best})
+            yield pd.DataFrame({"voxel": batch["id"], "colour": _nearest_colours()[batch["id"].to_numpy()]})
+
+    return spark.range(VOXELS_PER_AXIS**3).mapInPandas(nearest, "voxel long, colour int")
+
+
+def maps_from_images(images: DataFrame, *, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """Spectrogram matrix of each decoded image, without unfolding it into pixels.
+
+    Every image is inverted where it was read; image row 0 is the highest frequency.
+    """
+    keys = list(keys)
+    schema = images.select(*keys, F.array(F.array(F.lit(0.0))).alias("e")).schema
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        side = VOXELS_PER_AXIS
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.iloc[i : i + 1]
+                shape = (int(row["height"].iat[0]), int(row["width"].iat[0]), int(row["channels"].iat[0]))
+                bgr = np.frombuffer(row["data"].iat[0], dtype="uint8").reshape(shape).astype("int32") // VOXEL_STEP
+                red, green, blue = (bgr[..., min(c, shape[2] - 1)] if shape[2] > 1 else bgr[..., 0] for c in (2, 1, 0))
+                e = _nearest_colours()[(red * side + green) * side + blue][::-1] / 255.0
+                out = row[keys].copy()
+                out["e"] = [e.tolist()]
+                yield out
 
-    return spark.range(side**3).mapInPandas(nearest, "voxel long, colour int")
+    return images.select(*keys, "height", "width", "channels", "data").mapInPandas(invert, schema)
 
 
 def recover_scalar(pixels: DataFrame, *, red: str = "r", green: str = "g", blue: str = "b", out: str = "e") -> DataFrame:
@@ -244,6 +272,74 @@ def sensor_features(maps: DataFrame, *, keys: Sequence[str], rpm: str = "rpm", r
     return shape_of_column(absolute, keys=done, column="o", prefix="ord_")
 
 
+def _shape_arrays(e: np.ndarray) -> dict[str, np.ndarray]:
+    """The twelve distribution features of every column of (frequency, time); NaN bins are absent."""
+    height = len(e)
+    known = ~np.isnan(e)
+    filled = np.where(known, e, 0.0)
+    p = filled / (filled.sum(axis=0) + EPS)
+    band = np.arange(height) * BANDS // height
+    out = {f"band_{j}": p[band == j].sum(axis=0) for j in range(BANDS)}
+    out["centroid"] = (np.arange(height)[:, None] * p).sum(axis=0)
+    out["entropy"] = -(p * np.log(p + EPS)).sum(axis=0)
+    reached = np.cumsum(p, axis=0) >= ROLLOFF_SHARE
+    out["rolloff"] = pd.array(reached.argmax(axis=0), dtype="Int32")
+    out["rolloff"][~reached.any(axis=0)] = pd.NA
+    n = known.sum(axis=0)
+    logs = np.where(known, np.log(filled + EPS), 0.0).sum(axis=0) / n
+    out["log_flatness"] = logs - np.log(filled.sum(axis=0) / n + EPS)
+    return out
+
+
+def _feature_rows(e: np.ndarray, rpm: float, reference_rpm: float) -> pd.DataFrame:
+    height, steps = e.shape
+    centred = e - np.median(e, axis=1, keepdims=True)
+    z = centred / (MAD_SCALE * (np.median(np.abs(centred), axis=1, keepdims=True) + MAD_FLOOR))
+    above = z > np.quantile(z, THRESHOLD_QUANTILE)
+    start = pd.array(above.argmax(axis=0), dtype="Int32")
+    end = pd.array(height - 1 - above[::-1].argmax(axis=0), dtype="Int32")
+    start[~above.any(axis=0)] = end[~above.any(axis=0)] = pd.NA
+    rows = {
+        "t": np.arange(steps, dtype="int32"), "rpm": np.full(steps, rpm), "peak_freq_bin": z.argmax(axis=0),
+        "band_start": start, "band_end": end, "rms": np.sqrt((e * e).mean(axis=0)),
+    }
+    u = np.arange(height) * (rpm / reference_rpm)
+    low = np.minimum(np.floor(u).astype(int), height - 1)
+    left, right = e[low], e[np.minimum(low + 1, height - 1)]
+    order = left + (right - left) * (u - low)[:, None]
+    order[u > height - 1] = np.nan
+    for prefix, m in (("abs_", e), ("ord_", order)):
+        rows |= {f"{prefix}{k}": v for k, v in _shape_arrays(m).items()}
+    return pd.DataFrame(rows)
+
+
+def sensor_features_batched(
+    maps: DataFrame, *, keys: Sequence[str], rpm: str = "rpm", reference_rpm: float, matrix: str = "e"
+) -> DataFrame:
+    """The rows of :func:`sensor_features` for image-sized maps.
+
+    A map of 2.5 million cells is one numpy array here instead of as many boxed
+    values; maps still never leave their task.
+    """
+    keys = list(keys)
+    whole = {"t", "peak_freq_bin", "band_start", "band_end", "abs_rolloff", "ord_rolloff"}
+    names = ["t", "rpm", *BASIC, *[f"{p}{s}" for p in ("abs_", "ord_") for s in SHAPE]]
+    schema = maps.select(
+        *keys, *[F.lit(None).cast("int" if n in whole else "double").alias(n) for n in names]
+    ).schema
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                e = np.stack([np.asarray(r, dtype="float64") for r in batch[matrix].iat[i]])
+                rows = _feature_rows(e, float(batch["_rpm"].iat[i]), float(reference_rpm))
+                for k in keys:
+                    rows[k] = batch[k].iat[i]
+                yield rows[[*keys, *names]]
+
+    return maps.select(*keys, F.col(rpm).alias("_rpm"), matrix).mapInPandas(features, schema)
+
+
 def feature_set(name: str, *, left_out: str = "log_flatness", temperature: str = "temperature") -> list[str]:
     """Column list per sensor of an ablation configuration (named by its fused width).
 

@@ -6,6 +6,7 @@ from math import pi
 
 from pyspark.sql import functions as F
 
+from drivepulse.functions.domains import SENSORS
 from drivepulse.functions.matrices import spread
 from drivepulse.functions.scalars import half_up
 from drivepulse.operators import shaping, spectral
@@ -148,48 +149,67 @@ _A = ", ".join(f"{r('a.' + c, 5)} AS abs_{c}" for c in [f"band_{j}" for j in ran
 _O = ", ".join(f"{r('o.' + c, 5)} AS ord_{c}" for c in [f"band_{j}" for j in range(8)] + ["centroid", "entropy", "log_flatness"])
 
 
-@query(
-    "sensor_features",
+_FEATURES = (
     "WITH " + _BASIC + _ORDER[len(SPEC):] + _shape_sql("spec", "sa") + _shape_sql("ord", "so") + f"""
 SELECT b.vec_id, CAST(b.t AS INTEGER) AS t, CAST(b.pk AS INTEGER) AS peak_freq_bin, CAST(b.b0 AS INTEGER) AS band_start, CAST(b.b1 AS INTEGER) AS band_end,
   {r('b.rms', 6)} AS rms, q.rpm, CAST(a.rolloff AS INTEGER) AS abs_rolloff, CAST(o.rolloff AS INTEGER) AS ord_rolloff, {_A}, {_O}
 FROM basic b JOIN sa a ON a.vec_id = b.vec_id AND a.t = b.t JOIN so o ON o.vec_id = b.vec_id AND o.t = b.t
-JOIN (SELECT DISTINCT vec_id, rpm FROM spec) q ON q.vec_id = b.vec_id""",
+JOIN (SELECT DISTINCT vec_id, rpm FROM spec) q ON q.vec_id = b.vec_id"""
 )
+
+
+@query("sensor_features", _FEATURES)
 def q_all(spark, sf):
     out = spectral.sensor_features(spec(spark, sf), keys=["vec_id"], reference_rpm=REF_RPM)
     out = _rounded(_rounded(out, "abs_"), "ord_")
     return out.withColumn("rms", half_up(F.col("rms"), 6))
 
 
-def _ablation_width(spark, sf, name):
-    feats = spectral.sensor_features(spec(spark, sf), keys=["vec_id"], reference_rpm=REF_RPM)
-    feats = feats.withColumn("temperature", F.lit(40.0))
-    cols = spectral.feature_set(name)
-    p = spectral.channel_panel(feats, keys=["vec_id"], columns=cols)
-    sensor = F.get(F.array(*[F.lit(s) for s in ("Current_U", "Vib_Motor", "Vib_TM")]), (F.col("vec_id") % 3).cast("int"))
-    keyed = p.select(F.floor(F.col("vec_id") / 3).alias("session"), sensor.alias("sensor"), "channels")
-    return shaping.fuse_sensors(keyed, session=["session"])
+@query("sensor_features_batched", _FEATURES)
+def q_batched(spark, sf):
+    out = spectral.sensor_features_batched(spec(spark, sf), keys=["vec_id"], reference_rpm=REF_RPM)
+    out = _rounded(_rounded(out, "abs_"), "ord_")
+    return out.withColumn("rms", half_up(F.col("rms"), 6))
 
 
-@query(
-    "fused_87",
-    """WITH s AS (SELECT vec_id // 3 AS session, count(DISTINCT vec_id % 3) AS n FROM embeddings GROUP BY 1)
-SELECT session, CAST(87 AS INTEGER) AS channels, CAST(8 AS INTEGER) AS length FROM s WHERE n = 3""",
-)
+def _fused_totals(spark, sf, name):
+    """Sum of every fused channel per session."""
+    feats = spectral.sensor_features_batched(spec(spark, sf), keys=["vec_id"], reference_rpm=REF_RPM)
+    panels = spectral.channel_panel(feats, keys=["vec_id"], columns=spectral.feature_set(name))
+    sensor = F.get(F.array(*[F.lit(s) for s in SENSORS]), (F.col("vec_id") % 3).cast("int"))
+    keyed = panels.select(F.floor(F.col("vec_id") / 3).alias("session"), sensor.alias("sensor"), "channels")
+    fused = shaping.fuse_sensors(keyed, session=["session"])
+    rows = spread(fused, ["session", "length"], "fused", "channel", "_c")
+    total = F.aggregate(
+        F.filter("_c", lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(0.0), lambda a, v: a + v.cast("double")
+    )
+    return rows.select("session", "length", "channel", half_up(total, 2).alias("total"))
+
+
+def _fused_sql(name):
+    columns = spectral.feature_set(name)
+    plain = {"peak_freq_bin": "b.pk", "band_start": "b.b0", "band_end": "b.b1", "rms": "b.rms", "rpm": "q.rpm"}
+    source = [plain.get(c, f"a.{c[4:]}" if c.startswith("abs_") else f"o.{c[4:]}") for c in columns]
+    values = ", ".join(f"CAST({c} AS FLOAT)::DOUBLE" for c in source)
+    return (
+        "WITH " + _BASIC + _ORDER[len(SPEC):] + _shape_sql("spec", "sa") + _shape_sql("ord", "so") + f""",
+whole AS (SELECT vec_id // 3 AS session FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 3) = 3),
+wide AS (SELECT b.vec_id, b.t, [{values}] AS v FROM basic b JOIN sa a ON a.vec_id = b.vec_id AND a.t = b.t
+  JOIN so o ON o.vec_id = b.vec_id AND o.t = b.t JOIN (SELECT DISTINCT vec_id, rpm FROM spec) q ON q.vec_id = b.vec_id),
+tall AS (SELECT vec_id, t, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS j FROM wide)
+SELECT vec_id // 3 AS session, CAST(count(DISTINCT t) AS INTEGER) AS length, CAST((vec_id % 3) * {len(columns)} + j AS INTEGER) AS channel,
+  {r('coalesce(sum(v), 0e0)', 2)} AS total FROM tall JOIN whole ON session = vec_id // 3 GROUP BY vec_id, j"""
+    )
+
+
+@query("fused_87", _fused_sql("87"))
 def q_fused(spark, sf):
-    out = _ablation_width(spark, sf, "87")
-    return out.select("session", F.size("fused").alias("channels"), "length")
+    return _fused_totals(spark, sf, "87")
 
 
-@query(
-    "fused_48",
-    """WITH s AS (SELECT vec_id // 3 AS session, count(DISTINCT vec_id % 3) AS n FROM embeddings GROUP BY 1)
-SELECT session, CAST(48 AS INTEGER) AS channels, CAST(8 AS INTEGER) AS length FROM s WHERE n = 3""",
-)
+@query("fused_48", _fused_sql("48"))
 def q_fused_48(spark, sf):
-    out = _ablation_width(spark, sf, "48")
-    return out.select("session", F.size("fused").alias("channels"), "length")
+    return _fused_totals(spark, sf, "48")
 
 
 _COND = LENIENT.replace("CASE WHEN event_id % 20 <> 0 THEN value END AS rms", "value AS rms, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS act")

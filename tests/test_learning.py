@@ -165,12 +165,13 @@ def test_late_fusion(spark):
 
 
 # Spectra against plain numpy
-def test_sensor_features_match_numpy(spark):
+@pytest.mark.parametrize("form", [spectral.sensor_features, spectral.sensor_features_batched])
+def test_sensor_features_match_numpy(spark, form):
     rng = np.random.default_rng(9)
     h, t, rpm, ref = 20, 17, 4000.0, 5700.0
     e = rng.random((h, t))
     df = spark.createDataFrame([(1, rpm, e.tolist())], "id int, rpm double, e array<array<double>>")
-    out = {r["t"]: r for r in spectral.sensor_features(df, keys=["id"], reference_rpm=ref).collect()}
+    out = {r["t"]: r for r in form(df, keys=["id"], reference_rpm=ref).collect()}
     med = np.median(e, axis=1, keepdims=True)
     z = (e - med) / (1.4826 * (np.median(np.abs(e - med), axis=1, keepdims=True) + 1e-6))
     limit = np.quantile(z, 0.9)

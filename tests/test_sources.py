@@ -153,6 +153,8 @@ def test_spectrogram_pixels_come_back_as_values(spark, tmp_path):
     assert max(abs(r["e"] - v[r["row"], r["col"]]) for r in values.collect()) < 0.02
     (m,) = spectral.assemble_map(values, ["path"]).collect()
     assert np.allclose(np.array(m["e"])[::-1], v, atol=0.02)
+    (whole,) = spectral.maps_from_images(binary.scan_spectrograms(spark, str(tmp_path))).collect()
+    assert whole["e"] == m["e"]
 
 
 def test_pack_index_pairing(spark):
