@@ -385,10 +385,13 @@ def balanced_weights(samples: DataFrame, label: str = "cls", classes: int | None
 
 def group_inventory(samples: DataFrame, by: str, group: str, label: str, classes: Sequence[str] = CLASSES) -> DataFrame:
     """Samples and distinct groups per ``by`` and distinct groups per class."""
-    # Distinct (by, class, group) first: the second step only sees groups.
-    groups = samples.groupBy(by, label, group).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per group with a mark per class: plain sums follow, no distinct aggregates.
+    groups = samples.groupBy(by, group).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.max(F.when(F.col(label) == c, 1).otherwise(0)).alias(f"_has_{c}") for c in classes],
+    )
     return groups.groupBy(by).agg(
         F.sum("_n").alias("n_samples"),
-        F.countDistinct(group).alias("n_groups"),
-        *[F.countDistinct(F.when(F.col(label) == c, F.col(group))).alias(c) for c in classes],
+        F.count(group).alias("n_groups"),
+        *[F.sum(f"_has_{c}").alias(c) for c in classes],
     )

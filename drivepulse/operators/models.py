@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
-from drivepulse.functions.scalars import argmax0, decode_label, let, pick, softmax
-from drivepulse.operators.evaluation import balanced_weights, macro_f1
+from drivepulse.functions.scalars import argmax0, decode_label, let, lookup, pick, softmax
+from drivepulse.operators.evaluation import macro_f1
 from drivepulse.session import broadcast_if_small
 
 
@@ -24,21 +24,22 @@ def train(
 
     The penalty is per sample in MLlib, so 1/(C · Σw) equals the usual C.
     """
-    data = features.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(column).cast("array<double>")).alias("v"))
-    weight = None
-    if balanced:
-        # One row per class.
-        w = balanced_weights(features.select(label), label)
-        w = w.select(F.col(label).cast("double").alias("label"), F.col("weight").alias("w"))
-        data, weight = data.join(F.broadcast(w), "label"), "w"
-    total = data.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    if not total:
+    counts = {r[0]: r[1] for r in features.groupBy(label).count().collect()}  # one row per class
+    if not counts:
         raise ValueError("no samples to train on")
+    # Balanced weights n / (k · n_c) add up to n, as unit weights do.
+    total = sum(counts.values())
+    shares = {int(k): total / (len(counts) * n) for k, n in counts.items()}
+    data = features.select(
+        F.col(label).cast("double").alias("label"),
+        array_to_vector(F.col(column).cast("array<double>")).alias("v"),
+        (lookup(shares, F.col(label).cast("int")) if balanced else F.lit(1.0)).alias("w"),
+    )
     lr = LogisticRegression(
-        featuresCol="v", labelCol="label", family="multinomial", regParam=1.0 / (c * float(total)), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter,
+        featuresCol="v", labelCol="label", family="multinomial", regParam=1.0 / (c * total), elasticNetParam=0.0,
+        standardization=False, maxIter=max_iter, weightCol="w",
     )
-    return (lr.setWeightCol(weight) if weight else lr).fit(data)
+    return lr.fit(data)
 
 
 def train_slots(
@@ -104,8 +105,11 @@ def coefficient_table(spark: SparkSession, models: Mapping[str, LogisticRegressi
 def linear_probabilities(
     features: DataFrame, coefficients: DataFrame, *, slot: str = "sensor", column: str = "features", out: str = "probs"
 ) -> DataFrame:
-    """Softmax of the linear scores of each row's slot, all slots in one pass."""
-    table = broadcast_if_small(coefficients.withColumnRenamed("slot", slot), 1_000)
+    """Softmax of the linear scores of each row's slot, all slots in one pass.
+
+    A slot's weights take well under a megabyte, so 64 of them may be broadcast.
+    """
+    table = broadcast_if_small(coefficients.withColumnRenamed("slot", slot), 64)
 
     def dot(w: Column, x: Column) -> Column:
         return F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)

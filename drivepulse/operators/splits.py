@@ -42,8 +42,9 @@ def trial_report(trials: DataFrame, *, by: str, label: str, classes: Sequence[st
     out = trials.groupBy(by, "seed").agg(
         F.count_if(train).alias("n_train_groups"),
         F.count_if(val).alias("n_val_groups"),
-        F.countDistinct(F.when(train & known, F.col(label))).alias("n_train_classes"),
-        F.countDistinct(F.when(val & known, F.col(label))).alias("n_val_classes"),
+        # At most one entry per known class.
+        F.size(F.collect_set(F.when(train & known, F.col(label)))).cast("long").alias("n_train_classes"),
+        F.size(F.collect_set(F.when(val & known, F.col(label)))).cast("long").alias("n_val_classes"),
     )
     ok = (F.col("n_train_classes") == len(classes)) & (F.col("n_val_classes") >= val_min_classes)
     return out.withColumn("accepted", ok)

@@ -27,10 +27,14 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk table partitioned by sensor and clustered by recording for later pruning."""
+    """Chunk table partitioned by sensor and clustered by recording for later pruning.
+
+    A very long recording is cut into blocks of chunks, so no task writes it whole.
+    """
     if not chunks.take(1):
         raise ValueError("no chunks to write")
-    chunks.repartition("sensor", "group_key").sortWithinPartitions("group_key", "chunk_id").write.mode(
+    block = F.floor(F.col("chunk_id") / 1000)
+    chunks.repartition("sensor", "group_key", block).sortWithinPartitions("group_key", "chunk_id").write.mode(
         "overwrite"
     ).partitionBy("sensor").parquet(path)
 
