@@ -93,7 +93,7 @@ def q_absent(spark, sf):
 @query(
     "confusion_matrix",
     "WITH " + MODEL_A + " SELECT vehicle, true_label, "
-    + ", ".join(f"count_if(predicted_label = '{c}') AS \"{c}\"" for c in CLASSES) + " FROM p GROUP BY 1, 2",
+    + ", ".join(f"count(*) FILTER (WHERE predicted_label = '{c}') AS \"{c}\"" for c in CLASSES) + " FROM p GROUP BY 1, 2",
 )
 def q_confusion(spark, sf):
     return ev.confusion_matrix(model(spark, sf, "a"), ["vehicle"])
@@ -116,7 +116,7 @@ def q_folds(spark, sf):
 
 _DIRECTED = """, d AS (SELECT config, vehicle,
   sum(CASE WHEN true_label = 'DEMAG' AND predicted_label = 'DEMAG' THEN 1e0 ELSE 0e0 END) / sum(CASE WHEN true_label = 'DEMAG' THEN 1e0 ELSE 0e0 END) AS recall,
-  count_if(true_label = 'DEMAG' AND predicted_label = 'REDUC') AS a_to_b, count_if(true_label = 'REDUC' AND predicted_label = 'DEMAG') AS b_to_a
+  count(*) FILTER (WHERE true_label = 'DEMAG' AND predicted_label = 'REDUC') AS a_to_b, count(*) FILTER (WHERE true_label = 'REDUC' AND predicted_label = 'DEMAG') AS b_to_a
   FROM p GROUP BY 1, 2)"""
 
 
@@ -132,8 +132,8 @@ def q_directed(spark, sf):
 
 @query(
     "error_reduction",
-    "WITH " + BOTH + """, d AS (SELECT config, count_if(true_label = 'DEMAG' AND predicted_label = 'REDUC') AS ab,
-  count_if(true_label = 'REDUC' AND predicted_label = 'DEMAG') AS ba FROM p GROUP BY 1),
+    "WITH " + BOTH + """, d AS (SELECT config, count(*) FILTER (WHERE true_label = 'DEMAG' AND predicted_label = 'REDUC') AS ab,
+  count(*) FILTER (WHERE true_label = 'REDUC' AND predicted_label = 'DEMAG') AS ba FROM p GROUP BY 1),
 e AS (SELECT max(CASE WHEN config = 'a' THEN ab END) AS a1, max(CASE WHEN config = 'b' THEN ab END) AS a2,
    max(CASE WHEN config = 'a' THEN ba END) AS b1, max(CASE WHEN config = 'b' THEN ba END) AS b2 FROM d)"""
     + f""" SELECT {r('CASE WHEN a1 = 0 THEN 0e0 ELSE (a1 - a2) * 100e0 / a1 END', 4)} AS a_to_b_reduction,
@@ -163,8 +163,8 @@ def paired(spark, sf, keys=("session",)):
     return ev.paired_counts(model(spark, sf, "b"), model(spark, sf, "a"), keys=list(keys))
 
 
-PAIRED = PRED + """, sess AS (SELECT session, count(*) AS n, count_if(pred_b = true_label AND pred_a <> true_label) AS n10,
-  count_if(pred_b <> true_label AND pred_a = true_label) AS n01 FROM pred GROUP BY 1)"""
+PAIRED = PRED + """, sess AS (SELECT session, count(*) AS n, count(*) FILTER (WHERE pred_b = true_label AND pred_a <> true_label) AS n10,
+  count(*) FILTER (WHERE pred_b <> true_label AND pred_a = true_label) AS n01 FROM pred GROUP BY 1)"""
 
 
 @query("paired_sessions", "WITH " + PAIRED + " SELECT session, n, n10, n01 FROM sess")
@@ -234,7 +234,7 @@ def q_binomial(spark, sf):
 @query(
     "design_effect",
     "WITH " + PRED + f""",
-s AS (SELECT session, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(pred_a = true_label) AS DOUBLE) AS s FROM pred GROUP BY 1),
+s AS (SELECT session, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE pred_a = true_label) AS DOUBLE) AS s FROM pred GROUP BY 1),
 t AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(s) AS ss, sum(s * s / n) AS b, sum(n * n) AS n2 FROM s),
 m AS (SELECT *, (b - s * s / n) / (k - 1) AS msb, (ss - b) / (n - k) AS msw, (n - n2 / n) / (k - 1) AS m0 FROM t),
 i AS (SELECT *, (msb - msw) / (msb + (m0 - 1) * msw) AS icc, n / k AS ms FROM m),

@@ -107,7 +107,7 @@ graded AS (
               ELSE floor(low_score * 1e4 + 0.5e0) / 1e4 END AS score,
          CASE k.fault_type WHEN 'none' THEN FALSE WHEN 'cell_deviation' THEN wide_flag ELSE low_flag END AS faulty
   FROM marked m JOIN kind k USING (vec_id)),
-faults AS (SELECT vec_id, any_value(fault_type) AS fault_type, CAST(count_if(faulty) AS INTEGER) AS n_faulty FROM graded GROUP BY 1)"""
+faults AS (SELECT vec_id, any_value(fault_type) AS fault_type, CAST(count(*) FILTER (WHERE faulty) AS INTEGER) AS n_faulty FROM graded GROUP BY 1)"""
 
 
 def _flags(df, prefix):
@@ -187,7 +187,7 @@ def q_pack_status(spark, sf):
 @query(
     "pack_modules",
     "WITH " + PACK + f""" SELECT vec_id, CAST(cell // 4 AS INTEGER) AS module, {r('min(v)', 5)} AS v_min, {r('max(v)', 5)} AS v_max,
-    count_if(v > 3.7e0) AS n_above, {r('max(v) - min(v)', 5)} AS spread FROM cells GROUP BY 1, 2""",
+    count(*) FILTER (WHERE v > 3.7e0) AS n_above, {r('max(v) - min(v)', 5)} AS spread FROM cells GROUP BY 1, 2""",
 )
 def q_modules(spark, sf):
     out = battery.module_features(pack(spark, sf), ["vec_id"], per_module=4)
@@ -317,8 +317,8 @@ def q_history(spark, sf):
 @query(
     "severity_counts",
     "WITH " + PROBS + f""", s AS (SELECT sensor, {_AS} AS s, fault_class, {_NAMES}[list_position(p, list_max(p))] AS pl FROM probs)
-SELECT sensor, count_if(s >= 0.7e0) AS n_warning, count_if(s >= 0.3e0 AND s < 0.7e0) AS n_caution,
-  count_if(s < 0.3e0) AS n_normal, count_if(fault_class <> pl) AS n_wrong FROM s GROUP BY 1""",
+SELECT sensor, count(*) FILTER (WHERE s >= 0.7e0) AS n_warning, count(*) FILTER (WHERE s >= 0.3e0 AND s < 0.7e0) AS n_caution,
+  count(*) FILTER (WHERE s < 0.3e0) AS n_normal, count(*) FILTER (WHERE fault_class <> pl) AS n_wrong FROM s GROUP BY 1""",
 )
 def q_severity(spark, sf):
     from drivepulse.operators.evaluation import severity_counts

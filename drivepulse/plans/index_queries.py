@@ -60,7 +60,7 @@ def q_overview(spark, sf):
 
 
 def _pivot_sql(by):
-    cols = ", ".join(f"count_if(fault_class = '{c}') AS \"{c}\"" for c in CLASSES)
+    cols = ", ".join(f"count(*) FILTER (WHERE fault_class = '{c}') AS \"{c}\"" for c in CLASSES)
     return "WITH " + PATHS + f" SELECT {by}, {cols} FROM idx GROUP BY 1"
 
 

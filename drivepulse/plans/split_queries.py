@@ -24,7 +24,7 @@ grps AS (SELECT sensor, grp, arg_min(fault_class, vec_id) AS fault_class FROM pa
 tried AS (SELECT sensor, grp, fault_class, seed, {hash_sql('seed', 'grp')} AS h,
    count(*) OVER (PARTITION BY sensor, seed) AS n FROM grps, (SELECT CAST(unnest(range(42, 52)) AS INTEGER) AS seed)),
 sided AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY sensor, seed ORDER BY h, grp) - 1 < ceil(n * 0.2e0) THEN 'val' ELSE 'train' END AS side FROM tried),
-report AS (SELECT sensor, seed, count_if(side = 'train') AS n_train_groups, count_if(side = 'val') AS n_val_groups,
+report AS (SELECT sensor, seed, count(*) FILTER (WHERE side = 'train') AS n_train_groups, count(*) FILTER (WHERE side = 'val') AS n_val_groups,
    count(DISTINCT CASE WHEN side = 'train' THEN fault_class END) AS n_train_classes,
    count(DISTINCT CASE WHEN side = 'val' THEN fault_class END) AS n_val_classes FROM sided GROUP BY 1, 2),
 chosen AS (SELECT sensor, min(seed) AS seed FROM report WHERE n_train_classes = 5 AND n_val_classes >= 1 GROUP BY 1),
@@ -123,7 +123,7 @@ def q_record(spark, sf):
 @query(
     "leak_audit",
     "WITH " + PRED + f""", s AS (SELECT session, {_REC} AS side FROM pred), g AS (SELECT session, max(side = 'train') AS t, max(side = 'val') AS v FROM s GROUP BY 1)
-SELECT count_if(v) AS val_groups, count_if(t AND v) AS also_in_train FROM g""",
+SELECT count(*) FILTER (WHERE v) AS val_groups, count(*) FILTER (WHERE t AND v) AS also_in_train FROM g""",
 )
 def q_audit(spark, sf):
     return sp.leak_audit(sp.record_split(pred(spark, sf), "sample_id"), "session")

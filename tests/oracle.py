@@ -30,7 +30,15 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+# Result types that must agree, not only the values.
+SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(spark_df, con, sql):
+    declared = {r[0]: str(r[1]) for r in con.execute("DESCRIBE " + sql).fetchall()}
+    wrong = {c: (t, declared.get(c)) for c, t in spark_df.dtypes if SQL_TYPES.get(t) != declared.get(c)}
+    if wrong:
+        return f"types {wrong}", -1
     got = spark_df.collect()
     cols, left = rows_of(spark_df.columns, [tuple(r) for r in got])
     cur = con.execute(sql)
