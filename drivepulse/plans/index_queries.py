@@ -27,11 +27,11 @@ def q_index(spark, sf):
 @query(
     "group_key",
     "WITH " + PATHS + """ SELECT path, CASE WHEN ends_with(file, '_' || sensor || '_timeseries.csv')
-  THEN left(file, length(file) - length('_' || sensor || '_timeseries.csv')) END AS group_key FROM named""",
+  THEN left(file, length(file) - length('_' || sensor || '_timeseries.csv')) ELSE '-' END AS group_key FROM named""",
 )
 def q_group_key(spark, sf):
     p = F.col("path")
-    return paths(spark, sf).select("path", ix.group_key(ix.part(p, 1), ix.part(p, 2)).alias("group_key"))
+    return paths(spark, sf).select("path", F.coalesce(ix.group_key(ix.part(p, 1), ix.part(p, 2)), F.lit("-")).alias("group_key"))
 
 
 @query(
@@ -39,7 +39,7 @@ def q_group_key(spark, sf):
     "WITH " + PATHS + """,
 leaf AS (SELECT vehicle, fault_class, date, sensor, max(ends_with(file, '_' || sensor || '_timeseries.csv')) AS ok FROM named GROUP BY 1, 2, 3, 4),
 dom AS (SELECT * FROM (SELECT unnest(['IONIQ','KONA','NIRO']) AS vehicle), (SELECT unnest(['NORMAL','ECC10','ECC20','DEMAG','REDUC','GHOST']) AS fault_class)),
-missing AS (SELECT vehicle, fault_class, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS sensor, 'class folder missing' AS problem FROM dom
+missing AS (SELECT vehicle, fault_class, '-' AS date, '-' AS sensor, 'class folder missing' AS problem FROM dom
   WHERE NOT EXISTS (SELECT 1 FROM leaf l WHERE l.vehicle = dom.vehicle AND l.fault_class = dom.fault_class)),
 wanted AS (SELECT DISTINCT vehicle, fault_class, date, s.sensor FROM leaf, (SELECT unnest(['Current_U','Vib_Motor','Vib_TM']) AS sensor) s)
 SELECT * FROM missing UNION ALL
@@ -48,7 +48,7 @@ FROM wanted w LEFT JOIN leaf l ON w.vehicle = l.vehicle AND w.fault_class = l.fa
 WHERE l.ok IS NULL OR NOT l.ok""",
 )
 def q_coverage(spark, sf):
-    return ix.coverage_gaps(paths(spark, sf), classes=(*CLASSES, "GHOST"))
+    return ix.coverage_gaps(paths(spark, sf), classes=(*CLASSES, "GHOST")).fillna("-")
 
 
 @query(
@@ -219,13 +219,13 @@ images AS (SELECT w.*, coalesce(e.p, a.p) AS label_path FROM wide w LEFT JOIN je
 
 @query(
     "spectrogram_index",
-    "WITH " + _IMG + " SELECT path, vehicle, fault_class, label_path, current_u, vib_motor, vib_tm FROM images",
+    "WITH " + _IMG + " SELECT path, vehicle, fault_class, label_path, coalesce(current_u, '-') AS current_u, coalesce(vib_motor, '-') AS vib_motor, coalesce(vib_tm, '-') AS vib_tm FROM images",
 )
 def q_images(spark, sf):
     out = ix.spectrogram_index(image_files(spark, sf))
     return out.select(
         "path", "vehicle", "fault_class", "label_path",
-        *[F.try_element_at("channels", F.lit(s)).alias(s.lower()) for s in SENSORS],
+        *[F.coalesce(F.try_element_at("channels", F.lit(s)), F.lit("-")).alias(s.lower()) for s in SENSORS],
     )
 
 

@@ -90,11 +90,11 @@ basic AS (SELECT z.vec_id, z.t, arg_max(f, z) AS pk, min(CASE WHEN z > lim THEN
 
 @query(
     "basic_features",
-    "WITH " + _BASIC + f""" SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(pk AS INTEGER) AS peak_freq_bin, CAST(b0 AS INTEGER) AS band_start,
-  CAST(b1 AS INTEGER) AS band_end, {r('rms', 6)} AS rms FROM basic""",
+    "WITH " + _BASIC + f""" SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(pk AS INTEGER) AS peak_freq_bin, CAST(b0 AS DOUBLE) AS band_start,
+  CAST(b1 AS DOUBLE) AS band_end, {r('rms', 6)} AS rms FROM basic""",
 )
 def q_basic(spark, sf):
-    return spectral.basic_features(spec(spark, sf), keys=["vec_id"]).withColumn("rms", half_up(F.col("rms"), 6))
+    return _basic(spectral.basic_features(spec(spark, sf), keys=["vec_id"]))
 
 
 def _shape_sql(src: str, name: str) -> str:
@@ -112,12 +112,21 @@ _SHAPE_COLS = ", ".join(f"{r(c, 5)} AS {c}" for c in [f"band_{j}" for j in range
 
 def _rounded(df, prefix=""):
     names = [f"{prefix}{s}" for s in spectral.SHAPE if s != "rolloff"]
-    return df.withColumns({n: half_up(F.col(n), 5) for n in names})
+    return df.withColumns({n: half_up(F.col(n), 5) for n in names}).withColumn(
+        f"{prefix}rolloff", F.col(f"{prefix}rolloff").cast("double")
+    )
+
+
+def _basic(df):
+    """Rounded rms; band limits may be absent and are shown as doubles."""
+    return df.withColumns(
+        {"rms": half_up(F.col("rms"), 6), **{c: F.col(c).cast("double") for c in ("band_start", "band_end")}}
+    )
 
 
 @query(
     "shape_features",
-    "WITH " + SPEC + _shape_sql("spec", "sh") + f" SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(rolloff AS INTEGER) AS rolloff, {_SHAPE_COLS} FROM sh",
+    "WITH " + SPEC + _shape_sql("spec", "sh") + f" SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(rolloff AS DOUBLE) AS rolloff, {_SHAPE_COLS} FROM sh",
 )
 def q_shape(spark, sf):
     return _rounded(spectral.shape_features(spec(spark, sf), keys=["vec_id"]))
@@ -138,7 +147,7 @@ def q_order(spark, sf):
 
 @query(
     "order_features",
-    "WITH " + _ORDER + _shape_sql("ord", "sh") + f" SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(rolloff AS INTEGER) AS rolloff, {_SHAPE_COLS} FROM sh",
+    "WITH " + _ORDER + _shape_sql("ord", "sh") + f" SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(rolloff AS DOUBLE) AS rolloff, {_SHAPE_COLS} FROM sh",
 )
 def q_order_features(spark, sf):
     o = spectral.order_axis(spec(spark, sf), rpm=F.col("rpm"), reference_rpm=REF_RPM)
@@ -151,8 +160,8 @@ _O = ", ".join(f"{r('o.' + c, 5)} AS ord_{c}" for c in [f"band_{j}" for j in ran
 
 _FEATURES = (
     "WITH " + _BASIC + _ORDER[len(SPEC):] + _shape_sql("spec", "sa") + _shape_sql("ord", "so") + f"""
-SELECT b.vec_id, CAST(b.t AS INTEGER) AS t, CAST(b.pk AS INTEGER) AS peak_freq_bin, CAST(b.b0 AS INTEGER) AS band_start, CAST(b.b1 AS INTEGER) AS band_end,
-  {r('b.rms', 6)} AS rms, q.rpm, CAST(a.rolloff AS INTEGER) AS abs_rolloff, CAST(o.rolloff AS INTEGER) AS ord_rolloff, {_A}, {_O}
+SELECT b.vec_id, CAST(b.t AS INTEGER) AS t, CAST(b.pk AS INTEGER) AS peak_freq_bin, CAST(b.b0 AS DOUBLE) AS band_start, CAST(b.b1 AS DOUBLE) AS band_end,
+  {r('b.rms', 6)} AS rms, q.rpm, CAST(a.rolloff AS DOUBLE) AS abs_rolloff, CAST(o.rolloff AS DOUBLE) AS ord_rolloff, {_A}, {_O}
 FROM basic b JOIN sa a ON a.vec_id = b.vec_id AND a.t = b.t JOIN so o ON o.vec_id = b.vec_id AND o.t = b.t
 JOIN (SELECT DISTINCT vec_id, rpm FROM spec) q ON q.vec_id = b.vec_id"""
 )
@@ -162,14 +171,14 @@ JOIN (SELECT DISTINCT vec_id, rpm FROM spec) q ON q.vec_id = b.vec_id"""
 def q_all(spark, sf):
     out = spectral.sensor_features(spec(spark, sf), keys=["vec_id"], reference_rpm=REF_RPM)
     out = _rounded(_rounded(out, "abs_"), "ord_")
-    return out.withColumn("rms", half_up(F.col("rms"), 6))
+    return _basic(out)
 
 
 @query("sensor_features_batched", _FEATURES)
 def q_batched(spark, sf):
     out = spectral.sensor_features_batched(spec(spark, sf), keys=["vec_id"], reference_rpm=REF_RPM)
     out = _rounded(_rounded(out, "abs_"), "ord_")
-    return out.withColumn("rms", half_up(F.col("rms"), 6))
+    return _basic(out)
 
 
 def _fused_totals(spark, sf, name):
