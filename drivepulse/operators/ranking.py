@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,24 +65,25 @@ def dense_position(
     else:
         marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
         sliced = marked.withColumn("_slice", F.when(F.col("_hot"), slice_by)).drop("_hot")
-    # One row per (key, slice): counted map-side before the shuffle.
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    # Slices of hot keys only, counted map-side: hot keys × slices rows, whatever the data size.
+    # Rows of other keys have no slice and need no offset.
+    counts = sliced.filter(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        F.col("_slice").alias("_r_slice"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        *keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias("_total"),
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*_cols(order))
-    ranked = sliced.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_slice").eqNullSafe(F.col("_r_slice"))],
-    )
-    extra = [] if size is None else [F.col("_total").alias(size)]
-    return ranked.join(offsets, match).select(*df.columns, (F.col("_rank") + F.col("_before")).alias(name), *extra)
+    group = Window.partitionBy(*keys, "_slice")
+    ranked = sliced.withColumn("_rank", F.row_number().over(group.orderBy(*_cols(order))).cast("long") - 1)
+    extra = []
+    if size is not None:
+        ranked = ranked.withColumn("_own", F.count(F.lit(1)).over(group))
+        extra = [F.coalesce("_total", "_own").alias(size)]
+    # The windows above already partition by (key, slice), which the join reuses.
+    placed = ranked.join(offsets, [*keys, "_slice"], "left")
+    position = F.col("_rank") + F.coalesce("_before", F.lit(0))
+    return placed.select(*df.columns, position.alias(name), *extra)
 
 
 def exact_quantiles(
