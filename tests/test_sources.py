@@ -233,3 +233,20 @@ def test_large_file_lists_are_filtered_by_a_join(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(training, "LISTED_FILES", 1)
     joined = training.load_chunks(index, some, chunk_size=20)
     assert sorted((r["group_key"], r["x"]) for r in joined.collect()) == rows
+
+
+def test_sweep_report_of_the_pilot_profile(spark, tmp_path):
+    # Recordings per length of the published pilot tree (81 files, 225 chunks).
+    profile = {2000: 21, 4000: 24, 6000: 9, 8000: 6, 10000: 21}
+    cells = [(v, s, c) for v in VEHICLES for s in SENSORS for c in CLASSES]
+    lengths = [n for n, k in profile.items() for _ in range(k)] + [3000]
+    rows = [(f"f{i}", *cells[i % 45], n, n // 2000) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "csv_path string, vehicle string, sensor string, fault_class string, n_rows long, n_chunks long")
+    out = {r["n_rows"]: (r["n_recordings"], r["n_chunks"], r["expected"]) for r in signals.length_distribution(df).collect()}
+    assert {n: out[n][0] for n in profile} == profile
+    assert sum(out[n][1] for n in profile) == 225
+    assert out[3000] == (1, 1, False)
+    pivot = signals.chunk_pivot(df)
+    assert sum(r["TOTAL"] for r in pivot.collect()) == 226 and pivot.count() == 9
+    sinks.write_report(df, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 82
