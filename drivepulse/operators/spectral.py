@@ -22,6 +22,7 @@ BASIC = ("peak_freq_bin", "band_start", "band_end", "rms")
 SHAPE = tuple(f"band_{j}" for j in range(BANDS)) + ("centroid", "entropy", "rolloff", "log_flatness")
 
 VOXELS_PER_AXIS, VOXEL_STEP = 64, 4
+FLUSH_ROWS = 10_000  # feature rows a task hands over at a time
 
 
 def stft(signals: DataFrame, *, keys: Sequence[str], array: str = "x", window: int = 128, hop: int = 24, rows: int = 48) -> DataFrame:
@@ -283,22 +284,21 @@ def _shape_arrays(e: np.ndarray) -> dict[str, np.ndarray]:
     out["centroid"] = (np.arange(height)[:, None] * p).sum(axis=0)
     out["entropy"] = -(p * np.log(p + EPS)).sum(axis=0)
     reached = np.cumsum(p, axis=0) >= ROLLOFF_SHARE
-    out["rolloff"] = pd.array(reached.argmax(axis=0), dtype="Int32")
-    out["rolloff"][~reached.any(axis=0)] = pd.NA
+    out["rolloff"] = np.where(reached.any(axis=0), reached.argmax(axis=0), np.nan)
     n = known.sum(axis=0)
     logs = np.where(known, np.log(filled + EPS), 0.0).sum(axis=0) / n
     out["log_flatness"] = logs - np.log(filled.sum(axis=0) / n + EPS)
     return out
 
 
-def _feature_rows(e: np.ndarray, rpm: float, reference_rpm: float) -> pd.DataFrame:
+def _feature_rows(e: np.ndarray, rpm: float, reference_rpm: float) -> dict[str, np.ndarray]:
     height, steps = e.shape
     centred = e - np.median(e, axis=1, keepdims=True)
     z = centred / (MAD_SCALE * (np.median(np.abs(centred), axis=1, keepdims=True) + MAD_FLOOR))
     above = z > np.quantile(z, THRESHOLD_QUANTILE)
-    start = pd.array(above.argmax(axis=0), dtype="Int32")
-    end = pd.array(height - 1 - above[::-1].argmax(axis=0), dtype="Int32")
-    start[~above.any(axis=0)] = end[~above.any(axis=0)] = pd.NA
+    found = above.any(axis=0)
+    start = np.where(found, above.argmax(axis=0), np.nan)
+    end = np.where(found, height - 1 - above[::-1].argmax(axis=0), np.nan)
     rows = {
         "t": np.arange(steps, dtype="int32"), "rpm": np.full(steps, rpm), "peak_freq_bin": z.argmax(axis=0),
         "band_start": start, "band_end": end, "rms": np.sqrt((e * e).mean(axis=0)),
@@ -310,7 +310,7 @@ def _feature_rows(e: np.ndarray, rpm: float, reference_rpm: float) -> pd.DataFra
     order[u > height - 1] = np.nan
     for prefix, m in (("abs_", e), ("ord_", order)):
         rows |= {f"{prefix}{k}": v for k, v in _shape_arrays(m).items()}
-    return pd.DataFrame(rows)
+    return rows
 
 
 def sensor_features_batched(
@@ -329,13 +329,25 @@ def sensor_features_batched(
     ).schema
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush() -> pd.DataFrame:
+            joined = {n: np.concatenate([r[n] for r in held]) for n in names}
+            spread = np.repeat(np.arange(len(held)), [len(r["t"]) for r in held])
+            out = pd.concat(owners, ignore_index=True).iloc[spread].reset_index(drop=True)
+            out = out.assign(**joined)
+            return out.astype({n: "Int32" for n in whole})[[*keys, *names]]
+
         for batch in batches:
+            held, owners, size = [], [], 0
             for i in range(len(batch)):
                 e = np.stack([np.asarray(r, dtype="float64") for r in batch[matrix].iat[i]])
-                rows = _feature_rows(e, float(batch["_rpm"].iat[i]), float(reference_rpm))
-                for k in keys:
-                    rows[k] = batch[k].iat[i]
-                yield rows[[*keys, *names]]
+                held.append(_feature_rows(e, float(batch["_rpm"].iat[i]), float(reference_rpm)))
+                owners.append(batch[keys].iloc[i : i + 1])
+                size += e.shape[1]
+                if size >= FLUSH_ROWS:
+                    yield flush()
+                    held, owners, size = [], [], 0
+            if held:
+                yield flush()
 
     return maps.select(*keys, F.col(rpm).alias("_rpm"), matrix).mapInPandas(features, schema)
 
