@@ -139,13 +139,19 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int
     Spans must be sorted and must not overlap.
     """
     out = np.zeros(len(first), np.uint64)
-    if not len(first):
-        return out
-    lengths = last - first
-    powers = STEP ** np.arange(int(lengths.max()) + 1, dtype=np.uint64) if lengths.max() else np.ones(1, np.uint64)
-    at = ragged(first, lengths)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    values = BYTE_WORDS[data[at]] * powers[place]
-    some = lengths > 0
-    out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some])
-    return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+    ends = np.cumsum(last - first)
+    begin = 0
+    while begin < len(first):  # a bounded number of bytes at once
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP_BYTES, "right")))
+        a, lengths = first[begin:end], (last - first)[begin:end]
+        powers = STEP ** np.arange(int(lengths.max()) + 1, dtype=np.uint64)
+        at = ragged(a, lengths)
+        runs = np.cumsum(lengths) - lengths
+        values = BYTE_WORDS[data[at]] * powers[np.arange(len(at)) - np.repeat(runs, lengths)]
+        some = lengths > 0
+        part = np.zeros(len(a), np.uint64)
+        if some.any():
+            part[some] = np.add.reduceat(values, runs[some])
+        out[begin:end] = mix(part + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+        begin = end
+    return out
