@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from drivepulse.llm import byte_bpe, decontaminate, secret_scan, token_files
-from drivepulse.llm.common import table
+from drivepulse.llm import byte_bpe, decontaminate, language_id, secret_scan, token_files
+from drivepulse.llm.common import held_out, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,3 +57,9 @@ FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)"""
 @query("op8_decontaminate", OP8)
 def op8(spark, sf):
     return decontaminate.judge(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_language_id")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language_id.label(docs, language_id.fit(docs), spans=False).select("doc_id", held_out(), "lang_pred", "score")
