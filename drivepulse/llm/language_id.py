@@ -6,9 +6,9 @@ nothing. The script of a word (a code range) leaves only languages that were lea
 script. Over the words of a text the Viterbi algorithm then chooses the languages with the highest
 total score, less a penalty for every switch; equal neighbours form the labelled spans.
 
-The model is fitted on at most ``SAMPLE_ROWS`` rows of each language (those with the smallest hash
-of their id), n-grams hashed to ``SLOTS`` slots, so that its size is bounded. Scoring reads every
-word of every text.
+The model is fitted on about ``SAMPLE_ROWS`` rows of each language (those whose hashed id falls below
+the share that this number has of the language; all rows, if there are fewer), n-grams hashed to
+``SLOTS`` slots, so that its size is bounded. Scoring reads every word of every text.
 
 Text that is null, empty or without letters has no spans and the language ``und`` with score 0.
 The language of a text is the one with most letters in its spans (ties: alphabetical order); its score is its
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.llm.common import mix, run_sums, slices, texts_of, training_row
@@ -83,13 +83,15 @@ class Model:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` training rows of each language, chosen by a hash of the id."""
+    """About ``rows`` training rows of each language (all, if fewer): those whose hashed id is below its share."""
     usable = docs.filter(training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= rows)
-    keys = chosen.select(F.col("doc_id").alias("key"), F.col("lang").alias("language"))
-    # At most rows x MOST_LANGUAGES ids: a broadcast of bounded size.
-    return usable.join(F.broadcast(keys), (F.col("doc_id") == F.col("key")) & (F.col("lang") == F.col("language"))).select("lang", "text")
+    sizes = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    share = F.lit(0)
+    for lang, n in sizes:
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(share)
+    return usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, slots: int = SLOTS) -> Model:
@@ -112,8 +114,6 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, slots: int = SLOTS) -> Model:
     found = counted.toArrow()
     names = found.column("lang").unique().to_pylist()
     languages = sorted(names)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     column = np.array([languages.index(x) for x in found.column("lang").to_pylist()], int)
     slot, n = found.column("slot").to_numpy(), found.column("n").to_numpy()
     counts = np.zeros((slots, len(languages)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from drivepulse.llm import byte_bpe, decontaminate, language_id, secret_scan, token_files
+from drivepulse.llm import byte_bpe, decontaminate, language_id, secret_scan, token_files, toxicity
 from drivepulse.llm.common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -63,3 +63,10 @@ def op8(spark, sf):
 def op4(spark, sf):
     docs = table(spark, sf, "documents")
     return language_id.label(docs, language_id.fit(docs), spans=False).select("doc_id", held_out(), "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out(), "score", "predicted")
