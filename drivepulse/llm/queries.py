@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from drivepulse.llm import byte_bpe, decontaminate, language_id, secret_scan, token_files, toxicity
+from pyspark.sql import functions as F
+
+from drivepulse.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, token_files, top_k, toxicity
 from drivepulse.llm.common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -70,3 +72,69 @@ def op7(spark, sf):
     docs = table(spark, sf, "documents")
     model = toxicity.fit(docs, table(spark, sf, "labels"))
     return toxicity.score(docs, model).select("doc_id", held_out(), "score", "predicted")
+
+
+# The formatted windows of op3 in SQL; the escape sign is written as chr(92).
+def _sql_escape(x, pairs):
+    for old, new in pairs:
+        old, new = ("'" + s.replace("\\", "'||chr(92)||'").replace("\n", "'||chr(10)||'") + "'" for s in (old, new))
+        x = f"replace({x}, {old}, {new})"
+    return x
+
+
+OP3 = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, {chat_format.MARKS} + len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS n,
+    length({_sql_escape(_sql_escape('role', chat_format.ESCAPE), [(chr(10), chr(92) + 'n')])}) + length({_sql_escape('text', chat_format.ESCAPE)})
+      + {len(chat_format.OPEN) + len(chat_format.CLOSE) + 1} AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM turns),
+placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS after,
+    min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys FROM sized),
+system AS (SELECT conv_id, n AS sys_n, chars AS sys_chars FROM placed WHERE pos = sys),
+celled AS (
+  SELECT placed.*, sys_chars,
+    (after - 1) // greatest(1, ({chat_format.BUDGET - chat_format.HISTORY} - coalesce(sys_n, 0)) // 2) AS w
+  FROM placed LEFT JOIN system USING (conv_id)),
+cells AS (SELECT conv_id, w, max(after) AS closes, lead(w) OVER (PARTITION BY conv_id ORDER BY w) AS ahead FROM celled GROUP BY 1, 2),
+uses AS (
+  SELECT conv_id, w, pos, chars, sys, sys_chars FROM celled
+  UNION ALL SELECT conv_id, ahead, pos, chars, sys, sys_chars FROM celled JOIN cells USING (conv_id, w)
+  WHERE ahead IS NOT NULL AND closes - after + n <= {chat_format.HISTORY}),
+windows AS (
+  SELECT conv_id, w, sum(chars) + CASE WHEN any_value(sys) IS NOT NULL AND NOT bool_or(pos = sys) THEN any_value(sys_chars) ELSE 0 END AS chars
+  FROM uses GROUP BY 1, 2),
+totals AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM windows GROUP BY 1),
+read AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS lines,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM sized GROUP BY 1)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM read JOIN totals USING (conv_id)"""
+
+
+@query("op3_chat_windows", OP3)
+def op3(spark, sf):
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.digests(chat_format.format_windows(turns))
+
+
+OP6 = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10"""
+
+
+@query("op6_top_k", OP6)
+def op6(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return top_k.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
