@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,3 +156,52 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int
         out[begin:end] = mix(part + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
         begin = end
     return out
+
+
+KEYED = "part bigint, key bigint, doc bigint, n bigint, shared boolean"
+
+
+def keyed_rows(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """The (key, document) pairs of one task, pre-aggregated before the shuffle.
+
+    A pair whose key no other pair of the task has is sent to its key. Pairs of a key that the task
+    has more than once are shared already: they are dealt out by document, and one row without a
+    document brings their number to the key. So a key gets one row from a task at most.
+    """
+    names, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    alone = n[at] == 1
+    many = n > 1
+    empty = pa.nulls(int(many.sum()), pa.int64())
+    parts = np.concatenate([key[alone], mix(doc[~alone].astype(np.uint64) + key[~alone].astype(np.uint64)).astype(np.int64), names[many]])
+    docs = pa.concat_arrays([pa.array(doc[alone]), pa.array(doc[~alone]), empty])
+    counts = np.concatenate([np.ones(int(alone.sum()), np.int64), n[at][~alone], n[many]])
+    shared = np.concatenate([np.zeros(int(alone.sum()), bool), np.ones(int((~alone).sum()), bool), np.zeros(int(many.sum()), bool)])
+    keys = np.concatenate([key[alone], key[~alone], names[many]])
+    return pa.RecordBatch.from_arrays([pa.array(parts), pa.array(keys), docs, pa.array(counts), pa.array(shared)], [f.split()[0] for f in KEYED.split(", ")])
+
+
+def shared_pairs(rows: DataFrame) -> DataFrame:
+    """Rows ``doc, key, n`` of all pairs whose key another pair has too; n is the number of pairs known of the key.
+
+    ``rows`` come from :func:`keyed_rows`. One shuffle; a task then looks at the rows of its keys at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, counts = [], [], []
+        for batch in batches:
+            shared = batch.column(4)
+            yield pa.RecordBatch.from_arrays([c.filter(shared) for c in (batch.column(2), batch.column(1), batch.column(3))], ["doc", "key", "n"])
+            open_ = pa.compute.invert(shared)
+            keys.append(batch.column(1).filter(open_).to_numpy(zero_copy_only=False))
+            docs.append(batch.column(2).filter(open_))
+            counts.append(batch.column(3).filter(open_).to_numpy(zero_copy_only=False))
+        if not keys:
+            return
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        doc = pa.concat_arrays(docs)
+        names, at = np.unique(key, return_inverse=True)
+        total = np.bincount(at, n, len(names)).astype(np.int64)[at]
+        kept = (total > 1) & doc.is_valid().to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([doc.filter(pa.array(kept)), pa.array(key[kept]), pa.array(total[kept])], ["doc", "key", "n"])
+
+    return rows.repartition("part").mapInArrow(run, "doc bigint, key bigint, n bigint")

@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from drivepulse.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, token_files, top_k, toxicity
+from drivepulse.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, suffix_dedup, token_files, top_k, toxicity
 from drivepulse.llm.common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -138,3 +138,8 @@ FROM pairs QUALIFY rank <= 10"""
 def op6(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return top_k.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf):
+    return suffix_dedup.report(table(spark, sf, "documents"))
