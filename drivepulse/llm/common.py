@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Entries a per-process cache of encoded pieces may hold before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 # Bytes of text that one vectorised step works on.
 STEP_BYTES = 2 << 20
 

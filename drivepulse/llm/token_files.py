@@ -11,13 +11,12 @@ and half-written files are never seen. ``bucket`` numbers the range of document
 the position of a segment's first token in its bucket. Ids grow from bucket to bucket.
 
 Null text counts as empty and has the end id alone. Rows with one id follow each other by text; null
-ids come first. An empty table gives no segment. A document is never split, so that a segment holds
-at least one and at most ``SEGMENT_TOKENS`` tokens more than its last document.
+ids come first. An empty table gives no segment. A segment has about ``SEGMENT_BYTES`` of text; a document
+is never split, a longer one is a segment of its own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from drivepulse.llm.common import PieceCache, slices, texts_of
+from drivepulse.llm.byte_bpe import byte_characters
+from drivepulse.llm.common import PieceCache, ragged, slices, texts_of, utf8_parts
 from drivepulse.session import shared_dir
 
-SEGMENT_TOKENS = 1 << 18
+# Bytes of text in a segment, and the width of the cells by which positions are dealt to segments.
+SEGMENT_BYTES = 2 << 20
+CELL_TOKENS = 1 << 18
 # Bits between two entries of a rank directory.
 RANK_BITS = 512
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -92,61 +94,91 @@ class Levels:
         return value
 
 
+# Classes of bytes: white space, letter, digit, other sign, and whatever is left to the tokenizer as a whole word.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[33:127] = SIGN
+CLASS[48:58] = DIGIT
+CLASS[65:91] = CLASS[97:123] = LETTER
+CLASS[9:14] = CLASS[32] = SPACE
+# Added tokens begin with "<", contractions with an apostrophe.
+CLASS[[ord("<"), ord("'")]] = OTHER
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 class WordEncoder:
-    """The ids of texts, word by word, from a tokenizers file whose merges never cross white space.
+    """The ids of texts from a tokenizers file that lower-cases, drops white space and never merges across it.
 
-    Texts are cut at ASCII white space, which the vocabulary drops. Words of ASCII bytes are cut
-    further by the file's own pattern and their runs of letters go straight to the merge model; all
-    other words go through the whole tokenizer.
+    Words of ASCII signs and Latin-1 letters are cut where the kind of sign changes (every digit by
+    itself), as the file's own pattern cuts them, and the different pieces of a batch are encoded
+    once: runs of letters by the merge model, others by the whole tokenizer. A word with any other
+    character, an apostrophe or the beginning of an added token goes through the tokenizer as it is.
     """
 
-    # The file's pattern on lower-cased ASCII words; a fixed value.
-    ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cores = PieceCache(self._cores)
-        self.words = PieceCache(self._words)
-
-    def _full(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def _cores(self, cores: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(cores)
-        other = []
-        for i, core in enumerate(cores):
-            if core.isalpha():
-                out[i] = np.asarray([t.id for t in self.model.tokenize(core.decode())], "<u4").tobytes()
-            else:
-                other.append(i)
-        for i, ids in zip(other, self._full([cores[i].decode() for i in other]), strict=True):
-            out[i] = ids
-        return out
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(words)
-        cut, whole = [], []
-        for i, w in enumerate(words):
-            # Strings of added tokens hold "<|"; they are left to the tokenizer.
-            if w.isascii() and b"<|" not in w:
-                cut.append((i, self.ASCII.findall(w.lower())))
+        self.map = dict(enumerate(byte_characters()))
+        self.known = PieceCache(self._pieces)
+
+    def _pieces(self, pieces: list[tuple[bytes, bool]]) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        whole = []
+        for i, (piece, easy) in enumerate(pieces):
+            if easy:
+                mapped = piece.decode("latin-1").translate(self.map)
+                out[i] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
             else:
                 whole.append(i)
-        self.cores.learn({c for _, cores in cut for c in cores})
-        for i, cores in cut:
-            out[i] = b"".join(map(self.cores.__getitem__, cores))
-        for i, ids in zip(whole, self._full([words[i].decode() for i in whole]), strict=True):
-            out[i] = ids
+        texts = [pieces[i][0].decode() for i in whole]
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        self.words.learn({w for words in cut for w in words})
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after another, and n + 1 offsets of the rows into them."""
+        kind = CLASS[data]
+        low = LOWER[data]
+        # Letters of two bytes, U+00C0 to U+00FF but for two signs; the capitals are 32 below.
+        pair = np.flatnonzero(data[:-1] == 0xC3)
+        second = data[pair + 1]
+        pair, second = (x[(second != 0x97) & (second != 0xB7)] for x in (pair, second))
+        kind[pair] = kind[pair + 1] = LETTER
+        low[pair + 1] = np.where(second < 0x9F, second + 32, second)
+        inside = kind != SPACE
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | edge[1:-1]
+        first = np.flatnonzero(begins)
+        word = np.cumsum(begins) - 1
+        hard = np.zeros(len(first), bool)
+        hard[word[kind == OTHER]] = True
+        hard_byte = hard[word] & inside if len(first) else inside
+        new = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        begins[1:] |= inside[1:] & new & ~hard_byte[1:]
+        kept = np.where(hard_byte, data, low)[inside]
+        place = np.cumsum(inside) - inside
+        first = np.flatnonzero(begins)
+        bounds = np.append(place[first], len(kept)).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(kept))])
+        coded = column.dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        # A piece is encoded the same way wherever it stands, so any of its places tells whether it is a run of letters.
+        easy = np.zeros(len(coded.dictionary), bool)
+        easy[at] = (kind[first] == LETTER) & ~hard_byte[first]
+        pieces = list(zip(coded.dictionary.to_pylist(), easy.tolist(), strict=True))
+        self.known.learn(pieces)
+        ids = [self.known[p] for p in pieces]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        rows = np.searchsorted(first, offsets)
+        return flat[ragged(starts[at], counts)], np.concatenate([[0], np.cumsum(counts)])[rows]
 
 
 @cache
@@ -160,28 +192,19 @@ SEGMENTS = "bucket int, first bigint, n_tokens bigint, doc_ids array<bigint>, en
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, buckets: int | None = None) -> None:
     """Encode every whole text, append ``end_id`` and write segments in ascending order of ids."""
     n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
     names = [c.split()[0] for c in SEGMENTS.split(", ")]
-
-    def segment(bucket, first, rows):
-        ends = np.cumsum([len(ids) // 4 for _, ids in rows])
-        ids = np.frombuffer(b"".join(ids for _, ids in rows), "<u4")
-        values = [bucket, first, len(ids), [d for d, _ in rows], ends.tolist(), pack(ids)]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, bucket, first, size, rows = word_encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, []
-        for batch in slices(batches):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tool.encode(texts), strict=True):
-                rows.append((doc_id, ids + end))
-                size += len(ids) // 4 + 1
-                if size >= SEGMENT_TOKENS:
-                    yield segment(bucket, first, rows)
-                    first, size, rows = first + size, 0, []
-        if rows:
-            yield segment(bucket, first, rows)
+        tool, bucket, first = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, size=SEGMENT_BYTES):
+            ids, at = tool.encode(*utf8_parts(batch.column(1)))
+            ends = at[1:] + np.arange(1, len(at))
+            out = np.full(len(ids) + len(ends), end_id, np.uint32)
+            out[np.arange(len(ids)) + np.repeat(np.arange(len(ends)), np.diff(at))] = ids
+            values = [bucket, first, len(out), batch.column(0).to_pylist(), ends, pack(out)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+            first += len(out)
 
     ordered = texts_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SEGMENTS).write.parquet(path)
@@ -204,7 +227,7 @@ def tokens_at(spark, path: str, positions: DataFrame) -> DataFrame:
     Positions are dealt to segments by binary search over the starts, a few bytes per segment.
     """
     parts = segments(spark, path)
-    cell = SEGMENT_TOKENS
+    cell = CELL_TOKENS
     spans = parts.select("bucket", "first", "start", "payload", F.explode(
         F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("start") + F.col("n_tokens") - 1) / cell))).alias("cell"), "n_tokens")
     wanted = positions.select(F.col("position").cast("long").alias("position")).withColumn("cell", F.floor(F.col("position") / cell))
