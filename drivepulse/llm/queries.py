@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from drivepulse.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, suffix_dedup, token_files, top_k, toxicity
+from drivepulse.llm import byte_bpe, chat_format, decontaminate, language_id, ngram_join, secret_scan, suffix_dedup, token_files, top_k, toxicity
 from drivepulse.llm.common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -143,3 +143,19 @@ def op6(spark, sf):
 @query("op10_suffix_dedup")
 def op10(spark, sf):
     return suffix_dedup.report(table(spark, sf, "documents"))
+
+
+OP2 = r"""WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS t FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS u(i) WHERE len(w) > 0),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (t) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * k >= 75 * (ca.n + cb.n - k)),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) LEFT JOIN c USING (doc_id)"""
+
+
+@query("op2_ngram_join", OP2)
+def op2(spark, sf):
+    return ngram_join.report(table(spark, sf, "documents"))
