@@ -24,10 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from drivepulse.llm.common import slices, span_hashes, texts_of, utf8_parts, words_of
 
 WINDOW = 13
+# A document is contaminated when at least one in so many of its words is hit.
+SHARE = 20
 # Words of benchmark text that are sent to every task at once, and words of a sorted piece.
 BLOCK_WORDS = 1 << 20
 PIECE_WORDS = 1 << 19
@@ -183,9 +186,9 @@ class Piece:
         return best, place
 
 
-def _shard(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shard(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of a batch with a separator after every row; offsets of rows with and without separators."""
-    words, at = word_sequence(*utf8_parts(batch.column(1)))
+    words, at = word_sequence(*utf8_parts(texts))
     rows = len(at) - 1
     spread = np.full(len(words) + rows, SEPARATOR)
     spread[np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(at))] = words
@@ -200,9 +203,9 @@ def _pieces(words: np.ndarray, depth: int) -> Iterator[tuple[int, Piece]]:
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _hits(block: Block, batch: pa.RecordBatch):
+def _hits(block: Block, texts: pa.Array):
     """Runs of hit words of every row and the items found in it."""
-    words, at, plain = _shard(batch)
+    words, at, plain = _shard(texts)
     change = np.zeros(len(words) + 1, np.int64)
     rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     needed = block.needed()
@@ -220,51 +223,68 @@ def _hits(block: Block, batch: pa.RecordBatch):
     edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     of_row = np.searchsorted(at, begins, "right") - 1
-    runs: list[list] = [[] for _ in range(batch.num_rows)]
+    runs: list[list] = [[] for _ in range(len(texts))]
     for r, a, b in zip(of_row.tolist(), (begins - at[of_row]).tolist(), (ends - at[of_row]).tolist(), strict=True):
         runs[r].append({"start": a, "end": b})
     pairs = np.unique(np.column_stack([np.concatenate(rows), np.concatenate(items)]), axis=0)
-    found_items: list[list] = [[] for _ in range(batch.num_rows)]
+    found_items: list[list] = [[] for _ in range(len(texts))]
     for r, i in pairs.tolist():
         found_items[r].append(i)
     return np.diff(plain), runs, found_items
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows ``doc_id, n_words, runs, items``: hit words as runs of word positions, and the items whose windows occur."""
+FOUND = "__n_words bigint, __runs array<struct<start:bigint,end:bigint>>, __items array<bigint>"
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows with all columns and ``__n_words, __n_hit, __runs, __items``: hit words as runs of word
+    positions, and the items whose windows occur."""
     sc = docs.sparkSession.sparkContext
-    names = ["doc_id", "text", "n_words", "runs", "items"]
-    schema = "doc_id bigint, text string, n_words bigint, runs array<struct<start:bigint,end:bigint>>, items array<bigint>"
-    out = texts_of(docs)
+    at = docs.columns.index("text")
+    names = docs.columns + [c.split()[0] for c in FOUND.split(", ")]
+    schema = StructType(docs.schema.fields + StructType.fromDDL(FOUND).fields)
+    out = docs
     sent = [sc.broadcast(b) for b in blocks_of(benchmark, window)] or [sc.broadcast(block_of([], window))]
     for k, block in enumerate(sent):
-        last = k == len(sent) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, more=k > 0, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=block, more=k > 0) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                n, runs, items = _hits(block.value, batch)
+                n, runs, items = _hits(block.value, batch.column(at))
+                columns = batch.columns
                 if more:
-                    runs = [a + b for a, b in zip(batch.column(3).to_pylist(), runs, strict=True)]
-                    items = [a + b for a, b in zip(batch.column(4).to_pylist(), items, strict=True)]
-                # The text goes on only to a further block.
-                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1)
-                columns = [batch.column(0), text, pa.array(n, pa.int64()), pa.array(runs, RUNS), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    runs = [a + b for a, b in zip(columns[-2].to_pylist(), runs, strict=True)]
+                    items = [a + b for a, b in zip(columns[-1].to_pylist(), items, strict=True)]
+                    columns = columns[:-3]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(runs, RUNS), pa.array(items, pa.list_(pa.int64()))], names)
 
         out = out.mapInArrow(run, schema)
-    # Runs of several blocks may overlap: start a new run only beyond the furthest end so far.
-    ordered = F.array_sort("runs")
-    merged = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), lambda acc, r: F.struct(
+    # Runs of several blocks may overlap: only what lies beyond the furthest end so far counts.
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    merged = F.aggregate(F.array_sort("__runs"), start, lambda acc, r: F.struct(
         F.greatest(acc["end"], r["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(acc["end"], r["start"]))).alias("n")))
-    return out.select("doc_id", "n_words", "runs", F.array_distinct("items").alias("items"), merged["n"].alias("n_hit"))
+    return out.withColumn("__n_hit", merged["n"]).withColumn("__items", F.array_distinct("__items"))
+
+
+def _contaminated(share: int):
+    return (F.col("__n_hit") > 0) & (share * F.col("__n_hit") >= F.col("__n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows, with their columns, that are not contaminated."""
+    return mark(docs, benchmark, window).filter(~_contaminated(share)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows ``doc_id, n_words, n_hit, runs, items, contaminated`` of every document."""
+    found = mark(texts_of(docs), benchmark, window)
+    return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("n_words", "n_hit", "runs", "items")), _contaminated(SHARE).alias("contaminated"))
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row per document; contaminated when at least one in ``share`` of its words is hit."""
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Counts of hit words and the digest of the items found, one row per document."""
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return occurrences(docs, benchmark, window).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -276,7 +296,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         def run(batches: Iterator[pa.RecordBatch], sent=sc.broadcast(block)) -> Iterator[pa.RecordBatch]:
             block = sent.value
             for batch in slices(batches):
-                words, at, _ = _shard(batch)
+                words, at, _ = _shard(batch.column(1))
                 for begin, piece in _pieces(words, block.depth):
                     which, start, stop = piece.ranges(block)
                     best, _ = piece.longest(block, which, start, stop)

@@ -32,6 +32,9 @@ SLOTS = 1 << 18
 MOST_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
+# Share of letters that a document's language must hold to be kept, and bytes of text that are labelled together.
+LEAST_SCORE = 0.5
+STEP_BYTES = 12 << 20
 UNKNOWN = "und"
 LETTERS = r"[^\W\d_]+"
 # First code points of script ranges and their names, in order.
@@ -187,48 +190,65 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -
 SPAN = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("letters", pa.int32())])
 
 
-def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = True) -> DataFrame:
-    """Rows ``doc_id, lang_pred, score`` and, on request, ``spans`` (in code points) of every whole text."""
+def judge(texts: list[str | None], model: Model, penalty: float = PENALTY, spans: bool = False) -> tuple[list, np.ndarray, list]:
+    """Language, score and (on request) spans of every text."""
     import re
 
+    letters, kinds = re.compile(LETTERS), len(model.languages)
+    known: dict[str, int] = {}
+    ids, sizes = [np.zeros(0, np.int32)], []
+    for text in texts:
+        words = letters.findall((text or "").lower())
+        sizes.append(len(words))
+        ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+    flat = np.concatenate(ids)
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+    path, weight = np.zeros(len(flat), np.int32), np.zeros((len(texts), max(kinds, 1)), np.int64)
+    if kinds and known:
+        lengths = np.array([len(w) for w in known], np.int64)
+        scores = word_scores(list(known), model).astype(np.float32)
+        path = viterbi(scores[flat], offsets, penalty)
+        weight = np.stack([run_sums(np.where(path == k, lengths[flat], 0), offsets) for k in range(kinds)], 1)
+    total = weight.sum(1)
+    best = weight.argmax(1)
+    lang = [model.languages[k] if n else UNKNOWN for k, n in zip(best.tolist(), total.tolist(), strict=True)]
+    score = weight[np.arange(len(texts)), best] / np.maximum(total, 1)
+    found = []
+    if spans:
+        found = [_spans(t or "", path[a:b], model.languages, letters) if kinds else [] for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return lang, score, found
+
+
+def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = True) -> DataFrame:
+    """Rows ``doc_id, lang_pred, score`` and, on request, ``spans`` (in code points) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id bigint, lang_pred string, score double" + (", spans array<struct<lang:string,start:int,end:int,letters:int>>" if spans else "")
-    names = [f.split()[0] for f in ("doc_id", "lang_pred", "score", "spans")][: 4 if spans else 3]
+    names = ["doc_id", "lang_pred", "score", "spans"][: 4 if spans else 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, letters = sent.value, re.compile(LETTERS)
-        kinds = len(model.languages)
-        for batch in slices(batches, size=12 << 20):
-            texts = batch.column(1).to_pylist()
-            known: dict[str, int] = {}
-            ids, sizes = [], []
-            for text in texts:
-                words = letters.findall(text.lower())
-                sizes.append(len(words))
-                ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
-            flat = np.concatenate(ids)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            vocabulary = list(known)
-            lengths = np.array([len(w) for w in vocabulary], np.int64)
-            if kinds and len(vocabulary):
-                scores = word_scores(vocabulary, model).astype(np.float32)
-                path = viterbi(scores[flat], offsets, penalty)
-                weight = np.stack([run_sums(np.where(path == k, lengths[flat], 0), offsets) for k in range(kinds)], 1)
-            else:
-                path, weight = np.zeros(len(flat), np.int32), np.zeros((len(texts), max(kinds, 1)))
-            total = weight.sum(1)
-            best = weight.argmax(1)
-            lang = [model.languages[k] if n else UNKNOWN for k, n in zip(best.tolist(), total.tolist(), strict=True)]
-            score = weight[np.arange(len(texts)), best] / np.maximum(total, 1)
+        for batch in slices(batches, size=STEP_BYTES):
+            lang, score, found = judge(batch.column(1).to_pylist(), sent.value, penalty, spans)
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             if spans:
-                found = [_spans(t, path[a:b], model.languages, letters) if kinds else [] for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 columns.append(pa.array(found, pa.list_(SPAN)))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts_of(docs).mapInArrow(run, schema)
 
 
+def keep_languages(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, with all columns, whose text has a language that holds at least ``least`` of its letters."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=STEP_BYTES):
+            lang, score, _ = judge(batch.column(at).to_pylist(), sent.value)
+            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _spans(text: str, path: np.ndarray, languages: list[str], letters) -> list[dict]:
     """Maximal runs of words of one language.
 

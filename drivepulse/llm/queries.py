@@ -58,7 +58,7 @@ FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 @query("op8_decontaminate", OP8)
 def op8(spark, sf):
-    return decontaminate.judge(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 @query("op4_language_id")
