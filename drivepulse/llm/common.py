@@ -168,21 +168,28 @@ def keyed_rows(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     has more than once are shared already: they are dealt out by document, and one row without a
     document brings their number to the key. So a key gets one row from a task at most.
     """
-    names, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    alone = n[at] == 1
-    many = n > 1
-    empty = pa.nulls(int(many.sum()), pa.int64())
-    parts = np.concatenate([key[alone], mix(doc[~alone].astype(np.uint64) + key[~alone].astype(np.uint64)).astype(np.int64), names[many]])
-    docs = pa.concat_arrays([pa.array(doc[alone]), pa.array(doc[~alone]), empty])
-    counts = np.concatenate([np.ones(int(alone.sum()), np.int64), n[at][~alone], n[many]])
-    shared = np.concatenate([np.zeros(int(alone.sum()), bool), np.ones(int((~alone).sum()), bool), np.zeros(int(many.sum()), bool)])
-    keys = np.concatenate([key[alone], key[~alone], names[many]])
+    order = np.lexsort([doc, key])
+    key, doc = key[order], doc[order]
+    fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
+    first = np.flatnonzero(fresh)
+    n = np.diff(np.append(first, len(key)))
+    names, many = key[first], n > 1
+    alone = np.repeat(n == 1, n)
+    # A document that has a key more than once is one pair.
+    pairs = ~alone & (fresh | np.append(True, doc[1:] != doc[:-1])[: len(key)])
+    parts = np.concatenate([key[alone], mix(doc[pairs].astype(np.uint64) + key[pairs].astype(np.uint64)).astype(np.int64), names[many]])
+    docs = pa.concat_arrays([pa.array(doc[alone]), pa.array(doc[pairs]), pa.nulls(int(many.sum()), pa.int64())])
+    counts = np.concatenate([np.ones(int(alone.sum() + pairs.sum()), np.int64), n[many]])
+    shared = np.zeros(len(parts), bool)
+    shared[int(alone.sum()) : int(alone.sum() + pairs.sum())] = True
+    keys = np.concatenate([key[alone], key[pairs], names[many]])
     return pa.RecordBatch.from_arrays([pa.array(parts), pa.array(keys), docs, pa.array(counts), pa.array(shared)], [f.split()[0] for f in KEYED.split(", ")])
 
 
-def shared_pairs(rows: DataFrame) -> DataFrame:
-    """Rows ``doc, key, n`` of all pairs whose key another pair has too; n is the number of pairs known of the key.
+def shared_pairs(rows: DataFrame, many: int | None = None) -> DataFrame:
+    """Rows ``doc, key, n`` of all pairs whose key another pair has too (n is passed on from rows that are shared already).
 
+    Keys with more than ``many`` pairs also give a row without a document, with their number of pairs.
     ``rows`` come from :func:`keyed_rows`. One shuffle; a task then looks at the rows of its keys at once.
     """
 
@@ -200,8 +207,11 @@ def shared_pairs(rows: DataFrame) -> DataFrame:
         key, n = np.concatenate(keys), np.concatenate(counts)
         doc = pa.concat_arrays(docs)
         names, at = np.unique(key, return_inverse=True)
-        total = np.bincount(at, n, len(names)).astype(np.int64)[at]
-        kept = (total > 1) & doc.is_valid().to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([doc.filter(pa.array(kept)), pa.array(key[kept]), pa.array(total[kept])], ["doc", "key", "n"])
+        total = np.bincount(at, n, len(names)).astype(np.int64)
+        kept = (total[at] > 1) & doc.is_valid().to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([doc.filter(pa.array(kept)), pa.array(key[kept]), pa.array(n[kept])], ["doc", "key", "n"])
+        if many is not None:
+            names, total = names[total > many], total[total > many]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.array(names), pa.array(total)], ["doc", "key", "n"])
 
     return rows.repartition("part").mapInArrow(run, "doc bigint, key bigint, n bigint")

@@ -97,7 +97,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     size, power = 1, STEP
     while size < GRAM:
         gram = gram[:-size] + power * gram[size:]
-        power, size = power * power, 2 * size
+        power, size = np.uint64(pow(int(STEP), 2 * size, 1 << 64)), 2 * size
     gram = mix(gram)
     # High bits of the hash, then the position: the smallest is the first gram with the smallest hash.
     low = gram >> POSITION_BITS << POSITION_BITS | np.arange(len(gram), dtype=np.uint64)
@@ -163,7 +163,11 @@ def repeated_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
     Of equal contexts in one task only the earliest keeps its bytes; the others come without, and are
     repeated as a whole.
     """
-    lists = shared.groupBy("doc").agg(F.collect_set(F.struct("key", F.ceil(F.col("n") / GROUP_ROWS).cast("long").alias("salts"))).alias("keys"))
+    # At most one key in GROUP_ROWS pairs; written, so that the planner knows the size and broadcasts only a small table.
+    hot = materialise(shared.filter("doc IS NULL").select(F.col("key").alias("hot"), F.ceil(F.col("n") / GROUP_ROWS).cast("long").alias("split")), "hot")
+    pairs = shared.filter("doc IS NOT NULL")
+    pairs = pairs.join(hot, pairs.key == hot.hot, "left").select("doc", "key", F.coalesce("split", F.lit(1)).alias("salts"))
+    lists = pairs.groupBy("doc").agg(F.collect_set(F.struct("key", "salts")).alias("keys"))
     lists = lists.select(F.col("doc").alias("of"), F.col("keys.key").alias("keys"), F.col("keys.salts").alias("salts"))
     # A document and its repeated rows have the same contexts.
     joined = docs.join(lists, docs.doc == lists.of).select("doc", "text", "keys", "salts")
@@ -171,15 +175,12 @@ def repeated_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=8 << 20):
-            parts = []
+            parts, datas = [], []
             ids = batch.column(0).to_numpy()
-            keys, at = batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.column(2)
-            salts = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(at).to_numpy(zero_copy_only=False))])
+            keys, salts = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+            bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))])
             for row, place, data, offsets in pieces(*utf8_parts(batch.column(1))):
                 of_row, first, n, anchor = contexts(data, offsets)
-                if not len(first):
-                    continue
                 rows = len(offsets) - 1
                 a, b = bounds[row], bounds[row + rows]
                 # Members of the row's own list only: row and key are looked up as one pair.
@@ -189,34 +190,50 @@ def repeated_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 asked = mix(anchor) + of_row.astype(np.uint64)
                 spot = np.minimum(np.searchsorted(wanted[order], asked), max(0, b - a - 1))
                 kept = wanted[order][spot] == asked if b > a else np.zeros(len(asked), bool)
-                of_row, first, n, anchor, spot = (x[kept] for x in (of_row, first, n, anchor, spot))
-                if not len(first):
-                    continue
-                last = first + n + LENGTH - 1
-                text = range_hash(prefix_sums(data), first, last).astype(np.int64)
-                # Bytes of all contexts in a row, as an Arrow column.
-                size = last - first
-                column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data[ragged(first, size)])]).cast(pa.binary())
-                salt = salts[a:b][order][spot]
-                parts.append((anchor.astype(np.int64), text, ids[row + of_row], first - offsets[of_row] + place, n, salt, column))
-            if not parts:
-                continue
-            anchor, text, doc, start, n, salt = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            column = pa.concat_arrays([p[6] for p in parts])
-            order = np.lexsort([start, doc, text, anchor])
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-            dropped = np.zeros(len(order), bool)
-            dropped[order[~fresh]] = True
-            spread = mix(doc.astype(np.uint64)) % np.maximum(1, salt).astype(np.uint64)
-            part = np.where(dropped, mix((doc + start).astype(np.uint64)).astype(np.int64), (mix(anchor.astype(np.uint64)) + spread).astype(np.int64))
-            column = pa.compute.if_else(pa.array(dropped), pa.scalar(None, pa.binary()), column)
-            arrays = [part, anchor, text, doc, start, n.astype(np.int32), salt.astype(np.int32)]
+                if kept.any():
+                    of_row, first, n, anchor, spot = (x[kept] for x in (of_row, first, n, anchor, spot))
+                    text = range_hash(prefix_sums(data), first, first + n + LENGTH - 1).astype(np.int64)
+                    start = first - offsets[of_row] + place
+                    parts.append((anchor.astype(np.int64), text, ids[row + of_row], start, n, salts[a:b][order][spot], first, np.full(len(first), len(datas))))
+                    datas.append(data)
+            if parts:
+                yield from send(datas, *(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+    def send(datas, anchor, text, doc, start, n, salt, first, piece):
+        """Contexts with bytes, and joined runs of those that are repeated as a whole."""
+        order = np.lexsort([start, doc, text, anchor])
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+        gone = np.sort(order[~fresh & ~_same_place(fresh, doc[order], start[order])])
+        if len(gone):
+            d, s, size = doc[gone], start[gone], n[gone]
+            head = np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + size[:-1]))
+            at = np.flatnonzero(head)
+            d, s, size = d[at], s[at], np.add.reduceat(size, at)
+            nothing = np.zeros(len(at), np.int64)
+            columns = [mix((d + s).astype(np.uint64)).astype(np.int64), nothing, nothing, d, s, size.astype(np.int32), nothing.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary())], names)
+        kept = np.sort(order[fresh])
+        anchor, text, doc, start, n, salt, first, piece = (x[kept] for x in (anchor, text, doc, start, n, salt, first, piece))
+        spread = mix(doc.astype(np.uint64)) % np.maximum(1, salt).astype(np.uint64)
+        part = (mix(anchor.astype(np.uint64)) + spread).astype(np.int64)
+        for k, data in enumerate(datas):
+            here = np.flatnonzero(piece == k)
+            size = n[here] + LENGTH - 1
+            cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cut), pa.py_buffer(data[ragged(first[here], size)])])
+            arrays = [part[here], anchor[here], text[here], doc[here], start[here], n[here].astype(np.int32), salt[here].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), column], names)
 
     return joined.mapInArrow(run, CONTEXTS)
 
 
+def _same_place(fresh: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows after the first of their group (``fresh``) that have the same document and start as the first."""
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0)) if len(fresh) else np.zeros(0, int)
+    return ~fresh & (doc == doc[first]) & (start == start[first])
+
+
 def sorted_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of ``starts`` by their first ``LENGTH`` bytes (equal ones in the order given) and the common
     prefix, up to ``LENGTH``, of each with the one before it."""
@@ -336,7 +353,7 @@ def repeated_starts(found: DataFrame) -> DataFrame:
         order = np.lexsort([start, doc, text, anchor])
         fresh = np.ones(len(order), bool)
         fresh[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-        gone = table.take(pa.array(order[~fresh]))
+        gone = table.take(pa.array(order[~fresh & ~_same_place(fresh, doc[order], start[order])]))
         yield rows(*(gone.column(c).to_numpy() for c in ("doc", "start", "n")))
         order = order[fresh]
         # Anchors whose contexts are all equal are done, unless other shards have more of them.
@@ -368,7 +385,7 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Rows ``doc, start, n`` for :func:`numbered` documents: every string of these starts also starts earlier."""
-    shared = materialise(shared_pairs(anchors(docs)), "anchors")
+    shared = materialise(shared_pairs(anchors(docs), GROUP_ROWS), "anchors")
     found = materialise(repeated_starts(repeated_contexts(docs, shared)), "starts")
     sure = found.filter("string IS NULL").select("doc", "start", "n")
     split = found.filter("string IS NOT NULL")
