@@ -19,7 +19,7 @@ def level_of(status: Column) -> Column:
 
 
 def _alert_id(component: str) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", F.lit(component), F.col("response_id").cast("string")), 256), 1, 16)
+    return F.sha2(F.concat_ws("|", F.lit(component), F.col("response_id").cast("string")), 256)
 
 
 def response_alerts(responses: DataFrame) -> DataFrame:

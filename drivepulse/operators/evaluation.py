@@ -6,16 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
-from drivepulse.functions.scalars import hash_word, let, with_mix32
+from drivepulse.functions.scalars import hash_word, with_mix32
 from drivepulse.operators.ranking import exact_quantiles
 from drivepulse.session import small_rows
 
-# Profiles a draw may search through, and profiles one task may hold.
-SEARCHED_PROFILES, LISTED_PROFILES = 2_000, 2_000_000
+# Profiles one task may hold in the multinomial and binomial forms.
+LISTED_PROFILES = 2_000_000
 
 TRUE, PRED = "true_label", "predicted_label"
 
@@ -219,21 +219,21 @@ def session_profiles(counts: DataFrame) -> DataFrame:
 def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """Replicate deltas by hashed draws with replacement.
 
-    Sessions with equal (d, n) are interchangeable, so draws look up a profile in
-    a short sorted list instead of joining the sessions; each of the
-    replicates × sessions draws is made where it is summed.
+    Sessions with equal (d, n) are interchangeable: in order of (d, n) each profile takes a span of
+    places, and a draw is one place. Places are cut into cells about as wide as a profile, so a draw
+    meets the few profiles of its cell by equality, however many profiles there are.
     """
     spark = counts.sparkSession
-    rows = small_rows(session_profiles(counts), SEARCHED_PROFILES)
-    if rows is None:
-        raise ValueError("too many session profiles for hashed draws; use bootstrap_multinomial")
-    rows = sorted((r["d"], r["n"], r["sessions"]) for r in rows)
-    total = sum(r[2] for r in rows)
+    profiles = session_profiles(counts)
+    total, kinds = profiles.agg(F.coalesce(F.sum("sessions"), F.lit(0)), F.count(F.lit(1))).first()
     if total == 0:
         return spark.createDataFrame([], "replicate long, delta double")
-    ends = np.cumsum([r[2] for r in rows]).tolist()
-    stride = max(1, int(len(ends) ** 0.5))
-    coarse = ends[stride - 1 :: stride]
+    width = max(1, total // kinds)
+    # At most one row per profile: far fewer than sessions.
+    upto = F.sum("sessions").over(Window.orderBy("d", "n"))
+    spans = profiles.select("d", "n", upto.alias("_to"), (upto - F.col("sessions")).alias("_from"))
+    cells = F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_to - 1) div {width}"))
+    spans = spans.withColumn("_cell", F.explode(cells))
     draws = spark.range(0, total * replicates)
     # Two mixed words give 63 bits, so the pool may hold far more than 2^32 sessions.
     low, high = F.col("_low"), F.col("_high")
@@ -242,20 +242,13 @@ def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataF
         draws, "_high", low.bitwiseXOR(F.shiftright("id", 32)).bitwiseXOR(F.lit(0x5BD1E995).cast("long"))
     )
     target = (high.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(1 << 32) + low) % F.lit(total)
-
-    def passed(bounds: Column, t: Column) -> Column:
-        return F.size(F.filter(bounds, lambda end: end <= t))
-
-    # The profile of a drawn session: how many profiles end at or before it, found in
-    # two short steps over every stride-th end and the ends in between.
-    def profile(t: Column) -> Column:
-        skip = passed(F.lit(coarse), t) * stride
-        return let(skip, lambda k: k + passed(F.slice(F.lit(ends), k + 1, F.lit(stride)), t))
-
-    at = let(target, profile)
-    placed = draws.select(F.expr(f"id div {total}").alias("replicate"), at.alias("at"))
-    d, n = (F.get(F.lit([int(r[i]) for r in rows]), F.col("at")) for i in (0, 1))
-    return placed.groupBy("replicate").agg((F.sum(d) / F.sum(n)).alias("delta"))
+    placed = draws.select(F.expr(f"id div {total}").alias("replicate"), target.alias("_t"))
+    placed = placed.withColumn("_cell", F.expr(f"_t div {width}"))
+    # Equal draws of a replicate are counted before they are joined.
+    counted = placed.groupBy("replicate", "_t", "_cell").agg(F.count(F.lit(1)).alias("_times"))
+    met = counted.join(spans, "_cell").filter((F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_to")))
+    return met.groupBy("replicate").agg(
+        (F.sum(F.col("d") * F.col("_times")) / F.sum(F.col("n") * F.col("_times"))).alias("delta"))
 
 
 def bootstrap_multinomial(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:

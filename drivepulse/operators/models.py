@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from drivepulse.functions.domains import CLASSES
 from drivepulse.functions.scalars import argmax0, decode_label, let, lookup, pick, softmax
 from drivepulse.operators.evaluation import macro_f1
-from drivepulse.session import broadcast_if_small
 
 
 def train(
@@ -64,16 +63,17 @@ class ModelStore:
         return f"{self.root}/slot={slot}"
 
     def save(self, models: Mapping[str, LogisticRegressionModel]) -> None:
+        """Each slot has a folder and an entry of its own; entries of other slots stay."""
         for slot, model in models.items():
             model.write().overwrite().save(self._path(slot))
             self._loaded[slot] = model
-        rows = [(s, m.numFeatures, m.numClasses) for s, m in models.items()]
-        self.spark.createDataFrame(rows, "slot string, features int, classes int").write.mode("overwrite").parquet(
-            f"{self.root}/models"
-        )
+            row = [(model.numFeatures, model.numClasses)]
+            self.spark.createDataFrame(row, "features int, classes int").write.mode("overwrite").parquet(
+                f"{self.root}/models/slot={slot}"
+            )
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/models")
+        return self.spark.read.schema("features int, classes int, slot string").parquet(f"{self.root}/models")
 
     def load(self, slot: str) -> LogisticRegressionModel:
         if slot not in self._loaded:
@@ -107,9 +107,10 @@ def linear_probabilities(
 ) -> DataFrame:
     """Softmax of the linear scores of each row's slot, all slots in one pass.
 
-    A slot's weights take well under a megabyte, so 64 of them may be broadcast.
+    The planner knows the bytes of the coefficients and broadcasts them where they are few; else
+    adaptive execution splits hot slots.
     """
-    table = broadcast_if_small(coefficients.withColumnRenamed("slot", slot), 64)
+    table = coefficients.withColumnRenamed("slot", slot)
 
     def dot(w: Column, x: Column) -> Column:
         return F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)

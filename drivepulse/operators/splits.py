@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
 from drivepulse.functions.scalars import hash_word
-from drivepulse.operators.ranking import HOT_ROWS, dense_position, find_hot
-from drivepulse.session import small_rows
+from drivepulse.operators.ranking import HOT_ROWS, dense_position
 
 WORD_SLICE = 1 << 20  # 4096 slices over the 32-bit hash range
 
@@ -56,30 +55,22 @@ def group_holdout(
 ) -> DataFrame:
     """Hold-out by group: the smallest accepted seed per ``by`` wins.
 
-    Fewer than five groups, or no accepted seed, is an error. Only the report
-    (one row per sensor and seed) reaches the driver.
+    Fewer than five groups, or no accepted seed, is an error, raised when the result is read.
+    Seeds are chosen where the report is; nothing reaches the driver.
     """
     tried = holdout_trials(
         groups, by=by, group=group, label=label, test_size=test_size, base_seed=base_seed, trials=trials,
         hot_rows=hot_rows,
     )
     report = trial_report(tried, by=by, label=label, classes=classes, val_min_classes=val_min_classes)
-    rows = small_rows(report, 100_000)
-    if rows is None:
-        raise ValueError("too many split slots for one call; split them by name first")
-    chosen: dict = {}
-    for r in sorted(rows, key=lambda r: r["seed"]):
-        if r["n_train_groups"] + r["n_val_groups"] < 5:
-            raise RuntimeError(f"{by}={r[by]}: fewer than five groups")
-        if r["accepted"]:
-            chosen.setdefault(r[by], r["seed"])
-    lost = sorted({str(r[by]) for r in rows} - {str(k) for k in chosen})
-    if lost:
-        raise RuntimeError(f"no accepted split after {trials} seeds for {lost}")
-    spark = groups.sparkSession
-    kind = tried.schema[by].dataType.simpleString()
-    seeds = spark.createDataFrame(list(chosen.items()), f"`{by}` {kind}, seed int")
-    return tried.join(F.broadcast(seeds), [by, "seed"], "left_semi")
+    few = F.min(F.col("n_train_groups") + F.col("n_val_groups")) < 5
+    seed = F.min(F.when(F.col("accepted"), F.col("seed")))
+    lost = F.concat(F.lit("no accepted split after "), F.lit(trials), F.lit(" seeds for "), F.col(by).cast("string"))
+    small = F.concat(F.lit(f"{by}="), F.col(by).cast("string"), F.lit(": fewer than five groups"))
+    chosen = report.groupBy(by).agg(few.alias("_few"), seed.alias("_seed"))
+    checked = F.when(F.col("_few"), F.raise_error(small)).when(F.col("_seed").isNull(), F.raise_error(lost)).otherwise(F.col("_seed"))
+    seeds = chosen.select(by, checked.alias("seed"))
+    return tried.join(seeds, [by, "seed"], "left_semi")
 
 
 def shared_groups(splits: DataFrame, *, by: str, group: str) -> DataFrame:
@@ -127,20 +118,18 @@ def leak_audit(samples: DataFrame, group: str) -> DataFrame:
 
 
 def balanced_sample(
-    samples: DataFrame, *, cell: Sequence[str], drive: str, key: str, cap: int = 4000, seed: int = 42, hot_rows: int = HOT_ROWS
+    samples: DataFrame, *, cell: Sequence[str], drive: str, key: str, cap: int = 4000, seed: int = 42
 ) -> DataFrame:
     """At most ``cap`` samples per cell, taken round by round from its drives.
 
     A sample's place inside its drive decides its round, so no drive dominates.
     """
-    word = hash_word(F.lit(seed), F.col(key))
-    keyed = samples.withColumn("_h", word)
-    inner = dense_position(
-        keyed, [*cell, drive], ["_h", key], slice_by=F.floor(F.col("_h") / WORD_SLICE), name="_round", hot_rows=hot_rows
-    ).filter(F.col("_round") < cap)  # later rounds of one drive can never be reached
-    hot = find_hot(samples, cell, hot_rows)
-    outer = dense_position(inner, list(cell), ["_round", "_h", key], slice_by=F.col("_round"), name="_at", hot=hot)
-    return outer.filter(F.col("_at") < cap).drop("_h", "_round", "_at")
+    keyed = samples.withColumn("_h", hash_word(F.lit(seed), F.col(key)))
+    # Filters on the rank alone let Spark keep only the first rows of a drive or cell before the shuffle.
+    inner = Window.partitionBy(*cell, drive).orderBy("_h", key)
+    rounds = keyed.withColumn("_round", F.row_number().over(inner)).filter(F.col("_round") <= cap)
+    outer = Window.partitionBy(*cell).orderBy("_round", "_h", key)
+    return rounds.withColumn("_at", F.row_number().over(outer)).filter(F.col("_at") <= cap).drop("_h", "_round", "_at")
 
 
 def seeded_pick(samples: DataFrame, key: str, *, seed: int = 42) -> DataFrame:
@@ -191,11 +180,9 @@ def standardiser(chunks: DataFrame, *, fold: str, channel: str, array: str = "x"
 
 def standardise(chunks: DataFrame, fitted: DataFrame, *, fold: str, channel: str, array: str = "x") -> DataFrame:
     """Apply a fitted table; a constant channel keeps scale 1."""
-    from drivepulse.session import broadcast_if_small
-
     scale = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
     return (
-        chunks.join(broadcast_if_small(fitted), [fold, channel])
+        chunks.join(fitted, [fold, channel])
         .withColumn("_s", scale)
         .withColumn(array, F.transform(array, lambda v: (v - F.col("mean")) / F.col("_s")))
         .drop("mean", "std", "_s")

@@ -19,7 +19,7 @@ from drivepulse.functions.scalars import (
 from drivepulse.operators import alerts, battery, health
 from drivepulse.plans.registry import half_up_sql as r
 from drivepulse.plans.registry import query
-from drivepulse.plans.views import EVENT_FAULT, PACK, PACK_METRICS, PANEL, PRED, STREAM_PACKS, pack, panel, pred, table
+from drivepulse.plans.views import EVENT_FAULT, PACK, PACK_METRICS, PANEL, PRED, pack, panel, pred, table
 
 
 def packs(spark, sf):
@@ -439,13 +439,14 @@ def q_shares(spark, sf):
     return li.select("l_orderkey", "l_linenumber", *[half_up(s, 6).alias(n) for s, n in zip(shares, "abc")])
 
 
-# Responses: one per event, with the pack whose id the user maps to.
+# Responses: one per event, with the pack whose id the user maps to; users are spread over all packs.
 def responses(spark, sf):
     return responses_of(spark, sf, table(spark, sf, "events"))
 
 
 def responses_of(spark, sf, e):
-    """Responses for a batch or stream of events."""
+    """Responses for a batch or stream of events; a response without its pack stays."""
+    packs = max(1, table(spark, sf, "embeddings").count())  # from the file footers
     p = located(spark, sf).select(
         F.col("vec_id").alias("_pack"), "classification", "soh_proxy", F.col("fault_type").alias("pack_fault"),
         F.size("faulty_cells").alias("n_faulty"),
@@ -457,11 +458,11 @@ def responses_of(spark, sf, e):
         pick(VEHICLES, (F.col("user_id") % 3).cast("int")).alias("car_model"),
         score.alias("motor_score"),
         lookup(EVENT_FAULT, F.col("event_type")).alias("fault_type"),
-        (F.col("user_id") % STREAM_PACKS).alias("_pack"),
+        (F.col("user_id") % packs).alias("_pack"),
     )
     # The planner broadcasts the packs when their size allows, else adaptive execution splits hot keys.
     return (
-        flat.join(p, "_pack")
+        flat.join(p, "_pack", "left")
         .drop("_pack")
         .withColumn("motor_status", health.motor_status(F.col("motor_score")))
         .withColumn("battery_status", battery.status_of_class(F.col("classification")))
@@ -474,7 +475,7 @@ resp AS (
     ['IONIQ','KONA','NIRO'][CAST(e.user_id % 3 AS INTEGER) + 1] AS car_model, {r('least(e.value, 100e0)', 1)} AS motor_score,
     CASE e.event_type WHEN 'view' THEN 'NORMAL' WHEN 'click' THEN 'ECC10' WHEN 'purchase' THEN 'ECC20' WHEN 'signup' THEN 'DEMAG' WHEN 'error' THEN 'REDUC' END AS fault_type,
     s.classification, s.soh_proxy, f.fault_type AS pack_fault, f.n_faulty, e.props
-  FROM events e JOIN soh s ON s.vec_id = e.user_id % {STREAM_PACKS} JOIN faults f ON f.vec_id = s.vec_id),
+  FROM events e LEFT JOIN soh s ON s.vec_id = e.user_id % (SELECT count(*) FROM embeddings) LEFT JOIN faults f ON f.vec_id = s.vec_id),
 response AS (
   SELECT *, CASE WHEN motor_score < 10e0 THEN 'normal' WHEN motor_score < 30e0 THEN 'caution' ELSE 'warning' END AS motor_status,
     CASE classification WHEN 'CAUTION' THEN 'caution' WHEN 'DEFECT' THEN 'warning' ELSE 'normal' END AS battery_status FROM resp)"""
@@ -526,12 +527,13 @@ def q_channels(spark, sf):
     "latest_response",
     "WITH " + RESP + """,
 motor AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, response_id DESC) AS rn FROM response),
-bat AS (SELECT 'V' || lpad(CAST(vec_id % 100 AS VARCHAR), 6, '0') AS vehicle_id, vec_id, min_cell_voltage, voltage_deviation, soh_proxy, classification,
-        row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id DESC) AS rn FROM soh)
+fleet AS (SELECT max(user_id) + 1 AS vehicles FROM events),
+bat AS (SELECT 'V' || lpad(CAST(vec_id % vehicles AS VARCHAR), 6, '0') AS vehicle_id, vec_id, min_cell_voltage, voltage_deviation, soh_proxy, classification,
+        row_number() OVER (PARTITION BY vec_id % vehicles ORDER BY vec_id DESC) AS rn FROM soh, fleet)
 SELECT m.vehicle_id, m.car_model, m.response_id, m.motor_score AS motor_score, 10e0 AS threshold, m.motor_status, m.fault_type AS motor_fault, b.soh_proxy AS soh_proxy,
   b.classification AS classification, b.min_cell_voltage AS min_cell_voltage, CAST(NULL AS DOUBLE) AS temperature, f.n_faulty AS n_faulty,
   m.fault_type <> 'NORMAL' AS localised
-FROM motor m JOIN bat b USING (vehicle_id) JOIN faults f ON f.vec_id = b.vec_id WHERE m.rn = 1 AND b.rn = 1""",
+FROM motor m LEFT JOIN (SELECT * FROM bat WHERE rn = 1) b USING (vehicle_id) LEFT JOIN faults f ON f.vec_id = b.vec_id WHERE m.rn = 1""",
 )
 def q_latest_response(spark, sf):
     """Newest motor result joined with the newest pack of each vehicle, nested and flattened again."""
@@ -543,13 +545,14 @@ def q_latest_response(spark, sf):
     motor = motor.withColumn("bbox", box).withColumn("has_bbox", F.col("fault_type") != "NORMAL").withColumn(
         "spectrogram_url", F.lit(None).cast("string")
     )
+    vehicles = table(spark, sf, "events").agg(F.max("user_id") + 1).scalar()
     bat = located(spark, sf).select(
-        F.concat(F.lit("V"), F.lpad((F.col("vec_id") % 100).cast("string"), 6, "0")).alias("vehicle_id"), "vec_id",
+        F.concat(F.lit("V"), F.lpad((F.col("vec_id") % vehicles).cast("string"), 6, "0")).alias("vehicle_id"), "vec_id",
         "soh_proxy", "classification", F.col("fault_type").alias("pack_fault"), "faulty_cells", "cell_scores",
         "min_cell_voltage", "voltage_deviation", "temperature", "cell_count", "cell_mean_voltages",
     ).withColumn("battery_status", battery.status_of_class(F.col("classification")))
     bat = health.latest(bat, ["vehicle_id"], ["vec_id"])
-    nested = health.assemble_response(motor.join(bat, "vehicle_id").withColumn("ts", F.struct("ts", "response_id")))
+    nested = health.assemble_response(motor.join(bat, "vehicle_id", "left").withColumn("ts", F.struct("ts", "response_id")))
     return nested.select(
         "vehicle_id", "car_model", F.col("timestamp.response_id").alias("response_id"),
         F.col("motor.anomaly_score").alias("motor_score"), F.col("motor.threshold").alias("threshold"),
@@ -586,13 +589,13 @@ def q_fleet_filtered(spark, sf):
 # Alerts
 ALERTS = RESP + """,
 motor_alert AS (
-  SELECT substr(sha256('motor|' || CAST(response_id AS VARCHAR)), 1, 16) AS id, ts, vehicle_id, car_model,
+  SELECT sha256('motor|' || CAST(response_id AS VARCHAR)) AS id, ts, vehicle_id, car_model,
     CASE motor_status WHEN 'normal' THEN 'info' ELSE 'warning' END AS level, 'motor' AS component,
     CASE WHEN fault_type <> 'NORMAL' THEN printf('Motor anomaly detected: %s (score=%.1f)', fault_type, motor_score)
          ELSE printf('Motor operating normally (score=%.1f)', motor_score) END AS message, fault_type
   FROM response WHERE fault_type <> 'NORMAL' OR motor_score > 5e0),
 pack_alert AS (
-  SELECT substr(sha256('battery|' || CAST(response_id AS VARCHAR)), 1, 16) AS id, ts, vehicle_id, car_model,
+  SELECT sha256('battery|' || CAST(response_id AS VARCHAR)) AS id, ts, vehicle_id, car_model,
     CASE battery_status WHEN 'normal' THEN 'info' ELSE 'warning' END AS level, 'battery' AS component,
     CASE WHEN classification <> 'NORMAL' THEN printf('Battery %s: SOH=%.0f%%, %d fault cell(s)', classification, soh_proxy, n_faulty)
          ELSE printf('Battery healthy: SOH=%.0f%%', soh_proxy) END AS message, classification AS fault_type

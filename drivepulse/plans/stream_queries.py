@@ -15,8 +15,6 @@ from drivepulse.plans.views import CHUNK, LENIENT, panel, panel_of, sig, sig_sli
 from drivepulse.session import shared_dir
 from drivepulse.streaming import streams
 
-WHOLE_RANGE = "60 days"  # the files of a table arrive in no time order
-
 
 @query(
     "stream_scoring",
@@ -41,7 +39,7 @@ def q_stream_chunks(spark, sf):
     """Samples with positions are written as shuffled files and assembled again as they arrive."""
     placed = dense_position(sig(spark, sf), ["unit"], ["ts", "seq"], slice_by=sig_slice(), name="place")
     path = shared_dir(spark, "samples")
-    placed.select("unit", "place", "rms").repartition(4, "place").write.parquet(path)
+    placed.select("unit", "place", "rms").repartition("place").write.parquet(path)
     arriving = streams.table_stream(spark, path, files_per_trigger=2)
     live = streams.assemble_live(arriving, recording=[("unit", "long")], place="place", value="rms", chunk_size=CHUNK)
     out = streams.append_to(live, "stream-chunks")
@@ -77,9 +75,8 @@ def q_stream_ring(spark, sf):
 @query("stream_alerts", "WITH " + ALERTS + " SELECT id, epoch_us(ts) AS ts_us, vehicle_id, level, component, message FROM alert")
 def q_stream_alerts(spark, sf):
     e = streams.table_stream(spark, table_path(sf, "events"))
-    out = streams.append_to(
-        streams.alert_stream(responses_of(spark, sf, e), delay=WHOLE_RANGE), "stream-alerts"
-    )
+    # The files of a table come in no time order, so nothing counts as late.
+    out = streams.append_to(streams.alert_stream(responses_of(spark, sf, e)), "stream-alerts")
     return out.select("id", F.unix_micros("ts").alias("ts_us"), "vehicle_id", "level", "component", "message")
 
 
@@ -89,7 +86,7 @@ def q_stream_alerts(spark, sf):
 )
 def q_stream_rate(spark, sf):
     e = streams.table_stream(spark, table_path(sf, "events")).select("ts")
-    out = streams.upsert(streams.message_rate(e, delay=WHOLE_RANGE), "stream-rate", ["start"])
+    out = streams.upsert(streams.message_rate(e), "stream-rate", ["start"])
     return out.select(F.unix_micros("start").alias("start_us"), "n")
 
 

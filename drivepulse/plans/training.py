@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from drivepulse.functions.domains import CHUNK_ROWS, SENSORS
 from drivepulse.functions.scalars import argmax0, decode_label, encode_label
 from drivepulse.operators import evaluation, models, rocket, shaping, splits
-from drivepulse.session import materialise, small_rows
+from drivepulse.session import materialise
 from drivepulse.sources import paths, signals, sinks
 
-# Files named one by one to the reader; beyond that the scan is filtered by a join.
-LISTED_FILES = 10_000
-
 
 def build_index(spark: SparkSession, root: str, out: str | None = None) -> DataFrame:
     """Index of a recording tree, written as Parquet when ``out`` is given."""
@@ -32,19 +29,16 @@ def load_chunks(
     are files that cannot be read.
     """
     chosen = index if groups is None else index.join(groups, ["sensor", "group_key"], "left_semi")
-    files = small_rows(chosen.select("csv_path"), LISTED_FILES)
-    if files is not None and not files:
+    bounds = chosen.select(F.min("csv_path"), F.max("csv_path")).first()
+    if bounds[0] is None:
         raise ValueError("no recordings match the groups")
     spark = index.sparkSession
     known = chosen.select(
         paths.plain_path(F.col("csv_path")).alias("path"), "csv_path", "group_key", "sensor", "vehicle", "fault_class"
     )
-    if files is not None:
-        rows = signals.scan_signals(spark, [r[0] for r in files], skip_unreadable=True)
-    else:
-        root = chosen.select(F.min("csv_path"), F.max("csv_path")).first()
-        shared = _common_folder(*root)
-        rows = signals.scan_signals(spark, shared, skip_unreadable=True).join(known.select("path"), "path", "left_semi")
+    # One route for any number of files: the folder above them is read, and only indexed files go on.
+    rows = signals.scan_signals(spark, _common_folder(*bounds), skip_unreadable=True)
+    rows = rows.join(known.select("path"), "path", "left_semi")
     placed = shaping.chunk_rows(rows.select("path", "time_idx", value), recording=["path"], chunk_size=chunk_size)
     clean = shaping.repair_gaps(placed, value, chunk=["path", "chunk_id"])
     chunks = shaping.assemble_chunks(clean, chunk=["path", "chunk_id"])
@@ -81,7 +75,7 @@ def split_groups(index: DataFrame, **kw) -> DataFrame:
 
 def train_sensors(
     chunks: DataFrame, split: DataFrame, root: str, *, n_features: int = 10_000, sensors: Sequence[str] = SENSORS,
-    max_iter: int = 1000, examples: int = 512,
+    max_iter: int = 1000,
 ) -> DataFrame:
     """One feature plan and model per sensor; returns the validation report.
 
@@ -97,7 +91,7 @@ def train_sensors(
     for sensor in sensors:
         mine = keyed.filter(F.col("sensor") == sensor)
         plan = rocket.make_plan(length, n_features=n_features)
-        plan = rocket.fit_biases(mine.filter(F.col("side") == "train"), plan, key="chunk_key", examples=examples)
+        plan = rocket.fit_biases(mine.filter(F.col("side") == "train"), plan, key="chunk_key")
         features = materialise(rocket.transform(mine, plan, keys=["chunk_key", "sensor", "cls", "side"]), "features")
         fitted[sensor] = models.train(features.filter(F.col("side") == "train"), max_iter=max_iter)
         parts.append(features.filter(F.col("side") == "val"))

@@ -11,7 +11,6 @@ from drivepulse.functions.scalars import pick
 
 CHUNK = 16
 EVENT_FAULT = {"view": "NORMAL", "click": "ECC10", "purchase": "ECC20", "signup": "DEMAG", "error": "REDUC"}
-STREAM_PACKS = 500
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -7,7 +7,6 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Rows a driver-side lookup may hold before an operator falls back to a join.
 SMALL_TABLE_ROWS = 20_000
@@ -29,21 +28,25 @@ def build_session(app: str = "drivepulse", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="drivepulse-")
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint location.
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine)
-    gets a temporary folder of its own.
+    Without that setting only a session on one machine (``local[…]``) gets a folder of its own; on a
+    cluster the executors would not see each other's files, so it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _own_dir()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="drivepulse-")
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back (cuts lineage)."""
     spark = df.sparkSession
@@ -56,11 +59,3 @@ def small_rows(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS):
     """All rows of ``df`` when there are at most ``max_rows``, otherwise None."""
     rows = df.limit(max_rows + 1).collect()
     return None if len(rows) > max_rows else rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast a lookup whose row count was measured; else leave it to the planner."""
-    rows = small_rows(df, max_rows)
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -35,14 +35,15 @@ def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def append_to(stream: DataFrame, purpose: str, *, trigger: dict | None = None) -> DataFrame:
+def append_to(stream: DataFrame, purpose: str, *, trigger: dict | None = None, location: str | None = None) -> DataFrame:
     """Run an append stream into a parquet sink and read the result back.
 
     Without a trigger everything available now is processed; a live job passes
-    e.g. ``{"processingTime": "2 seconds"}`` and handles the query itself.
+    e.g. ``{"processingTime": "2 seconds"}`` and handles the query itself. A job that
+    must resume names its ``location``: a later call goes on where the last one stopped.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, purpose)
+    base = location or shared_dir(spark, purpose)
     query = (
         stream.writeStream.outputMode("append").format("parquet")
         .option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/data")
@@ -52,9 +53,11 @@ def append_to(stream: DataFrame, purpose: str, *, trigger: dict | None = None) -
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
-def each_batch(stream: DataFrame, purpose: str, handle: Callable[[DataFrame, int, str], None], *, mode: str = "update") -> str:
-    """Drive ``handle(batch, number, folder)`` over everything available; returns the folder."""
-    base = shared_dir(stream.sparkSession, purpose)
+def each_batch(
+    stream: DataFrame, purpose: str, handle: Callable[[DataFrame, int, str], None], *, mode: str = "update", location: str | None = None
+) -> str:
+    """Drive ``handle(batch, number, folder)`` over everything available; returns the folder (``location``, to resume)."""
+    base = location or shared_dir(stream.sparkSession, purpose)
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(lambda df, number: handle(df, number, base))
@@ -64,7 +67,7 @@ def each_batch(stream: DataFrame, purpose: str, handle: Callable[[DataFrame, int
     return base
 
 
-def upsert(stream: DataFrame, purpose: str, keys: Sequence[str]) -> DataFrame:
+def upsert(stream: DataFrame, purpose: str, keys: Sequence[str], *, location: str | None = None) -> DataFrame:
     """Collect an update-mode stream: the newest version of every key.
 
     Each batch writes its own folder, so a repeated batch replaces itself.
@@ -72,7 +75,7 @@ def upsert(stream: DataFrame, purpose: str, keys: Sequence[str]) -> DataFrame:
     def write(batch: DataFrame, number: int, base: str) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
 
-    base = each_batch(stream, purpose, write)
+    base = each_batch(stream, purpose, write, location=location)
     spark = stream.sparkSession
     values = [c for c in stream.columns if c not in keys]
     versions = spark.read.parquet(f"{base}/data")
@@ -141,42 +144,55 @@ def latest_state(scored: DataFrame, *, keys: Sequence[str], score: str, order: S
     return scored.groupBy(*keys).agg(F.max_by(score, F.struct(*order)).alias("score"))
 
 
-def ring(stream: DataFrame, purpose: str, *, keys: Sequence[str], order: Sequence[str], keep: int) -> DataFrame:
-    """Newest ``keep`` rows per key, carried from batch to batch as a compacted table."""
+def ring(
+    stream: DataFrame, purpose: str, *, keys: Sequence[str], order: Sequence[str], keep: int, location: str | None = None
+) -> DataFrame:
+    """Newest ``keep`` rows per key, carried from batch to batch as a compacted table.
+
+    Every batch writes its table, also when it brings no row; so from the second on the
+    previous table must be there, and a missing or unreadable one is an error.
+    """
     spark = stream.sparkSession
     schema = stream.schema
 
     def compact(batch: DataFrame, number: int, base: str) -> None:
         merged = batch
         if number > 0:
-            try:
-                merged = batch.sparkSession.read.schema(schema).parquet(f"{base}/data/{number - 1}").unionByName(batch)
-            except AnalysisException:  # the first batches may be empty
-                merged = batch
+            merged = batch.sparkSession.read.schema(schema).parquet(f"{base}/data/{number - 1}").unionByName(batch)
         newest = [F.col(c).desc() for c in order]
         kept = (
             alerts.keep_newest_per(merged, keys, newest, keep) if keys else merged.orderBy(*newest).limit(keep)
         )
         kept.write.mode("overwrite").parquet(f"{base}/data/{number}")
-        numbers.append(number)
+        batch.sparkSession.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{base}/last")
 
-    numbers: list[int] = []
-    base = each_batch(stream, purpose, compact, mode="append")
-    if not numbers:
+    base = each_batch(stream, purpose, compact, mode="append", location=location)
+    try:
+        last = spark.read.schema("batch int").parquet(f"{base}/last").first()
+    except AnalysisException:  # no batch yet
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/data/{max(numbers)}")
+    return spark.read.schema(schema).parquet(f"{base}/data/{last['batch']}")
 
 
-def alert_stream(responses: DataFrame, *, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Alerts of arriving responses, each id once within the watermark."""
-    timed = event_time(responses, ts).withWatermark(ts, delay)
-    return alerts.response_alerts(timed).dropDuplicatesWithinWatermark(["id"])
+def alert_stream(responses: DataFrame, *, ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """Alerts of arriving responses, each id once.
 
+    With a ``delay`` the ids of older responses are forgotten, and later repeats come through; without
+    one no response is ever too late and all ids are kept.
+    """
+    timed = event_time(responses, ts)
+    if delay is None:
+        return alerts.response_alerts(timed).dropDuplicates(["id"])
+    return alerts.response_alerts(timed.withWatermark(ts, delay)).dropDuplicatesWithinWatermark(["id"])
 
-def message_rate(messages: DataFrame, *, ts: str = "ts", every: str = "1 second", delay: str = "10 minutes") -> DataFrame:
-    """Messages per tumbling window (update mode)."""
+
+def message_rate(messages: DataFrame, *, ts: str = "ts", every: str = "1 second", delay: str | None = None) -> DataFrame:
+    """Messages per tumbling window (update mode).
+
+    With a ``delay`` closed windows are dropped from the state and later messages with them.
+    """
     timed = event_time(messages, ts)
-    if timed.isStreaming:
+    if timed.isStreaming and delay is not None:
         timed = timed.withWatermark(ts, delay)
     return timed.groupBy(F.window(ts, every).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("start"), "n"
