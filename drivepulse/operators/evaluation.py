@@ -14,6 +14,8 @@ from drivepulse.functions.scalars import hash_word, with_mix32
 from drivepulse.operators.ranking import exact_quantiles
 from drivepulse.session import small_rows
 
+# Replicates of a published evaluation.
+REPLICATES = 100_000
 # Profiles one task may hold in the multinomial and binomial forms.
 LISTED_PROFILES = 2_000_000
 
@@ -216,7 +218,7 @@ def session_profiles(counts: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+def bootstrap_draws(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Replicate deltas by hashed draws with replacement.
 
     Sessions with equal (d, n) are interchangeable: in order of (d, n) each profile takes a span of
@@ -251,7 +253,7 @@ def bootstrap_draws(counts: DataFrame, replicates: int, seed: int = 42) -> DataF
         (F.sum(F.col("d") * F.col("_times")) / F.sum(F.col("n") * F.col("_times"))).alias("delta"))
 
 
-def bootstrap_multinomial(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+def bootstrap_multinomial(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """The same distribution with one multinomial draw per replicate over the profiles.
 
     Work is replicates × profiles, independent of the number of sessions.
@@ -259,7 +261,7 @@ def bootstrap_multinomial(counts: DataFrame, replicates: int, seed: int = 42) ->
     return _profile_replicates(counts, replicates, seed, "bootstrap")
 
 
-def permutation_binomial(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+def permutation_binomial(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Sign-flip deltas with one binomial draw per profile and replicate."""
     return _profile_replicates(counts, replicates, seed, "flip")
 
@@ -301,7 +303,7 @@ def bootstrap_interval(deltas: DataFrame, margin: float = 0.01) -> DataFrame:
     return out.withColumn("non_inferior", F.col("one_sided_low") > -margin)
 
 
-def permutation_deltas(counts: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+def permutation_deltas(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Sign-flip replicates by hash: every session spreads to its replicates and is summed map-side.
 
     Replicate -1 is the unflipped sum, so the observed value needs no second pass.

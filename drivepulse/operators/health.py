@@ -49,7 +49,7 @@ def integrate(latest: DataFrame, *, keys: Sequence[str], score: str = "score") -
         value.alias("integrated"),
         half_up(F.col("_mean"), 3).alias("mean"),
         half_up(F.col("_worst"), 3).alias("worst"),
-        half_up(value * 100.0, 0).cast("int").alias("points"),
+        F.bround(value * 100.0, 0).cast("int").alias("points"),
     )
 
 

@@ -290,7 +290,7 @@ def q_edges(spark, sf):
 latest AS (SELECT unit, sensor, arg_max(s, vec_id) AS s FROM scored GROUP BY 1, 2),
 agg AS (SELECT unit, avg(s) AS m, max(s) AS w FROM latest GROUP BY 1)
 SELECT unit, {r('0.6e0 * m + 0.4e0 * w', 3)} AS integrated, {r('m', 3)} AS mean, {r('w', 3)} AS worst,
-  CAST({r(r('0.6e0 * m + 0.4e0 * w', 3) + ' * 100e0', 0)} AS INTEGER) AS points FROM agg""",
+  CAST(round_even({r('0.6e0 * m + 0.4e0 * w', 3)} * 100e0, 0) AS INTEGER) AS points FROM agg""",
 )
 def q_integrated(spark, sf):
     scored = probabilities(spark, sf).select(

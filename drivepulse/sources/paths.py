@@ -100,24 +100,26 @@ def coverage_gaps(
         ),
     )
     seen = listing.select(F.explode_outer(F.array(record)).alias("r")).select("r.*")
-    leaves = seen.groupBy("vehicle", "fault_class", "date", "sensor").agg(F.max("_ok").alias("_ok"))
+    # One flag per sensor and date folder: null without a leaf, false for a leaf without recordings.
+    flags = [F.max(F.when(F.col("sensor") == name, F.col("_ok"))).alias(f"_s{i}") for i, name in enumerate(sensors)]
+    folders = seen.groupBy("vehicle", "fault_class", "date").agg(F.lit(True).alias("_seen"), *flags)
     domain = [(v, c) for v in vehicles for c in classes]
     expected = spark.createDataFrame(domain, "vehicle string, fault_class string")
-    folders = leaves.select("vehicle", "fault_class").distinct()
-    missing_class = expected.join(folders, ["vehicle", "fault_class"], "left_anti").select(
-        "vehicle", "fault_class", F.lit(None).cast("string").alias("date"), F.lit(None).cast("string").alias("sensor"),
-        F.lit("class folder missing").alias("problem"),
-    )
-    dates = leaves.select("vehicle", "fault_class", "date").distinct()
-    wanted = dates.withColumn("sensor", F.explode(F.array(*[F.lit(s) for s in sensors])))
-    state = wanted.join(leaves, ["vehicle", "fault_class", "date", "sensor"], "left").filter(
-        F.col("_ok").isNull() | ~F.col("_ok")
-    )
-    missing_leaf = state.join(F.broadcast(expected), ["vehicle", "fault_class"], "left_semi").select(
-        "vehicle", "fault_class", "date", "sensor",
-        F.when(F.col("_ok").isNull(), "sensor leaf missing").otherwise("sensor leaf empty").alias("problem"),
+
+    def problem(sensor: str | None, text: Column) -> Column:
+        return F.struct(F.lit(sensor).cast("string").alias("sensor"), text.alias("problem"))
+
+    def leaf(i: int, name: str) -> Column:
+        flag = F.col(f"_s{i}")
+        text = F.when(flag.isNull(), "sensor leaf missing").otherwise("sensor leaf empty")
+        return F.when(flag.isNull() | ~flag, problem(name, text))
+
+    leaves = F.filter(F.array(*[leaf(i, name) for i, name in enumerate(sensors)]), lambda p: p.isNotNull())
+    found = F.when(F.col("_seen").isNull(), F.array(problem(None, F.lit("class folder missing")))).otherwise(leaves)
+    joined = expected.join(folders, ["vehicle", "fault_class"], "left")
+    return joined.select("vehicle", "fault_class", "date", F.explode(found).alias("p")).select(
+        "vehicle", "fault_class", "date", "p.sensor", "p.problem"
     )
-    return missing_class.unionByName(missing_leaf)
 
 
 def index_overview(index: DataFrame) -> DataFrame:
@@ -186,7 +188,6 @@ def spectrogram_index(listing: DataFrame, *, sensors: Sequence[str] = SENSORS) -
     )
     files = listing.select("path", F.explode_outer(F.array(record)).alias("r")).select("path", "r.*")
     images = files.filter(F.col("kind") == "png")
-    # Derived from one another so that each listing pass is shuffled once and reused.
     by_folder = images.groupBy("day", "channel").agg(F.min("path").alias("_spare"))
     lead = by_folder.groupBy("day").agg(
         F.coalesce(F.max(F.when(F.col("channel") == sensors[0], F.col("channel"))), F.min("channel")).alias("lead")
