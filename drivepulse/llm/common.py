@@ -182,8 +182,9 @@ def keyed_rows(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     counts = np.concatenate([np.ones(int(alone.sum() + pairs.sum()), np.int64), n[many]])
     shared = np.zeros(len(parts), bool)
     shared[int(alone.sum()) : int(alone.sum() + pairs.sum())] = True
-    keys = np.concatenate([key[alone], key[pairs], names[many]])
-    return pa.RecordBatch.from_arrays([pa.array(parts), pa.array(keys), docs, pa.array(counts), pa.array(shared)], [f.split()[0] for f in KEYED.split(", ")])
+    # A key is written only where the rows are not dealt out by it.
+    keys = pa.concat_arrays([pa.nulls(int(alone.sum()), pa.int64()), pa.array(key[pairs]), pa.nulls(int(many.sum()), pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(parts), keys, docs, pa.array(counts), pa.array(shared)], [f.split()[0] for f in KEYED.split(", ")])
 
 
 def shared_pairs(rows: DataFrame, many: int | None = None) -> DataFrame:
@@ -199,7 +200,7 @@ def shared_pairs(rows: DataFrame, many: int | None = None) -> DataFrame:
             shared = batch.column(4)
             yield pa.RecordBatch.from_arrays([c.filter(shared) for c in (batch.column(2), batch.column(1), batch.column(3))], ["doc", "key", "n"])
             open_ = pa.compute.invert(shared)
-            keys.append(batch.column(1).filter(open_).to_numpy(zero_copy_only=False))
+            keys.append(batch.column(0).filter(open_).to_numpy(zero_copy_only=False))
             docs.append(batch.column(2).filter(open_))
             counts.append(batch.column(3).filter(open_).to_numpy(zero_copy_only=False))
         if not keys:

@@ -5,8 +5,8 @@ it. Both interpolate their own discounted counts with one shared lower-order dis
 from continuation counts (in how many contexts a shorter n-gram occurs), so that an expression that
 neither class knows well gets the same backoff from both and says nothing. The shared counts come
 from all documents, the class counts from the labelled rows. A text is described by its
-log-likelihood ratio per sign, by its most toxic word and by the excess of its toxic words; a
-logistic curve over these three turns them into a score.
+log-likelihood ratio per sign, by its most toxic word, by how far its toxic words exceed some bars
+and by its length; a logistic curve over these turns them into a score.
 
 Signs are mapped to 12 bits, so that a 5-gram is one exact 60-bit integer; all counting and the
 probabilities are Spark aggregations over such integers. What scoring needs is the log ratio of each
@@ -43,8 +43,9 @@ BITS = 12
 # Primes: the slot of an n-gram is the rest of its division.
 SLOTS = 1_048_573
 CONTEXT_SLOTS = 262_139
-# A word counts as evidence of its own beyond this log ratio.
-EXCESS = 3.0
+# Bars over which a word's log ratio is evidence of its own.
+EXCESS = (1.0, 2.0, 3.0)
+FEATURES = 7
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 HALVES = ("t0", "o0", "t2", "o2")
@@ -92,7 +93,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """Counts of every 5-gram: of the classes in both halves, and none of them where only other documents have it."""
+    """Counts of every 5-gram: texts of the classes in both halves (each word of a text once), all 0 where only other
+    documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", *HALVES]
@@ -109,8 +111,12 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 continue
             toxic, half = (batch.column(k).fill_null(-1).to_numpy() for k in (2, 3))
             kind = np.where(toxic < 0, -1, (half == 2) * 2 + (toxic == 0))
-            per_word = np.repeat(kind, np.diff(at))
-            uses = np.stack([np.bincount(flat[per_word == k], minlength=len(words)) for k in range(4)], 1).astype(float)
+            # In how many texts of each class a word is: a text that repeats an odd word counts once.
+            per_word = np.repeat(np.arange(len(kind)), np.diff(at))
+            chosen = kind[per_word] >= 0
+            pairs = np.unique(per_word[chosen].astype(np.int64) * len(words) + flat[chosen])
+            of, word = kind[pairs // len(words)], pairs % len(words)
+            uses = np.stack([np.bincount(word[of == k], minlength=len(words)) for k in range(4)], 1).astype(float)
             gram, offsets = grams(words)
             found.append((gram, np.repeat(uses, np.diff(offsets), 0)))
             found[:] = [merged()]
@@ -154,8 +160,9 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     for name, toxic, ordinary in (("a", F.col("t0"), F.col("o0")), ("b", F.col("t2"), F.col("o2")), ("ab", F.col("t0") + F.col("t2"), F.col("o0") + F.col("o2"))):
         def model(n):
             total, kinds = F.sum(n).over(w), F.sum((n > 0).cast("int")).over(w)
-            left = F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
-            own = F.when(total > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0)
+            # A discount of one: what only one text has is left to the shared backoff.
+            left = F.when(total > 0, kinds / total).otherwise(1.0)
+            own = F.when(total > 0, F.greatest(n - 1.0, F.lit(0.0)) / total).otherwise(0.0)
             return F.ln(own + left * F.col("p")), F.ln(left)
 
         (p_t, l_t), (p_o, l_o) = model(toxic), model(ordinary)
@@ -194,8 +201,9 @@ def fit_ratios(rows: DataFrame) -> dict[str, Model]:
 
 
 def features(texts: list[str], model: Model) -> np.ndarray:
-    """Log ratio per sign, log ratio of the most toxic word, and excess of toxic words, for every text."""
-    out = np.zeros((len(texts), 3))
+    """For every text: log ratio per sign, log ratio of its most toxic word, excess of its toxic words over each bar,
+    the excess over the middle bar against the length, and the length."""
+    out = np.zeros((len(texts), FEATURES))
     words, flat, at = vocabulary(texts)
     if not words:
         return out
@@ -210,7 +218,11 @@ def features(texts: list[str], model: Model) -> np.ndarray:
     value = word[flat]
     out[:, 0] = run_sums(value, at) / np.maximum(1, run_sums(size[flat], at))
     out[some, 1] = np.clip(np.maximum.reduceat(value, at[:-1][some]), -20, 20)
-    out[:, 2] = np.log1p(run_sums(np.maximum(0, value - EXCESS), at))
+    excess = [run_sums(np.maximum(0, value - bar), at) for bar in EXCESS]
+    out[:, 2:5] = np.log1p(np.stack(excess, 1))
+    number = np.diff(at)
+    out[:, 5] = excess[1] / np.sqrt(np.maximum(1, number))
+    out[:, 6] = np.log1p(number)
     return out
 
 
@@ -237,19 +249,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     models = fit_ratios(marked)
     sc = docs.sparkSession.sparkContext
     crossed = sc.broadcast({0: models["b"], 2: models["a"]})
+    names = [f"x{k}" for k in range(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             half = batch.column(3).to_numpy()
-            x = np.zeros((batch.num_rows, 3))
+            x = np.zeros((batch.num_rows, FEATURES))
             for h, model in crossed.value.items():
                 here = np.flatnonzero(half == h)
                 if len(here):
                     x[here] = features(batch.column(1).take(pa.array(here)).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "x0", "x1", "x2"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(x[:, k]) for k in range(FEATURES))], ["toxic", *names])
 
-    known = marked.filter("half IS NOT NULL").mapInArrow(run, "toxic int, x0 double, x1 double, x2 double").toArrow()
-    x = np.column_stack([known.column(f"x{k}").to_numpy() for k in range(3)]).reshape(-1, 3)
+    known = marked.filter("half IS NOT NULL").mapInArrow(run, "toxic int, " + ", ".join(f"{c} double" for c in names)).toArrow()
+    x = np.column_stack([known.column(c).to_numpy() for c in names]).reshape(-1, FEATURES)
     y = known.column("toxic").to_numpy()
     if len(set(y.tolist())) < 2:
         return None
