@@ -106,6 +106,15 @@ def test_bootstrap_draws_brute_force(spark):
         assert got[rep] == pytest.approx(sum(d for d, _ in picks) / sum(n for _, n in picks))
 
 
+def test_bootstrap_takes_any_number_of_profiles(spark):
+    """2,500 sessions of different (difference, size): no limit, and the same draws as by hand."""
+    rows = [(i, 10 + i, i % 7, i % 3) for i in range(2500)]
+    df = spark.createDataFrame(rows, "session long, n long, n10 long, n01 long")
+    deltas = [r["delta"] for r in ev.bootstrap_draws(df, 40, 3).collect()]
+    whole = sum(a - b for _, _, a, b in rows) / sum(n for _, n, _, _ in rows)
+    assert len(deltas) == 40 and np.mean(deltas) == pytest.approx(whole, rel=0.2)
+
+
 def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "cls int")
     out = {r["cls"]: r["weight"] for r in ev.balanced_weights(df).collect()}

@@ -156,6 +156,40 @@ def test_model_store(spark, trained, tmp_path):
         store.load("Vib_TM")
 
 
+def test_model_store_keeps_slots_of_earlier_saves(spark, trained, tmp_path):
+    _, fitted = trained
+    first, second = SENSORS[:2]
+    models.ModelStore(spark, str(tmp_path)).save({first: fitted[first]})
+    models.ModelStore(spark, str(tmp_path)).save({second: fitted[second]})
+    store = models.ModelStore(spark, str(tmp_path))
+    assert {r["slot"] for r in store.table().collect()} == {first, second}
+    assert store.load(first).numFeatures == store.load(second).numFeatures
+
+
+def test_half_written_features_are_made_anew(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(i, rng.normal(size=40).tolist()) for i in range(4)], "id int, x array<double>")
+    plan = rocket.fit_biases(chunks, rocket.make_plan(40, n_features=84), key="id")
+    whole = rocket.cached_features(chunks, plan, str(tmp_path), keys=["id"]).collect()
+    (folder,) = tmp_path.iterdir()
+    (folder / "complete").rename(folder / "lost")  # as if the job had stopped before its mark
+    (folder / "features").rename(folder / "gone")
+    again = rocket.cached_features(chunks, plan, str(tmp_path), keys=["id"]).collect()
+    assert sorted(r["id"] for r in again) == sorted(r["id"] for r in whole) == [0, 1, 2, 3]
+
+
+def test_shared_folder_is_refused_on_a_cluster_without_the_setting(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from drivepulse.session import shared_dir
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(bare, "x")
+    bare.sparkContext.master = "local[2]"
+    assert "/x-" in shared_dir(bare, "x")
+
+
 def test_late_fusion(spark):
     df = spark.createDataFrame([("s", [0.6, 0.4, 0.0, 0.0, 0.0]), ("s", [0.1, 0.2, 0.0, 0.7, 0.0]), ("s", [0.0, 0.3, 0.0, 0.7, 0.0])], "s string, probs array<double>")
     row = models.late_fusion(df, session=["s"]).first()
@@ -235,6 +269,22 @@ def test_ring_and_latest_over_several_batches(spark, tmp_path):
     assert {r["k"]: r["score"] for r in last.collect()} == {0: 198.0, 1: 199.0, 2: 197.0}
 
 
+def test_a_ring_without_its_previous_table_fails(spark, tmp_path):
+    import shutil
+
+    source, place = str(tmp_path / "in"), str(tmp_path / "job")
+    spark.range(5).select(F.lit(1).alias("k"), F.col("id").alias("t")).write.parquet(source)
+    stream = streams.file_stream(spark, source, "k int, t long")
+    assert streams.ring(stream, "t", keys=["k"], order=["t"], keep=3, location=place).count() == 3
+    spark.range(5, 9).select(F.lit(1).alias("k"), F.col("id").alias("t")).write.mode("append").parquet(source)
+    resumed = streams.ring(streams.file_stream(spark, source, "k int, t long"), "t", keys=["k"], order=["t"], keep=3, location=place)
+    assert sorted(r["t"] for r in resumed.collect()) == [6, 7, 8]
+    shutil.move(f"{place}/data/1", str(tmp_path / "away"))
+    spark.range(9, 11).select(F.lit(1).alias("k"), F.col("id").alias("t")).write.mode("append").parquet(source)
+    with pytest.raises(Exception):
+        streams.ring(streams.file_stream(spark, source, "k int, t long"), "t", keys=["k"], order=["t"], keep=3, location=place)
+
+
 def test_alerts_are_emitted_once(spark, tmp_path):
     from tests.test_health import response
 
