@@ -73,15 +73,16 @@ def q_leak(spark, sf):
 @query(
     "split_fingerprint",
     "WITH " + TRIALS + """, leaf AS (SELECT sensor, sha256(CAST(grp AS VARCHAR)) AS h FROM split WHERE side = 'val'),
-node AS (SELECT sensor, substr(h, 1, 2) AS p, sha256(string_agg(h, ',' ORDER BY h)) AS n, count(*) AS c FROM leaf GROUP BY 1, 2)
-SELECT sensor, CAST(sum(c) AS BIGINT) AS members, sha256(string_agg(n, ',' ORDER BY p)) AS sha256 FROM node GROUP BY 1""",
+word AS (SELECT sensor, count(*) AS members, concat_ws(',', count(*), """
+    + ", ".join(f"sum(('0x'||substr(h, {1 + 15 * i}, 15))::BIGINT)" for i in range(4))
+    + """) AS parts FROM leaf GROUP BY 1)
+SELECT sensor, members, sha256(parts) AS sha256 FROM word""",
 )
 def q_fingerprint(spark, sf):
     from drivepulse.sources.sinks import fingerprint
 
     val = holdout(spark, sf).filter(F.col("side") == "val")
-    text = F.col("grp").cast("string")
-    return fingerprint(val, ["sensor"], text, F.substring(F.sha2(text, 256), 1, 2))
+    return fingerprint(val, ["sensor"], F.col("grp"))
 
 
 @query(

@@ -39,23 +39,15 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     ).partitionBy("sensor").parquet(path)
 
 
-def fingerprint(df: DataFrame, keys: Sequence[str], member: Column, prefix: Column) -> DataFrame:
-    """SHA-256 over the members of each key, independent of row order.
+def fingerprint(df: DataFrame, keys: Sequence[str], member: Column) -> DataFrame:
+    """Digest over the members of each key, independent of row order.
 
-    Members are hashed on their own and digested per hash prefix first, so a key
-    with very many members is reduced in parallel before its final digest.
+    Each member gives four 60-bit words of its SHA-256; their sums and the number of members are
+    added map-side and hashed once, so no list of members is ever built.
     """
-    leaf = F.sha2(member.cast("string"), 256)
-    leaves = df.select(*keys, leaf.alias("_h"), prefix.alias("_p"))
-    nodes = leaves.groupBy(*keys, "_p").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ","), 256).alias("_n"), F.count(F.lit(1)).alias("_c")
-    )
-    return nodes.groupBy(*keys).agg(
-        F.sum("_c").alias("members"),
-        F.sha2(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("_p", "_n"))), lambda s: s["_n"]), ","
-            ),
-            256,
-        ).alias("sha256"),
-    )
+    digest = F.sha2(member.cast("string"), 256)
+    rows = df.select(*keys, digest.alias("_h"))
+    words = [F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)])
+    parts = F.concat_ws(",", F.col("members").cast("string"), *[F.col(f"_w{i}").cast("string") for i in range(4)])
+    return sums.select(*keys, "members", F.sha2(parts, 256).alias("sha256"))

@@ -109,7 +109,7 @@ def test_fingerprint_ignores_row_order(spark):
 
     def mark(d):
         text = F.col("id").cast("string")
-        return sinks.fingerprint(d, ["k"], text, F.substring(F.sha2(text, 256), 1, 2)).first()["sha256"]
+        return sinks.fingerprint(d, ["k"], text).first()["sha256"]
 
     assert mark(df) == mark(df.repartition(7).orderBy(F.col("id").desc()))
     assert mark(df) != mark(df.filter("id > 0"))
