@@ -219,20 +219,19 @@ def test_tree_to_models(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "summary")).count() == 9
 
 
-def test_large_file_lists_are_filtered_by_a_join(spark, tmp_path, monkeypatch):
+def test_only_indexed_recordings_become_chunks(spark, tmp_path):
     from drivepulse.plans import training
 
     root = str(tmp_path / "ordner mit ümlaut+x")
     for rec in range(4):
         write_csv(root, "KONA", "ECC20", "Vib_TM", rec, 20)
     index = training.build_index(spark, root)
+    every = {r["group_key"]: r["x"] for r in training.load_chunks(index, chunk_size=20).collect()}
     some = index.filter("group_key like '%zsplit002' or group_key like '%zsplit003'").select("sensor", "group_key")
-    listed = training.load_chunks(index, some, chunk_size=20)
-    rows = sorted((r["group_key"], r["x"]) for r in listed.collect())
-    assert len(rows) == 2
-    monkeypatch.setattr(training, "LISTED_FILES", 1)
-    joined = training.load_chunks(index, some, chunk_size=20)
-    assert sorted((r["group_key"], r["x"]) for r in joined.collect()) == rows
+    rows = {r["group_key"]: r["x"] for r in training.load_chunks(index, some, chunk_size=20).collect()}
+    assert len(every) == 4 and len(rows) == 2 and all(every[k] == x for k, x in rows.items())
+    with pytest.raises(ValueError):
+        training.load_chunks(index, some.limit(0), chunk_size=20)
 
 
 def test_sweep_report_of_the_pilot_profile(spark, tmp_path):
