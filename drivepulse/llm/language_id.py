@@ -34,7 +34,9 @@ ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
 # Share of letters that a document's language must hold to be kept, and bytes of text that are labelled together.
 LEAST_SCORE = 0.5
-STEP_BYTES = 12 << 20
+STEP_BYTES = 8 << 20
+# Different words whose n-grams are held at once.
+WORD_STEP = 20_000
 UNKNOWN = "und"
 LETTERS = r"[^\W\d_]+"
 # First code points of script ranges and their names, in order.
@@ -206,7 +208,10 @@ def judge(texts: list[str | None], model: Model, penalty: float = PENALTY, spans
     path, weight = np.zeros(len(flat), np.int32), np.zeros((len(texts), max(kinds, 1)), np.int64)
     if kinds and known:
         lengths = np.array([len(w) for w in known], np.int64)
-        scores = word_scores(list(known), model).astype(np.float32)
+        # Different words are scored some at a time; only their scores are kept.
+        words = list(known)
+        parts = [word_scores(words[i : i + WORD_STEP], model).astype(np.float32) for i in range(0, len(words), WORD_STEP)]
+        scores = np.concatenate(parts)
         path = viterbi(scores[flat], offsets, penalty)
         weight = np.stack([run_sums(np.where(path == k, lengths[flat], 0), offsets) for k in range(kinds)], 1)
     total = weight.sum(1)
