@@ -34,9 +34,9 @@ ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
 # Share of letters that a document's language must hold to be kept, and bytes of text that are labelled together.
 LEAST_SCORE = 0.5
-STEP_BYTES = 8 << 20
+STEP_BYTES = 6 << 20
 # Different words whose n-grams are held at once.
-WORD_STEP = 20_000
+WORD_STEP = 10_000
 UNKNOWN = "und"
 LETTERS = r"[^\W\d_]+"
 # First code points of script ranges and their names, in order.
@@ -107,13 +107,19 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, slots: int = SLOTS) -> Model:
         letters = re.compile(LETTERS)
         for batch in slices(batches):
             for lang in set(batch.column(0).to_pylist()):
-                words = [w for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if k == lang for w in letters.findall(t.lower())]
-                if words:
-                    slot, n = np.unique(gram_slots(words, slots)[0], return_counts=True)
-                    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-                    script, m = np.unique(-1 - script_of(codes), return_counts=True)
-                    slot, n = np.concatenate([slot, script]), np.concatenate([n, m])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot)), pa.array(slot, pa.int64()), pa.array(n, pa.int64())], ["lang", "slot", "n"])
+                seen, scripts = np.zeros(slots, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
+                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = letters.findall(text.lower()) if k == lang else []
+                    for i in range(0, len(words), WORD_STEP):
+                        part = words[i : i + WORD_STEP]
+                        np.add.at(seen, gram_slots(part, slots)[0], 1)
+                        codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+                        scripts += np.bincount(script_of(codes), minlength=len(scripts))
+                slot, script = np.flatnonzero(seen), np.flatnonzero(scripts)
+                if len(slot):
+                    # Scripts count as slots below 0.
+                    columns = [pa.array([lang] * (len(slot) + len(script))), pa.array(np.concatenate([slot, -1 - script])), pa.array(np.concatenate([seen[slot], scripts[script]]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "slot", "n"])
 
     counted = sample(docs, rows).mapInArrow(count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
