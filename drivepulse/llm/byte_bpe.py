@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from drivepulse.llm.common import PieceCache, slices, texts_of
 
-# Matches that are looked up at once.
+# Matches that are looked up at once, encoded matches that a process keeps, and bytes of text per batch of results.
 RUN = 200_000
+CACHED = 100_000
+BATCH = 1 << 20
 
 
 @cache
@@ -91,7 +93,7 @@ class Codec:
         back = {c: b for b, c in self.map.items()}
         ids = range(1, len(self.tokens) + 1)
         self.bytes_of = [bytes(back[c] for c in piece) for piece in self.model.IdToPiece(list(ids))]
-        self.known = PieceCache(self._pieces)
+        self.known = PieceCache(self._pieces, CACHED)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
@@ -136,7 +138,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, size=BATCH):
             ids = [tool.encode(t) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array(ids, pa.binary())]
             if decoded:
