@@ -11,7 +11,8 @@ benchmark goes to the shards in blocks of bounded size.
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A window is
 ``window`` consecutive words of an item; an item of fewer words is one window, an item without words
 has none. Null text has no words. Each document row is judged by itself: repeated rows repeat their
-result. Items that share an id count once. With an empty benchmark nothing is hit. A document longer
+result. Items that share an id count once; passages of items with a null id are hits like any other, but
+names and counts of items leave them out. With an empty benchmark nothing is hit. A document longer
 than a shard is sorted in pieces that overlap by the longest benchmark suffix.
 """
 
@@ -87,12 +88,16 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Benchmark suffixes: word hashes of all items in a row, and for each suffix where it starts and ends there."""
+    """Benchmark suffixes: word hashes of all items in a row, and for each suffix where it starts and ends there.
+
+    ``named`` tells whether the item has an id; ``item`` is 0 where it has none.
+    """
 
     words: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     item: np.ndarray
+    named: np.ndarray
     place: np.ndarray
     window: int
 
@@ -107,19 +112,21 @@ class Block:
         return np.where(size >= self.window, self.window, np.where(short, size, 0))
 
 
-def block_of(items: list[tuple[int, str | None]], window: int) -> Block:
+def block_of(items: list[tuple[int | None, str | None]], window: int) -> Block:
     texts = pa.array([t or "" for _, t in items], pa.string())
     words, at = word_sequence(*utf8_parts(texts))
     sizes = np.diff(at)
     begin = np.arange(len(words))
     start = np.repeat(at[:-1], sizes)
-    return Block(words, begin, np.repeat(at[1:], sizes), np.repeat(np.array([i for i, _ in items], np.int64), sizes), begin - start, window)
+    item = np.repeat(np.array([i or 0 for i, _ in items], np.int64), sizes)
+    named = np.repeat(np.array([i is not None for i, _ in items], bool), sizes)
+    return Block(words, begin, np.repeat(at[1:], sizes), item, named, begin - start, window)
 
 
 def blocks_of(benchmark: DataFrame, window: int) -> Iterator[Block]:
     """The benchmark in blocks of at most ``BLOCK_WORDS`` characters (or one longer item), a partition at a time."""
     rows, size = [], 0
-    clean = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    clean = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     for item, text in clean.toLocalIterator():
         if rows and size + len(text) > BLOCK_WORDS:
             yield block_of(rows, window)
@@ -216,9 +223,10 @@ def _hits(block: Block, texts: pa.Array):
                 places = begin + piece.order[a:b]
                 np.add.at(change, places, 1)
                 np.subtract.at(change, places + needed[w], 1)
-                found = np.unique(np.searchsorted(at, places, "right") - 1)
-                rows.append(found)
-                items.append(np.full(len(found), block.item[w]))
+                if block.named[w]:
+                    found = np.unique(np.searchsorted(at, places, "right") - 1)
+                    rows.append(found)
+                    items.append(np.full(len(found), block.item[w]))
     hit = np.cumsum(change[:-1]) > 0
     edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -289,7 +297,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows ``item_id, place, n_words, doc_id, at``: for every benchmark suffix with a window in the documents its
-    longest verbatim match and where that is (smallest document and word position among equals)."""
+    longest verbatim match and where that is (smallest document and word position among equals). Items with a
+    null id share it."""
     sc = docs.sparkSession.sparkContext
     parts = []
     for block in blocks_of(benchmark, window):
@@ -307,8 +316,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                         row = np.searchsorted(at, places, "right") - 1
                         ids = batch.column(0).take(pa.array(row))
                         n = len(places)
-                        columns = [np.full(n, block.item[w]), np.full(n, block.place[w]), np.full(n, size), ids, places - at[row]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item_id", "place", "n_words", "doc_id", "at"])
+                        item = pa.array([int(block.item[w]) if block.named[w] else None] * n, pa.int64())
+                        columns = [np.full(n, block.place[w]), np.full(n, size), ids, places - at[row]]
+                        yield pa.RecordBatch.from_arrays([item, *(pa.array(c, pa.int64()) for c in columns)], ["item_id", "place", "n_words", "doc_id", "at"])
 
         parts.append(texts_of(docs).mapInArrow(run, "item_id bigint, place bigint, n_words bigint, doc_id bigint, at bigint"))
     spark = docs.sparkSession

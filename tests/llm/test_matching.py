@@ -107,6 +107,27 @@ def test_decontamination(spark, monkeypatch, block, piece):
     assert all(r.n_hit == 0 and not r.contaminated for r in empty) and len(empty) == len(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_items_without_id_are_searched(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rnd = random.Random(15)
+    secret, named, odd = (" ".join(f"{w}{i}{k}" for i, w in enumerate(prose(rnd, 20).split())) for k in "abc")
+    texts = [f"x {secret} y", f"{secret} {named}", named, odd, "nothing of them"]
+    rows = [(i, t, *[None] * 5) for i, t in enumerate(texts)]
+    items = [(None, secret), (0, named), (None, odd), (None, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r.items, r.contaminated) for r in decontaminate.occurrences(frame(spark, rows), bench).collect()}
+    n = {t: len(bench_words(t)) for t in (secret, named, odd)}
+    assert got == {0: (n[secret], [], True), 1: (n[secret] + n[named], [0], True), 2: (n[named], [0], True), 3: (n[odd], [], True), 4: (0, [], False)}
+    # Hits as the brute force sees all items; names and counts as it sees those with an id.
+    hits, names = (contamination_brute(rows, x) for x in (items, [i for i in items if i[0] is not None]))
+    want = [(*h[:3], *k[3:5], h[5]) for h, k in zip(hits, names, strict=True)]
+    assert bag(decontaminate.report(frame(spark, rows), bench).collect()) == bag(want)
+    assert [r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()] == [4]
+    found = {(r.item_id, r.doc_id, r.n_words) for r in decontaminate.longest_matches(frame(spark, rows), bench).collect() if not r.place}
+    assert (0, 1, n[named]) in found and any(i is None for i, *_ in found)
+
+
 def test_longest_matches(spark):
     rnd = random.Random(9)
     a, b = prose(rnd, 50), prose(rnd, 50)
