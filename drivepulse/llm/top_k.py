@@ -77,6 +77,8 @@ class Block:
         # Within a dimension segments are read in order, so each step takes a run of every list.
         read = np.zeros(self.dims, int)
         score = np.full(n, base)
+        # Rows with the query's own id, however many, are no answers and prove nothing.
+        others = np.flatnonzero(self.ids != own)
         for level in range(LEVELS):
             upto = (step <= level).sum(1)
             first = cuts[np.arange(self.dims), read] + np.arange(self.dims) * n
@@ -91,13 +93,14 @@ class Block:
                     score += np.bincount(rows[at], np.repeat(weight[which], size) * value[at], n)
             read = upto
             left = float(np.where(read < SEGMENTS, ceiling[np.arange(self.dims), np.minimum(read, SEGMENTS - 1)], 0.0).sum())
-            reached = np.partition(score, n - k - 1)[n - k - 1] if n > k else -np.inf  # one of the k + 1 best may be the query itself
+            met = score if len(others) == n else score[others]
+            reached = np.partition(met, len(met) - k)[len(met) - k] if len(met) >= k else -np.inf
             bar = max(known, reached)
             # Proof: whoever stays below the bar with all that is left cannot be a member.
-            possible = score + left >= bar
+            possible = met + left >= bar
             if left == 0.0 or possible.sum() <= 4 * k:
                 break
-        which = np.flatnonzero(possible & (self.ids != own))
+        which = others[possible]
         exact = self.rows[which] @ query
         order = np.lexsort([self.ids[which], -exact])[:k]
         return self.ids[which[order]], exact[order]

@@ -133,6 +133,18 @@ def test_top_k(spark, monkeypatch, n, block):
     assert top_k.search(docs.limit(0), docs).collect() == []
 
 
+@pytest.mark.parametrize("copies", [1, 5, 25])
+def test_top_k_of_repeated_query_ids(spark, copies):
+    rnd = np.random.default_rng(8)
+    far = (3 * rnd.normal(size=8)).tolist()
+    rows = [(100 + i, rnd.normal(size=8).tolist(), 0, "odd", "odd") for i in range(150)]
+    rows += [(0, far, 0, "odd", "odd")] * copies + [(1, (-np.array(far)).tolist(), 0, "odd", "odd")] * copies
+    docs = vectors(spark, rows).coalesce(1)
+    got = top_k.search(docs, docs.filter("vec_id < 2")).collect()
+    assert bag(got) == bag(set(top_brute(rows, {0, 1})))
+    assert [r.rank for r in sorted(got)] == [*range(1, 11)] * 2
+
+
 # chats
 
 def test_chat_windows(spark):
