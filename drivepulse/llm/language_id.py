@@ -32,8 +32,7 @@ SLOTS = 1 << 18
 MOST_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
-# Share of letters that a document's language must hold to be kept, and bytes of text that are labelled together.
-LEAST_SCORE = 0.5
+# Bytes of text that are labelled together.
 STEP_BYTES = 6 << 20
 # Different words whose n-grams are held at once.
 WORD_STEP = 10_000
@@ -247,15 +246,15 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool =
     return texts_of(docs).mapInArrow(run, schema)
 
 
-def keep_languages(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows, with all columns, whose text has a language that holds at least ``least`` of its letters."""
+def keep_languages(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all columns, whose text has a language, however many others share it."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=STEP_BYTES):
-            lang, score, _ = judge(batch.column(at).to_pylist(), sent.value)
-            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+            lang, _, _ = judge(batch.column(at).to_pylist(), sent.value)
+            yield batch.filter(pa.array([k != UNKNOWN for k in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -37,6 +37,17 @@ def test_language_id(spark):
     assert language_id.keep_languages(odd, model).columns == odd.columns
 
 
+def test_balanced_documents_stay(spark):
+    rnd = random.Random(14)
+    model = language_id.fit(frame(spark, tongues()))
+    parts = {k: words(rnd, k, 200)[:400].rsplit(" ", 1)[0] for k in SYLLABLES}
+    two = " ".join([words(rnd, "en", 60)[:240], words(rnd, "ru", 60)[:235], words(rnd, "de", 8)])
+    docs = frame(spark, [(i, t, *[None] * 5) for i, t in enumerate([" ".join(parts.values()), two, "12 34", None])])
+    found = {r.doc_id: r for r in language_id.label(docs, model).collect()}
+    assert found[0].score < 0.4 and found[1].score < 0.5
+    assert sorted(r.doc_id for r in language_id.keep_languages(docs, model).collect()) == [0, 1]
+
+
 def test_language_id_without_training_rows(spark):
     docs = frame(spark, [(1, "some words", *[None] * 5)])
     assert [r.lang_pred for r in language_id.label(docs, language_id.fit(docs)).collect()] == ["und"]
