@@ -43,8 +43,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]{32,}", 32),
 )
+# What stands between the BEGIN and the END line of a key: base64, line ends (also escaped ones), header fields and marks
+# of quotes; no five dashes in a row, so that a block never runs into the next one.
+PEM_BODY = r"""[A-Za-z0-9+/=:,.\\"'>#*\t\r\n\x20]"""
 RULES = BASE + (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # A block without an END line is its BEGIN line alone.
+    Rule("pem", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{PEM_BODY}*(?:-{{1,4}}{PEM_BODY}+)*-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
 )

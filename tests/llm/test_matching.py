@@ -47,6 +47,25 @@ def test_secret_report_and_redaction(spark):
     assert secret_scan.report(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_pem_blocks_are_covered_whole(spark):
+    def block(kind, body, line="\n"):
+        return f"-----BEGIN {kind}PRIVATE KEY-----{line}{body}{line}-----END {kind}PRIVATE KEY-----"
+
+    rnd = random.Random(21)
+    lines = ["".join(rnd.choices("ABCxyz019+/", k=64)) for _ in range(30)]
+    plain, escaped = block("", "\n".join(lines) + "=="), block("EC ", "\\n".join(lines), "\\n")
+    coded = block("RSA ", "Proc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-256-CBC,0A1B\r\n\r\n" + "\r\n".join(lines), "\r\n")
+    open_ = "-----BEGIN PRIVATE KEY-----"
+    texts = [f"é {plain} after", f"{coded}\nsome words between\n{escaped}", f"{open_} and no end", f"{open_}\n{plain}", plain.replace("END", "FIN")]
+    docs = frame(spark, [(i, t, *[None] * 5) for i, t in enumerate(texts)])
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in secret_scan.find(docs).collect()}
+    want = [[plain], [coded, escaped], [open_], [open_, plain], [open_]]
+    assert found == {i: [("pem", x) for x in w] for i, w in enumerate(want)}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert clean[0] == "é [secret] after" and clean[1] == "[secret]\nsome words between\n[secret]"
+    assert clean[2] == "[secret] and no end" and clean[3] == "[secret]\n[secret]"
+
+
 def test_minimal_automaton():
     moves, marks = secret_scan.determinise(["(ab|cb)+", "abcb"], False, False)
     rows = secret_scan.linked(moves, marks)
