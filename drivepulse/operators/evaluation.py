@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from drivepulse.functions.domains import CLASSES
 from drivepulse.functions.scalars import hash_word, with_mix32
 from drivepulse.operators.ranking import exact_quantiles
-from drivepulse.session import small_rows
 
 # Replicates of a published evaluation.
 REPLICATES = 100_000
-# Profiles one task may hold in the multinomial and binomial forms.
-LISTED_PROFILES = 2_000_000
+# Profiles of a block in the multinomial and binomial forms, and replicates that a task sums at once.
+PROFILE_BLOCK = 4_096
+REPLICATE_STEP = 1_000
 
 TRUE, PRED = "true_label", "predicted_label"
 
@@ -256,7 +256,9 @@ def bootstrap_draws(counts: DataFrame, replicates: int = REPLICATES, seed: int =
 def bootstrap_multinomial(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """The same distribution with one multinomial draw per replicate over the profiles.
 
-    Work is replicates × profiles, independent of the number of sessions.
+    Work is replicates × profiles, independent of the number of sessions. Profiles are dealt to blocks;
+    how many draws of a replicate fall into a block follows from binomial splits of all draws, down a
+    binary tree over the blocks whose nodes have seeds of their own, so that every block finds its share alone.
     """
     return _profile_replicates(counts, replicates, seed, "bootstrap")
 
@@ -268,29 +270,59 @@ def permutation_binomial(counts: DataFrame, replicates: int = REPLICATES, seed:
 
 def _profile_replicates(counts: DataFrame, replicates: int, seed: int, kind: str) -> DataFrame:
     spark = counts.sparkSession
-    rows = small_rows(session_profiles(counts), LISTED_PROFILES)
-    if rows is None:
-        raise ValueError("session sizes vary too much to be listed as profiles")
-    rows = sorted((r["d"], r["n"], r["sessions"]) for r in rows)
-    shared = spark.sparkContext.broadcast(np.array(rows, dtype="int64").reshape(-1, 3))
+    profiles = session_profiles(counts)
+    blocks = -(-profiles.count() // PROFILE_BLOCK)
+    profiles = profiles.withColumn("_block", F.pmod(F.xxhash64("d", "n"), F.lit(max(1, blocks))).cast("int"))
+    upto = np.zeros(blocks + 1, dtype="int64")
+    for row in profiles.groupBy("_block").agg(F.sum("sessions").alias("c")).collect():  # one row per block
+        upto[row["_block"] + 1] = row["c"]
+    upto = np.cumsum(upto)
+    shared = spark.sparkContext.broadcast(upto)
+    # Few blocks are handed out several times, each time for some of the replicates.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = max(1, min(-(-replicates // REPLICATE_STEP), -(-2 * parts // max(1, blocks))))
+    listed = profiles.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("d", "n", "sessions"))).alias("_p")).select(
+        "_block", "_p.d", "_p.n", "_p.sessions",
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+
+    def draws(rep: int, block: int) -> int:
+        """Draws of a replicate that fall into a block."""
+        low, high, here = 0, len(upto) - 1, int(shared.value[-1])
+        while high - low > 1:
+            middle = (low + high) // 2
+            left, whole = (int(shared.value[x] - shared.value[low]) for x in (middle, high))
+            split = np.random.default_rng([seed, rep + 1, blocks + low, high]).binomial(here, left / whole if whole else 0.0)
+            low, high, here = (low, middle, int(split)) if block < middle else (middle, high, here - int(split))
+        return here
+
+    first = 0 if kind == "bootstrap" else -1
 
     def draw(batches):
-        d, n, c = shared.value.T
         for batch in batches:
-            deltas = []
-            for rep in batch["id"]:
-                rng = np.random.default_rng([seed, int(rep) + 1])
-                if rep < 0:
-                    deltas.append((c * d).sum() / (c * n).sum())
-                elif kind == "bootstrap":
-                    times = rng.multinomial(c.sum(), c / c.sum())
-                    deltas.append((times * d).sum() / (times * n).sum())
-                else:
-                    heads = rng.binomial(c, 0.5)
-                    deltas.append(((2 * heads - c) * d).sum() / (c * n).sum())
-            yield pd.DataFrame({"replicate": batch["id"], "delta": deltas})
-
-    return spark.range(0 if kind == "bootstrap" else -1, replicates).mapInPandas(draw, "replicate long, delta double")
+            for row in batch.itertuples(index=False):
+                block, chunk = int(row[0]), int(row[4])
+                d, n, c = (np.asarray(x, dtype="int64") for x in row[1:4])
+                share, whole = c / c.sum(), int((c * n).sum())
+                begin, end = (first + (replicates - first) * k // chunks for k in (chunk, chunk + 1))
+                for start in range(begin, end, REPLICATE_STEP):
+                    reps = range(start, min(start + REPLICATE_STEP, end))
+                    over, under = [], []
+                    for rep in reps:
+                        rng = np.random.default_rng([seed, rep + 1, block])
+                        if rep < 0:
+                            times, size = c, whole
+                        elif kind == "bootstrap":
+                            times = rng.multinomial(draws(rep, block), share)
+                            size = int((times * n).sum())
+                        else:
+                            times, size = 2 * rng.binomial(c, 0.5) - c, whole
+                        over.append(int((times * d).sum()))
+                        under.append(size)
+                    yield pd.DataFrame({"replicate": list(reps), "_d": over, "_n": under})
+
+    dealt = listed.repartition(min(parts, max(1, blocks) * chunks), "_block", "_chunk")
+    sums = dealt.mapInPandas(draw, "replicate long, _d long, _n long")
+    return sums.groupBy("replicate").agg((F.sum("_d") / F.sum("_n")).alias("delta"))
 
 
 def bootstrap_interval(deltas: DataFrame, margin: float = 0.01) -> DataFrame:

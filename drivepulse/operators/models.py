@@ -172,13 +172,13 @@ def two_stage(scored: DataFrame, *, probs: str = "probs", specialist: str = "p_d
     )
 
 
-def probe(features: DataFrame, column: str, *, label: str = "cls", fold: str = "fold", held: int = 0, max_iter: int = 100) -> DataFrame:
-    """Macro-F1 of a linear model on one number: a shortcut check."""
+def probe(features: DataFrame, column: str, *, label: str = "cls", fold: str = "fold", held: Sequence[int] = (0,), max_iter: int = 100) -> DataFrame:
+    """Macro-F1 of a linear model on one number: a shortcut check. Each held fold is scored by a model of the others."""
     single = features.withColumn("features", F.array(F.col(column).cast("double")))
-    model = train(single.filter(F.col(fold) != held), label=label, max_iter=max_iter)
-    table = coefficient_table(features.sparkSession, {"probe": model})
-    test = single.filter(F.col(fold) == held).withColumn("slot", F.lit("probe"))
-    scored = linear_probabilities(test, table, slot="slot").select(
+    fitted = {str(k): train(single.filter(F.col(fold) != k), label=label, max_iter=max_iter) for k in held}
+    table = coefficient_table(features.sparkSession, fitted)
+    test = single.filter(F.col(fold).isin(*held)).withColumn("_held", F.col(fold).cast("string"))
+    scored = linear_probabilities(test, table, slot="_held").withColumn("slot", F.lit("probe")).select(
         "slot", decode_label(F.col(label).cast("int")).alias("true_label"),
         decode_label(argmax0(F.col("probs"))).alias("predicted_label"),
     )

@@ -11,7 +11,7 @@ from drivepulse.plans.registry import half_up_sql as r
 from drivepulse.plans.registry import hash_sql, mix_sql, query
 from drivepulse.plans.views import PACK_METRICS, PANEL, PRED, panel, pred, table
 
-REPLICATES = 200
+REPLICATES = ev.REPLICATES
 
 
 def model(spark, sf, name):
@@ -210,7 +210,7 @@ def q_interval(spark, sf):
 
 @query("bootstrap_multinomial")
 def q_multinomial(spark, sf):
-    return ev.bootstrap_interval(ev.bootstrap_multinomial(paired(spark, sf), 20_000), 0.01)
+    return ev.bootstrap_interval(ev.bootstrap_multinomial(paired(spark, sf), REPLICATES), 0.01)
 
 
 @query(
@@ -228,7 +228,7 @@ def q_permutation(spark, sf):
 
 @query("permutation_binomial")
 def q_binomial(spark, sf):
-    return ev.permutation_p(ev.permutation_binomial(paired(spark, sf), 20_000))
+    return ev.permutation_p(ev.permutation_binomial(paired(spark, sf), REPLICATES))
 
 
 @query(

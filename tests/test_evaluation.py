@@ -115,6 +115,36 @@ def test_bootstrap_takes_any_number_of_profiles(spark):
     assert len(deltas) == 40 and np.mean(deltas) == pytest.approx(whole, rel=0.2)
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_profile_forms_take_any_number_of_profiles(spark, monkeypatch, block):
+    """More profiles than a block (and than the former limit, set low here): the distribution of the hand-made draws."""
+    monkeypatch.setattr(ev, "LISTED_PROFILES", 10, raising=False)
+    monkeypatch.setattr(ev, "PROFILE_BLOCK", block, raising=False)
+    rows = [(i, 20 + i % 50, i % 7, i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "session long, n long, n10 long, n01 long")
+    d, n = np.array([a - b for _, _, a, b in rows]), np.array([r[1] for r in rows])
+    rng = np.random.default_rng(5)
+    picks = rng.integers(0, 400, (3000, 400))
+    want = d[picks].sum(1) / n[picks].sum(1)
+    got = {r["replicate"]: r["delta"] for r in ev.bootstrap_multinomial(df, 3000).collect()}
+    assert sorted(got) == list(range(3000))
+    assert np.mean(list(got.values())) == pytest.approx(want.mean(), abs=0.1 * want.std())
+    assert np.std(list(got.values())) == pytest.approx(want.std(), rel=0.08)
+    flipped = {r["replicate"]: r["delta"] for r in ev.permutation_binomial(df, 3000).collect()}
+    assert sorted(flipped) == list(range(-1, 3000))
+    assert flipped.pop(-1) == pytest.approx(d.sum() / n.sum())
+    assert np.std(list(flipped.values())) == pytest.approx(np.sqrt((d * d).sum()) / n.sum(), rel=0.08)
+
+
+def test_registered_sizes_are_the_published_ones(spark):
+    from drivepulse.plans import evaluation_queries, model_queries
+
+    assert evaluation_queries.REPLICATES == 100_000
+    assert model_queries.SWEEP == (1_176, 2_436, 4_956, 9_996) and model_queries.MAX_ITER == 1_000
+    scored = model_queries._split_scored(spark, "/root/testdata/sf0.001", 84, 2)
+    assert scored.count() == scored.select("vec_id").distinct().count() == 500
+
+
 def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "cls int")
     out = {r["cls"]: r["weight"] for r in ev.balanced_weights(df).collect()}
