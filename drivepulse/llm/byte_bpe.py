@@ -160,11 +160,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Token count and digests of the ids and of the bytes decoded from them, one row per document."""
+def digests(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
+    """Token count and digests of the ids and of the bytes decoded from them, one row per document; on request the packed ids too."""
     return encode(docs, path, pattern, decoded=True).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
     )
