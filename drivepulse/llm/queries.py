@@ -6,7 +6,8 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from drivepulse.llm import byte_bpe, chat_format, decontaminate, language_id, ngram_join, secret_scan, suffix_dedup, token_files, top_k, toxicity
+from drivepulse.llm import (
+    byte_bpe, chat_format, decontaminate, language_id, ngram_join, prefix_trie, secret_scan, source_mix, suffix_dedup, token_files, top_k, toxicity, whitening)
 from drivepulse.llm.common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -159,3 +160,47 @@ FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) LEFT JOIN
 @query("op2_ngram_join", OP2)
 def op2(spark, sf):
     return ngram_join.report(table(spark, sf, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark, sf):
+    found = whitening.report(table(spark, sf, "embeddings"))
+    return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query("op12_source_mix")
+def op12(spark, sf):
+    return source_mix.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+# CRC-32 of an id's digits, bit by bit.
+OP13_CRC = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda crc, d:
+  list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(crc, d)), 4294967295), 4294967295)"""
+OP13 = f"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS own
+  FROM t GROUP BY 1),
+h AS (SELECT conv_id, own, {OP13_CRC} % 4 AS h FROM o),
+c AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own, [])[:h.h], h.own[h.h + 1:]) AS turns
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, turns[:d] AS p, CAST(d AS BIGINT) AS depth, d = len(turns) AS ends FROM c, unnest(range(0, len(turns) + 1)) AS u(d)),
+n AS (
+  SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+k AS (SELECT p[:depth - 1] AS p, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE
+    (n_convs - 1) * len(regexp_extract_all(p[depth].text, '[^\x20\x09-\x0D]+')) END AS own_saved FROM n LEFT JOIN k USING (p, depth)),
+s AS (
+  SELECT p[:d] AS p, CAST(d AS BIGINT) AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own_saved) AS saved_tokens
+  FROM v, unnest(range(0, depth + 1)) AS u(d) GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (p, depth) LEFT JOIN n up ON v.depth > 0 AND up.depth = v.depth - 1 AND up.p = v.p[:v.depth - 1]"""
+
+
+@query("op13_prefix_trie", OP13)
+def op13(spark, sf):
+    return prefix_trie.report(table(spark, sf, "conversations"))
