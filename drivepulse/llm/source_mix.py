@@ -38,8 +38,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 TOLERANCE, STEPS = 1e-9, 60
 # Sizes of a source that are rounded one by one.
 FIRST = 1000
-# Fewer than so many sizes are hot; each is cut into so many slices.
-HOT_SIZES = 4096
+# Fewer than so many sizes are hot, and slices of each of them.
+HOT_SIZES, SLICES = 4096, 256
 # Repeats of a row above which they are written by several tasks.
 MANY = 10_000
 EXACT = "decimal(38,9)"
@@ -165,7 +165,7 @@ def mix(docs: DataFrame) -> DataFrame:
     hot = plan.filter(F.col("n") > total / HOT_SIZES).select("source", "size", F.lit(True).alias("hot"))
     order = F.xxhash64("doc_id")
     sliced = rows.join(F.broadcast(hot), ["source", "size"], "left").withColumn(
-        "slice", F.when(F.col("hot"), F.pmod(F.shiftrightunsigned(order, 32), F.lit(HOT_SIZES))).otherwise(0))
+        "slice", F.when(F.col("hot"), F.pmod(F.shiftrightunsigned(order, 32), F.lit(SLICES))).otherwise(0))
     before = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = sliced.groupBy("source", "size", "slice").agg(F.sum("repeats").alias("rows"))
     counts = counts.select("source", "size", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("earlier"))
