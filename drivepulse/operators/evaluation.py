@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
-from drivepulse.functions.scalars import hash_word, with_mix32
 from drivepulse.operators.ranking import exact_quantiles
 
 # Replicates of a published evaluation.
@@ -18,6 +17,11 @@ REPLICATES = 100_000
 # Profiles of a block in the multinomial and binomial forms, and replicates that a task sums at once.
 PROFILE_BLOCK = 4_096
 REPLICATE_STEP = 1_000
+# Profiles that travel to every task (24 bytes each), and words that a step draws (so few that its arrays stay in the cache).
+POOL_PROFILES = 1_000_000
+DRAW_STEP = 1 << 14
+# Places up to which a task keeps a table of them (16 bytes each).
+TABLE_PLACES = 1 << 21
 
 TRUE, PRED = "true_label", "predicted_label"
 
@@ -218,39 +222,110 @@ def session_profiles(counts: DataFrame) -> DataFrame:
     )
 
 
+def _mix32(word: np.ndarray) -> np.ndarray:
+    """The mixing of :func:`drivepulse.functions.scalars.with_mix32` on arrays; products wrap at 32 bits."""
+    for _ in range(2):
+        word = (word >> np.uint32(16) ^ word) * np.uint32(0x45D9F3B)
+    return word >> np.uint32(16) ^ word
+
+
+class _Pool:
+    """Profiles in order of (d, n), each with the span of places of its sessions; small enough for every task."""
+
+    def __init__(self, rows, seed: int):
+        rows = sorted((r["d"], r["n"], r["sessions"]) for r in rows)
+        self.d, self.n, sessions = (np.array(c, "int64") for c in zip(*rows, strict=True))
+        self.upto, self.seed = np.cumsum(sessions), seed
+        self.total, self._tables, self._runs = int(self.upto[-1]), None, None
+
+    def words(self, reps: np.ndarray, low: int, high: int) -> np.ndarray:
+        """A word for every replicate and each number from ``low`` to ``high``."""
+        keys = _mix32(reps.astype("uint32") ^ np.uint32(self.seed & 0xFFFFFFFF))
+        return _mix32(keys[:, None] ^ np.arange(low, high, dtype="uint32")[None, :])
+
+    def drawn(self, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of d and of n over as many draws with replacement as there are sessions."""
+        over, under = np.zeros(len(reps), "int64"), np.zeros(len(reps), "int64")
+        for low in range(0, self.total, DRAW_STEP):
+            words = self.words(reps, low, min(low + DRAW_STEP, self.total)).astype("uint64")
+            places = (words * np.uint64(self.total) >> np.uint64(32)).astype("int64")
+            d, n = self._at(places)
+            over += d.sum(axis=1)
+            under += n.sum(axis=1)
+        return over, under
+
+    def _at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """d and n at places: from tables of all places while these are short, else by search."""
+        if self.total > TABLE_PLACES:
+            met = np.searchsorted(self.upto, places, "right")
+            return self.d[met], self.n[met]
+        if self._tables is None:
+            size = np.diff(self.upto, prepend=0)
+            self._tables = np.repeat(self.d, size), np.repeat(self.n, size)
+        return self._tables[0][places], self._tables[1][places]
+
+    def flipped(self, reps: np.ndarray) -> np.ndarray:
+        """Sum of d with a sign for every session: a session's place is a bit, and counts of bits give the sums of signs."""
+        out = np.zeros(len(reps), "int64")
+        for low in range(0, self.total, 32 * DRAW_STEP):
+            word, mask, d = self._masks(low, min(low + 32 * DRAW_STEP, self.total))
+            bits = self.words(reps, low // 32, low // 32 + int(word[-1]) + 1)[:, word] & mask
+            out += 2 * (np.bitwise_count(bits).astype("int64") @ d) - np.bitwise_count(mask).astype("int64") @ d
+        return out
+
+    def _masks(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of places from ``low`` to ``high`` that lie in one word and one profile: the word, its bits, d."""
+        if self._runs is None or self._runs[0] != (low, high):
+            inside = self.upto[np.searchsorted(self.upto, low, "right") : np.searchsorted(self.upto, high, "left")]
+            first = np.unique(np.concatenate([np.arange(low, high, 32), inside]))
+            last = np.append(first[1:], high)
+            mask = (1 << (last - 1 - (first & ~31) + 1)) - (1 << (first & 31))
+            d = self.d[np.searchsorted(self.upto, first, "right")]
+            self._runs = (low, high), ((first - low) // 32, mask.astype("uint32"), d)
+        return self._runs[1]
+
+
+def _pool(counts: DataFrame, seed: int) -> _Pool | None:
+    """The pool of the sessions; None when there are too many profiles or sessions for a task."""
+    rows = session_profiles(counts).limit(POOL_PROFILES + 1).collect()
+    if len(rows) > POOL_PROFILES or sum(r["sessions"] for r in rows) >= 1 << 31:
+        return None
+    return _Pool(rows, seed)
+
+
+def _replicated(spark: SparkSession, pool: _Pool, first: int, replicates: int, sums, words: int) -> DataFrame:
+    """Rows ``replicate, delta``; a task computes a run of replicates in arrays of ``words``, so no draw is a row and nothing is shuffled."""
+    shared = spark.sparkContext.broadcast(pool)
+    parts = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches):
+        p = shared.value
+        step = max(1, DRAW_STEP // words)
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for start in range(0, len(ids), step):
+                reps = ids[start : start + step]
+                over, under = sums(p, reps)
+                yield pd.DataFrame({"replicate": reps, "delta": over / under})
+
+    return spark.range(first, replicates, 1, parts).mapInPandas(run, "replicate long, delta double")
+
+
 def bootstrap_draws(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Replicate deltas by hashed draws with replacement.
 
     Sessions with equal (d, n) are interchangeable: in order of (d, n) each profile takes a span of
-    places, and a draw is one place. Places are cut into cells about as wide as a profile, so a draw
-    meets the few profiles of its cell by equality, however many profiles there are.
+    places, and a draw is one place, found by binary search in the cumulated profiles. The profiles
+    travel to all tasks while there are at most ``POOL_PROFILES`` of them and fewer than 2^31 sessions;
+    beyond that :func:`bootstrap_multinomial` draws the same distribution from blocks of profiles.
     """
     spark = counts.sparkSession
-    profiles = session_profiles(counts)
-    total, kinds = profiles.agg(F.coalesce(F.sum("sessions"), F.lit(0)), F.count(F.lit(1))).first()
-    if total == 0:
+    if counts.isEmpty():
         return spark.createDataFrame([], "replicate long, delta double")
-    width = max(1, total // kinds)
-    # At most one row per profile: far fewer than sessions.
-    upto = F.sum("sessions").over(Window.orderBy("d", "n"))
-    spans = profiles.select("d", "n", upto.alias("_to"), (upto - F.col("sessions")).alias("_from"))
-    cells = F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_to - 1) div {width}"))
-    spans = spans.withColumn("_cell", F.explode(cells))
-    draws = spark.range(0, total * replicates)
-    # Two mixed words give 63 bits, so the pool may hold far more than 2^32 sessions.
-    low, high = F.col("_low"), F.col("_high")
-    draws = with_mix32(draws, "_low", F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(seed)))
-    draws = with_mix32(
-        draws, "_high", low.bitwiseXOR(F.shiftright("id", 32)).bitwiseXOR(F.lit(0x5BD1E995).cast("long"))
-    )
-    target = (high.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(1 << 32) + low) % F.lit(total)
-    placed = draws.select(F.expr(f"id div {total}").alias("replicate"), target.alias("_t"))
-    placed = placed.withColumn("_cell", F.expr(f"_t div {width}"))
-    # Equal draws of a replicate are counted before they are joined.
-    counted = placed.groupBy("replicate", "_t", "_cell").agg(F.count(F.lit(1)).alias("_times"))
-    met = counted.join(spans, "_cell").filter((F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_to")))
-    return met.groupBy("replicate").agg(
-        (F.sum(F.col("d") * F.col("_times")) / F.sum(F.col("n") * F.col("_times"))).alias("delta"))
+    pool = _pool(counts, seed)
+    if pool is None:
+        return bootstrap_multinomial(counts, replicates, seed)
+    return _replicated(spark, pool, 0, replicates, lambda p, reps: p.drawn(reps), pool.total)
 
 
 def bootstrap_multinomial(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
@@ -264,7 +339,7 @@ def bootstrap_multinomial(counts: DataFrame, replicates: int = REPLICATES, seed:
 
 
 def permutation_binomial(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """Sign-flip deltas with one binomial draw per profile and replicate."""
+    """Sign-flip deltas with one binomial draw per profile and replicate, over blocks of profiles."""
     return _profile_replicates(counts, replicates, seed, "flip")
 
 
@@ -336,22 +411,23 @@ def bootstrap_interval(deltas: DataFrame, margin: float = 0.01) -> DataFrame:
 
 
 def permutation_deltas(counts: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """Sign-flip replicates by hash: every session spreads to its replicates and is summed map-side.
+    """Sign-flip replicates by hash: each session has a bit, and counts of bits give a profile's sum of signs.
 
-    Replicate -1 is the unflipped sum, so the observed value needs no second pass.
+    Replicate -1 is the unflipped sum, so the observed value needs no second pass. Profiles travel to
+    the tasks as in :func:`bootstrap_draws`; beyond its bounds :func:`permutation_binomial` takes over.
     """
     spark = counts.sparkSession
-    # The per-session counts are small but fan out: spread them before they do.
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    flips = counts.repartition(parts, "session").select(
-        hash_word(F.lit(seed), F.col("session")).alias("_w"), (F.col("n10") - F.col("n01")).alias("d"), "n",
-        F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("replicate"),
-    )
-    # One digest per session, one cheap mix per replicate.
-    flips = with_mix32(flips, "_r", F.greatest("replicate", F.lit(0)))
-    flips = with_mix32(flips, "_s", F.col("_w").bitwiseXOR(F.col("_r")))
-    sign = F.when((F.col("replicate") < 0) | (F.col("_s") % 2 == 0), 1).otherwise(-1)
-    return flips.groupBy("replicate").agg((F.sum(F.col("d") * sign) / F.sum("n")).alias("delta"))
+    if counts.isEmpty():
+        return spark.createDataFrame([], "replicate long, delta double")
+    pool = _pool(counts, seed)
+    if pool is None:
+        return permutation_binomial(counts, replicates, seed)
+
+    def sums(p: _Pool, reps: np.ndarray):
+        size = np.diff(p.upto, prepend=0)
+        return np.where(reps < 0, int((size * p.d).sum()), p.flipped(reps)), int((size * p.n).sum())
+
+    return _replicated(spark, pool, -1, replicates, sums, -(-pool.total // 32))
 
 
 def permutation_p(deltas: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from drivepulse.functions.domains import CLASSES, VEHICLES
 from drivepulse.functions.scalars import half_up
 from drivepulse.operators import evaluation as ev
 from drivepulse.plans.registry import half_up_sql as r
-from drivepulse.plans.registry import hash_sql, mix_sql, query
+from drivepulse.plans.registry import mix_sql, query
 from drivepulse.plans.views import PACK_METRICS, PANEL, PRED, panel, pred, table
 
 REPLICATES = ev.REPLICATES
@@ -183,13 +183,22 @@ def q_effect(spark, sf):
     return out.withColumn("delta", half_up(F.col("delta"), 8)).withColumn("mcnemar", half_up(F.col("mcnemar"), 6))
 
 
-DRAWS = PAIRED + f""",
-ordered AS (SELECT n10 - n01 AS d, n, row_number() OVER (ORDER BY n10 - n01, n) - 1 AS place, count(*) OVER () AS total FROM sess),
-ids AS (SELECT i, total, {mix_sql('xor(i & 4294967295, 42)')} AS low
-  FROM (SELECT unnest(range((SELECT count(*) FROM sess) * {REPLICATES})) AS i), (SELECT count(*) AS total FROM sess)),
-words AS (SELECT i, total, low, {mix_sql('xor(xor(low, i >> 32), 1540483477)')} AS high FROM ids),
-draws AS (SELECT i // total AS replicate, ((high & 2147483647) * 4294967296 + low) % total AS t FROM words),
+REPS = f"""
+reps AS MATERIALIZED (SELECT range AS replicate, {mix_sql('xor(range, 42)')} AS r FROM range({REPLICATES}))"""
+DRAWS = PAIRED + "," + REPS + f""",
+ordered AS MATERIALIZED (SELECT n10 - n01 AS d, n, row_number() OVER (ORDER BY n10 - n01, n) - 1 AS place, count(*) OVER () AS total FROM sess),
+draws AS (SELECT replicate, ({mix_sql('xor(r, place)')} * total) >> 32 AS t FROM reps, ordered),
 deltas AS (SELECT replicate, sum(d) / sum(n) AS delta FROM draws JOIN ordered ON t = place GROUP BY 1)"""
+# A session's place is a bit of a word; a profile's bits of a word are a mask.
+FLIPS = PAIRED + "," + REPS + f""",
+spans AS (SELECT d, upto - c AS low, upto AS high FROM (
+  SELECT d, c, CAST(sum(c) OVER (ORDER BY d, n) AS BIGINT) AS upto FROM (SELECT n10 - n01 AS d, n, count(*) AS c FROM sess GROUP BY 1, 2))),
+masks AS MATERIALIZED (
+  SELECT d, w, (CAST(1 AS BIGINT) << least(32, high - 32 * w)) - (CAST(1 AS BIGINT) << greatest(0, low - 32 * w)) AS mask
+  FROM (SELECT d, low, high, unnest(range(low // 32, (high - 1) // 32 + 1)) AS w FROM spans)),
+deltas AS (
+  SELECT replicate, sum(d * (2 * bit_count({mix_sql('xor(r, w)')} & mask) - bit_count(mask))) / (SELECT sum(n) FROM sess) AS delta
+  FROM reps, masks GROUP BY 1)"""
 
 
 @query("bootstrap_deltas", "WITH " + DRAWS + f" SELECT replicate, {r('delta', 8)} AS delta FROM deltas")
@@ -213,14 +222,11 @@ def q_multinomial(spark, sf):
     return ev.bootstrap_interval(ev.bootstrap_multinomial(paired(spark, sf), REPLICATES), 0.01)
 
 
-@query(
-    "permutation_test",
-    "WITH " + PAIRED + f""",
-flips AS (SELECT {hash_sql('42', 'session')} AS w, n10 - n01 AS d, n, unnest(range({REPLICATES})) AS replicate FROM sess),
-deltas AS (SELECT replicate, sum(d * (CASE WHEN {mix_sql('xor(w, ' + mix_sql('replicate') + ')')} % 2 = 0 THEN 1 ELSE -1 END)) / sum(n) AS delta FROM flips GROUP BY 1),
-o AS (SELECT sum(n10 - n01) / sum(n) AS observed FROM sess)
-SELECT {r('max(observed)', 8)} AS observed, {r('avg(CAST(abs(delta) >= abs(observed) - 1e-12 AS DOUBLE))', 6)} AS p_value FROM deltas, o""",
-)
+PERMUTED = "WITH " + FLIPS + f""", o AS (SELECT sum(n10 - n01) / sum(n) AS observed FROM sess)
+SELECT {r('max(observed)', 8)} AS observed, {r('avg(CAST(abs(delta) >= abs(observed) - 1e-12 AS DOUBLE))', 6)} AS p_value FROM deltas, o"""
+
+
+@query("permutation_test", PERMUTED)
 def q_permutation(spark, sf):
     out = ev.permutation_p(ev.permutation_deltas(paired(spark, sf), REPLICATES))
     return out.select(half_up(F.col("observed"), 8).alias("observed"), half_up(F.col("p_value"), 6).alias("p_value"))

@@ -87,23 +87,40 @@ def test_permutation_forms_agree(sessions):
     assert a["p_value"] == pytest.approx(b["p_value"], abs=0.04)
 
 
-def test_bootstrap_draws_brute_force(spark):
+def test_bootstrap_draws_brute_force(spark, monkeypatch):
     def mix(x):
         for _ in range(2):
             x = ((x >> 16 ^ x) * 0x45D9F3B) & 0xFFFFFFFF
         return x >> 16 ^ x
 
-    def word(i):
-        low = mix(i & 0xFFFFFFFF ^ 7)
-        return ((mix(low ^ i >> 32 ^ 0x5BD1E995) & 0x7FFFFFFF) << 32) + low
-
-    rows = [(0, 2, 1, 0), (1, 3, 0, 2), (2, 1, 0, 0), (3, 2, 2, 0)]
+    rows = [(0, 2, 1, 0), (1, 3, 0, 2), (2, 1, 0, 0), (3, 2, 2, 0)] + [(i, 2, i % 3, 0) for i in range(4, 90)]
     df = spark.createDataFrame(rows, "session long, n long, n10 long, n01 long")
-    got = {r["replicate"]: r["delta"] for r in ev.bootstrap_draws(df, 20, 7).collect()}
     pool = sorted((a - b, n) for _, n, a, b in rows)
-    for rep in range(20):
-        picks = [pool[word(rep * 4 + i) % 4] for i in range(4)]
-        assert got[rep] == pytest.approx(sum(d for d, _ in picks) / sum(n for _, n in picks))
+    total = len(pool)
+
+    def words(rep, count):
+        return [mix(mix(rep ^ 7) ^ i) for i in range(count)]
+
+    for tables, step in ((1 << 21, 1 << 14), (0, 1 << 14), (0, 2)):
+        monkeypatch.setattr(ev, "TABLE_PLACES", tables)
+        monkeypatch.setattr(ev, "DRAW_STEP", step)
+        got = {r["replicate"]: r["delta"] for r in ev.bootstrap_draws(df, 20, 7).collect()}
+        flipped = {r["replicate"]: r["delta"] for r in ev.permutation_deltas(df, 20, 7).collect()}
+        size = sum(n for _, n in pool)
+        assert flipped.pop(-1) == pytest.approx(sum(d for d, _ in pool) / size) and len(got) == len(flipped) == 20
+        for rep in range(20):
+            picks = [pool[w * total >> 32] for w in words(rep, total)]
+            assert got[rep] == pytest.approx(sum(d for d, _ in picks) / sum(n for _, n in picks))
+            bits = words(rep, -(-total // 32))
+            assert flipped[rep] == pytest.approx(sum(d * (1 if bits[i // 32] >> (i % 32) & 1 else -1) for i, (d, _) in enumerate(pool)) / size)
+
+
+def test_pools_too_large_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(ev, "POOL_PROFILES", 5)
+    rows = [(i, 10 + i, i % 7, i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "session long, n long, n10 long, n01 long")
+    assert ev.bootstrap_draws(df, 30, 3).count() == 30 and ev.permutation_deltas(df, 30, 3).count() == 31
+    assert ev.bootstrap_draws(df.limit(0), 30).collect() == ev.permutation_deltas(df.limit(0), 30).collect() == []
 
 
 def test_bootstrap_takes_any_number_of_profiles(spark):
