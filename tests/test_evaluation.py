@@ -158,8 +158,8 @@ def test_registered_sizes_are_the_published_ones(spark):
 
     assert evaluation_queries.REPLICATES == 100_000
     assert model_queries.SWEEP == (1_176, 2_436, 4_956, 9_996) and model_queries.MAX_ITER == 1_000
-    scored = model_queries._split_scored(spark, "/root/testdata/sf0.001", 84, 2)
-    assert scored.count() == scored.select("vec_id").distinct().count() == 500
+    scored = model_queries._split_scored(spark, "/root/testdata/sf0.001", (84,), 2)
+    assert scored.count() == scored.select("key").distinct().count() == 500
 
 
 def test_balanced_weights(spark):
