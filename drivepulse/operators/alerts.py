@@ -52,6 +52,12 @@ def response_alerts(responses: DataFrame) -> DataFrame:
     )
 
 
+def pack_alerts(packs: DataFrame) -> DataFrame:
+    """The battery alerts alone, of responses without a motor."""
+    quiet = packs.withColumns({"fault_type": F.lit("NORMAL"), "motor_score": F.lit(0.0), "motor_status": F.lit("normal")})
+    return response_alerts(quiet)
+
+
 def live_alerts(responses: DataFrame, *, manual: bool = False) -> DataFrame:
     """Client-side alerts: a live feed reacts to warnings, a manual fetch to any deviation."""
     motor, pack = F.col("motor_status"), F.col("battery_status")

@@ -25,6 +25,13 @@ CAUTION_MIN_VOLTS, CAUTION_SPREAD = 3.7, 0.02
 SOH_SPREAD_LIMIT, SOH_FULL_VOLTS, SOH_VOLTS_RANGE = 0.10, 4.2, 1.2
 SOH_WEIGHTS = (15.0, 15.0, 10.0)
 CLASS_PENALTY = {"NORMAL": 0.0, "CAUTION": 0.5, "DEFECT": 1.0}
+# Ranges of the shares that stand in where no classifier answered; their middles are used.
+STATUS_SHARES = {
+    "NORMAL": {"normal": (0.80, 0.98), "caution": (0.01, 0.15), "defect": (0.00, 0.05)},
+    "CAUTION": {"normal": (0.05, 0.25), "caution": (0.50, 0.75), "defect": (0.05, 0.30)},
+    "DEFECT": {"normal": (0.00, 0.08), "caution": (0.05, 0.20), "defect": (0.72, 0.95)},
+}
+NO_FAULT_SHARE, OTHER_FAULT_SHARE = (0.01, 0.05), (0.01, 0.10)
 
 
 def network_input(matrix: Column, steps: int = PACK_STEPS, cells: int = PACK_CELLS) -> Column:
@@ -191,6 +198,43 @@ def cell_grid(packs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _shares(values: dict[str, float]) -> Column:
+    """A map of shares that add up to one, rounded to four digits."""
+    total = sum(values.values())
+    return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, round(v / total, 4))])
+
+
+def stand_in_probabilities(classification: Column) -> Column:
+    """Status shares of a class where no classifier answered; unknown classes count as normal."""
+    middles = {c: {k: (low + high) / 2 for k, (low, high) in ranges.items()} for c, ranges in STATUS_SHARES.items()}
+    out = _shares(middles["NORMAL"])
+    for c in ("CAUTION", "DEFECT"):
+        out = F.when(F.upper(classification) == c, _shares(middles[c])).otherwise(out)
+    return out
+
+
+def stand_in_fault_probabilities(pack_type: Column, classification: Column) -> Column:
+    """Fault shares of a pack where no classifier answered: the fault that the pack's type implies leads."""
+    none, other = (sum(r) / 2 for r in (NO_FAULT_SHARE, OTHER_FAULT_SHARE))
+    voltage, deviation = (
+        {"none": none, "cell_voltage": v, "cell_deviation": d} for v, d in ((1 - none - other, other), (other, 1 - none - other)))
+    return F.when(classification == "NORMAL", _shares({"none": 1.0, "cell_voltage": 0.0, "cell_deviation": 0.0})).when(
+        pack_type.startswith("Dev"), _shares(deviation)).otherwise(_shares(voltage))
+
+
+def response_columns(packs: DataFrame, *, classification: Column, pack_type: Column, temperature: Column | None = None) -> DataFrame:
+    """Everything that a battery response shows, from ``m``: metrics, faults, proxy of health, status and shares."""
+    measured = pack_metrics(with_moments(packs), temperature=temperature).withColumn("classification", F.upper(classification))
+    cls = F.col("classification")
+    found = locate_faults(measured, classification=cls, pack_type=pack_type)
+    return found.withColumns({
+        "soh_proxy": soh_proxy(F.col("voltage_deviation"), F.col("min_cell_voltage"), cls),
+        "battery_status": status_of_class(cls),
+        "probabilities": stand_in_probabilities(cls),
+        "fault_probabilities": stand_in_fault_probabilities(pack_type, cls),
+    })
+
+
 def metric_alarms(deviation: Column, temperature: Column) -> tuple[Column, Column]:
     return deviation > 0.01, F.coalesce(temperature > 50.0, F.lit(False))
 

@@ -145,33 +145,48 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.groupBy(*keys).agg(oldest).select(*keys, "_row.*")
 
 
+def battery_part(fault: str = "pack_fault") -> Column:
+    """The battery half of a response from the columns of ``battery.response_columns``."""
+    return F.struct(
+        F.col("soh_proxy"),
+        F.col("battery_status").alias("status"),
+        F.col("classification"),
+        F.col("probabilities"),
+        F.col(fault).alias("fault_type"),
+        F.col("fault_probabilities"),
+        F.col("faulty_cells").alias("faulty_cell_indices"),
+        F.col("cell_scores"),
+        F.struct("min_cell_voltage", "voltage_deviation", "temperature", "cell_count", "cell_mean_voltages").alias(
+            "metrics"
+        ),
+    )
+
+
 def assemble_response(pairs: DataFrame) -> DataFrame:
-    """Nested response rows from flat motor and battery columns of one vehicle."""
+    """Nested response rows from flat motor and battery columns of one vehicle.
+
+    ``sensor_scores`` holds a score per channel; the localisation, with the class probabilities behind
+    it, is null where the head drew no box.
+    """
     has_box = F.coalesce(F.col("has_bbox"), F.lit(False))
     localisation = F.when(
-        has_box, F.struct(F.col("bbox"), F.col("fault_type").alias("predicted_class"), has_box.alias("has_bbox"))
+        has_box,
+        F.struct(
+            F.col("bbox"), F.col("fault_type").alias("predicted_class"), F.col("motor_probabilities").alias("probabilities"),
+            has_box.alias("has_bbox"), F.lit(True).alias("model_available"),
+        ),
     )
     motor = F.struct(
         F.col("motor_score").alias("anomaly_score"),
         F.lit(MOTOR_THRESHOLD).alias("threshold"),
         motor_status(F.col("motor_score")).alias("status"),
         F.col("fault_type"),
+        F.col("sensor_scores"),
         F.col("spectrogram_url"),
         localisation.alias("localization"),
     )
-    battery = F.struct(
-        F.col("soh_proxy"),
-        F.col("battery_status").alias("status"),
-        F.col("classification"),
-        F.col("pack_fault").alias("fault_type"),
-        F.col("faulty_cells").alias("faulty_cell_indices"),
-        F.col("cell_scores"),
-        F.struct("min_cell_voltage", "voltage_deviation", "temperature", "cell_count", "cell_mean_voltages").alias(
-            "metrics"
-        ),
-    )
     return pairs.select(
-        F.col("ts").alias("timestamp"), "vehicle_id", "car_model", motor.alias("motor"), battery.alias("battery")
+        F.col("ts").alias("timestamp"), "vehicle_id", "car_model", motor.alias("motor"), battery_part().alias("battery")
     )
 
 

@@ -523,16 +523,23 @@ def q_channels(spark, sf):
     return health.channel_scores(p.select("session", "sensor", score.alias("score")), keys=["session"])
 
 
+# Channels of a motor response and their shares of its score in this view.
+CHANNEL_SHARES = {"current_u": 1.0, "vib_motor": 0.5, "vib_tm": 0.25}
+
+
 @query(
     "latest_response",
-    "WITH " + RESP + """,
+    "WITH " + RESP + f""",
 motor AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, response_id DESC) AS rn FROM response),
 fleet AS (SELECT max(user_id) + 1 AS vehicles FROM events),
-bat AS (SELECT 'V' || lpad(CAST(vec_id % vehicles AS VARCHAR), 6, '0') AS vehicle_id, vec_id, min_cell_voltage, voltage_deviation, soh_proxy, classification,
+bat AS (SELECT 'V' || lpad(CAST(vec_id % vehicles AS VARCHAR), 6, '0') AS vehicle_id, vec_id, min_cell_voltage, voltage_deviation, soh_proxy, classification, pack_type,
         row_number() OVER (PARTITION BY vec_id % vehicles ORDER BY vec_id DESC) AS rn FROM soh, fleet)
 SELECT m.vehicle_id, m.car_model, m.response_id, m.motor_score AS motor_score, 10e0 AS threshold, m.motor_status, m.fault_type AS motor_fault, b.soh_proxy AS soh_proxy,
   b.classification AS classification, b.min_cell_voltage AS min_cell_voltage, CAST(NULL AS DOUBLE) AS temperature, f.n_faulty AS n_faulty,
-  m.fault_type <> 'NORMAL' AS localised
+  m.fault_type <> 'NORMAL' AS localised, {r('m.motor_score * 0.25e0', 1)} AS vib_tm,
+  CASE WHEN m.fault_type <> 'NORMAL' THEN {r('1e0 - m.motor_score / 100e0', 4)} END AS p_motor_normal,
+  CASE b.classification WHEN 'NORMAL' THEN 0.0251e0 WHEN 'CAUTION' THEN 0.1842e0 WHEN 'DEFECT' THEN 0.835e0 END AS p_defect,
+  CASE WHEN b.classification = 'NORMAL' THEN 0e0 WHEN b.pack_type LIKE 'Dev%' THEN 0.915e0 WHEN b.pack_type IS NOT NULL THEN 0.055e0 END AS p_cell_deviation
 FROM motor m LEFT JOIN (SELECT * FROM bat WHERE rn = 1) b USING (vehicle_id) LEFT JOIN faults f ON f.vec_id = b.vec_id WHERE m.rn = 1""",
 )
 def q_latest_response(spark, sf):
@@ -542,14 +549,19 @@ def q_latest_response(spark, sf):
         ["vehicle_id"], ["ts", "response_id"],
     )
     box = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: i / 10.0)
-    motor = motor.withColumn("bbox", box).withColumn("has_bbox", F.col("fault_type") != "NORMAL").withColumn(
-        "spectrogram_url", F.lit(None).cast("string")
-    )
+    # The head's probabilities follow the score here; each channel's score is a share of it.
+    p = F.col("motor_score") / 100.0
+    motor = motor.withColumns({
+        "bbox": box, "has_bbox": F.col("fault_type") != "NORMAL", "spectrogram_url": F.lit(None).cast("string"),
+        "motor_probabilities": F.create_map(F.lit("NORMAL"), half_up(1.0 - p, 4), F.lit("FAULT"), half_up(p, 4)),
+        "sensor_scores": F.struct(*[half_up(F.col("motor_score") * w, 1).alias(n) for n, w in CHANNEL_SHARES.items()])})
     vehicles = table(spark, sf, "events").agg(F.max("user_id") + 1).scalar()
     bat = located(spark, sf).select(
         F.concat(F.lit("V"), F.lpad((F.col("vec_id") % vehicles).cast("string"), 6, "0")).alias("vehicle_id"), "vec_id",
         "soh_proxy", "classification", F.col("fault_type").alias("pack_fault"), "faulty_cells", "cell_scores",
         "min_cell_voltage", "voltage_deviation", "temperature", "cell_count", "cell_mean_voltages",
+        battery.stand_in_probabilities(F.col("classification")).alias("probabilities"),
+        battery.stand_in_fault_probabilities(F.col("pack_type"), F.col("classification")).alias("fault_probabilities"),
     ).withColumn("battery_status", battery.status_of_class(F.col("classification")))
     bat = health.latest(bat, ["vehicle_id"], ["vec_id"])
     nested = health.assemble_response(motor.join(bat, "vehicle_id", "left").withColumn("ts", F.struct("ts", "response_id")))
@@ -562,6 +574,10 @@ def q_latest_response(spark, sf):
         F.col("battery.metrics.temperature").alias("temperature"),
         F.size("battery.faulty_cell_indices").alias("n_faulty"),
         F.col("motor.localization").isNotNull().alias("localised"),
+        F.col("motor.sensor_scores.vib_tm").alias("vib_tm"),
+        F.col("motor.localization.probabilities")["NORMAL"].alias("p_motor_normal"),
+        F.col("battery.probabilities")["defect"].alias("p_defect"),
+        F.col("battery.fault_probabilities")["cell_deviation"].alias("p_cell_deviation"),
     )
 
 

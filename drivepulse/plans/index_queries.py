@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from drivepulse.functions.domains import CLASSES, SENSORS
+from drivepulse.functions.domains import CLASSES, META_COLUMNS, SENSORS
 from drivepulse.functions.matrices import reshape, spread
 from drivepulse.functions.scalars import half_up
 from drivepulse.operators import shaping
@@ -12,6 +12,7 @@ from drivepulse.plans.registry import half_up_sql as r
 from drivepulse.plans.registry import query
 from drivepulse.plans.views import PANEL, PATHS, SIG, panel, paths, sig, table
 from drivepulse.sources import paths as ix
+from drivepulse.session import shared_dir
 from drivepulse.sources import signals as sg
 
 
@@ -286,3 +287,26 @@ SELECT session, count(DISTINCT sensor) AS n_sensors, min(length) AS min_len, max
 def q_complete(spark, sf):
     s = panel(spark, sf).select("session", "sensor", F.when(F.col("vec_id") % 11 == 0, 30).otherwise(32).alias("length"))
     return shaping.session_completeness(s, session=["session"])
+
+
+@query(
+    "signal_csv_scan",
+    """SELECT CAST(user_id AS VARCHAR) AS group_key, count(*) AS n_rows, count(CASE WHEN event_id % 20 <> 0 THEN 1 END) AS n_values,
+  CAST(sum(event_id) AS BIGINT) AS place_sum FROM events WHERE user_id % 10 <> 7 GROUP BY 1""",
+)
+def q_csv_scan(spark, sf):
+    """Recordings written as CSV with two orders of columns and, for some, without a metadata column; the latter are refused."""
+    text = {c: F.lit("x") for c in META_COLUMNS} | {"group_key": F.col("user_id").cast("string"), "sensor": F.col("event_type")}
+    values = {"time_idx": F.col("event_id"), "peak_freq_bin": F.lit(1), "band_start": F.lit(0), "band_end": F.lit(2),
+              "rms": F.when(F.col("event_id") % 20 != 0, F.col("value")).otherwise(F.lit("NaN").cast("double"))}
+    names = [*META_COLUMNS, *values]
+    rows = table(spark, sf, "events").select("user_id", *[e.alias(c) for c, e in (text | values).items()])
+    root = shared_dir(spark, "recordings")
+    parts = {
+        "plain": (rows.filter("user_id % 2 = 0 AND user_id % 10 <> 7"), names), "turned": (rows.filter("user_id % 2 = 1 AND user_id % 10 <> 7"), names[::-1]),
+        "lacking": (rows.filter("user_id % 10 = 7"), [n for n in names if n != "zsplit"])}
+    for folder, (part, columns) in parts.items():
+        part.select(*columns).write.option("header", True).csv(f"{root}/{folder}")
+    found = sg.scan_signals(spark, [f"{root}/{folder}" for folder in parts], skip_unreadable=True)
+    return found.groupBy("group_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("rms").alias("n_values"), F.sum("time_idx").alias("place_sum"))

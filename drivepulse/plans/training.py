@@ -20,48 +20,101 @@ def build_index(spark: SparkSession, root: str, out: str | None = None) -> DataF
     return index if out is None else sinks.write_index(index, out)
 
 
-def load_chunks(
-    index: DataFrame, groups: DataFrame | None = None, *, chunk_size: int = CHUNK_ROWS, value: str = "rms"
-) -> DataFrame:
-    """Repaired chunks of the indexed recordings, optionally of some (sensor, group_key) only.
+# Buckets of recordings that an ingested sensor is cut into.
+BUCKETS = 64
+TABLE_COLUMNS = ("path", "time_idx", "group_key", "vehicle", "fault_class", "peak_freq_bin", "band_start", "band_end", "rms", "sensor", "bucket")
 
-    Recordings whose length is no multiple of the chunk size are left out, and so
-    are files that cannot be read.
-    """
-    chosen = index if groups is None else index.join(groups, ["sensor", "group_key"], "left_semi")
-    bounds = chosen.select(F.min("csv_path"), F.max("csv_path")).first()
-    if bounds[0] is None:
+
+def _bucket(group: str = "group_key"):
+    return F.pmod(F.xxhash64(group), F.lit(BUCKETS)).cast("int")
+
+
+def _known(index: DataFrame) -> DataFrame:
+    return index.select(paths.plain_path(F.col("csv_path")).alias("path"), "csv_path", "group_key", "sensor", "vehicle", "fault_class")
+
+
+def _scan(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the indexed files, no others, with what the index says of them, and the refused files."""
+    files = [r["path"] for r in _known(index).select("path").collect()]  # one row per file, as in a listing
+    if not files:
         raise ValueError("no recordings match the groups")
+    rows, rejects = signals.scan_with_rejects(index.sparkSession, files)
+    samples = rows.select("path", "time_idx", *signals.SIGNAL_COLUMNS)
+    return samples.join(_known(index).drop("csv_path"), "path"), rejects
+
+
+def ingest(index: DataFrame, out: str) -> DataFrame:
+    """Samples of all indexed recordings as Parquet by (sensor, bucket of recordings), ordered inside; returns the table.
+
+    Refused files go to ``{out}_rejects``. Later reads of some recordings open their buckets only, and
+    row groups of other recordings are left out by their statistics.
+    """
     spark = index.sparkSession
-    known = chosen.select(
-        paths.plain_path(F.col("csv_path")).alias("path"), "csv_path", "group_key", "sensor", "vehicle", "fault_class"
-    )
-    # One route for any number of files: the folder above them is read, and only indexed files go on.
-    rows = signals.scan_signals(spark, _common_folder(*bounds), skip_unreadable=True)
-    rows = rows.join(known.select("path"), "path", "left_semi")
+    rows, rejects = _scan(index)
+    piece = F.expr("time_idx div 1000000")  # a very long recording is several tasks
+    keyed = rows.withColumn("bucket", _bucket()).select(*TABLE_COLUMNS)
+    keyed.repartition("sensor", "bucket", "group_key", piece).sortWithinPartitions("group_key", "path", "time_idx").write.mode(
+        "overwrite").partitionBy("sensor", "bucket").parquet(f"{out.rstrip('/')}")
+    rejects.write.mode("overwrite").parquet(f"{out.rstrip('/')}_rejects")
+    return spark.read.parquet(out)
+
+
+def pruned(table: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of some (sensor, group_key) of an ingested table; partitions of others are not opened.
+
+    The partitions are named in the plan: at most sensors times ``BUCKETS`` pairs come to the driver.
+    """
+    named = groups.select("sensor", "group_key").distinct().withColumn("bucket", _bucket())
+    buckets: dict[str, list[int]] = {}
+    for r in named.select("sensor", "bucket").distinct().collect():
+        buckets.setdefault(r["sensor"], []).append(r["bucket"])
+    wanted = F.lit(False)
+    for sensor, numbers in sorted(buckets.items()):
+        wanted = wanted | ((F.col("sensor") == sensor) & F.col("bucket").isin(sorted(numbers)))
+    return table.filter(wanted).join(named, ["sensor", "bucket", "group_key"], "left_semi")
+
+
+def chunks_of(rows: DataFrame, *, chunk_size: int = CHUNK_ROWS, value: str = "rms") -> DataFrame:
+    """Repaired chunks of sample rows; recordings whose length is no multiple of the chunk size are left out."""
     placed = shaping.chunk_rows(rows.select("path", "time_idx", value), recording=["path"], chunk_size=chunk_size)
     clean = shaping.repair_gaps(placed, value, chunk=["path", "chunk_id"])
     chunks = shaping.assemble_chunks(clean, chunk=["path", "chunk_id"])
+    known = rows.groupBy("path").agg(*[F.first(c).alias(c) for c in ("group_key", "sensor", "vehicle", "fault_class")])
     return chunks.join(known, "path").select(
-        "group_key", "sensor", "vehicle", "fault_class", encode_label(F.col("fault_class")).alias("cls"), "csv_path",
-        "chunk_id", "x",
-    )
+        "group_key", "sensor", "vehicle", "fault_class", encode_label(F.col("fault_class")).alias("cls"), F.col("path").alias("csv_path"),
+        "chunk_id", "x")
 
 
-def _common_folder(low: str, high: str) -> str:
-    """Deepest folder above the first and the last path, hence above all of them."""
-    shared = []
-    for a, b in zip(low.split("/")[:-1], high.split("/")[:-1]):
-        if a != b:
-            break
-        shared.append(a)
-    return "/".join(shared)
+def skipped_files(rows: DataFrame, rejects: DataFrame, *, chunk_size: int = CHUNK_ROWS) -> DataFrame:
+    """Rows ``path, reason`` of every file that gives no chunks: refused ones and those of a wrong length."""
+    odd = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") % chunk_size != 0))
+    return rejects.unionByName(odd.select("path", F.format_string(f"%d rows are no multiple of {chunk_size}", "n").alias("reason")))
+
+
+def load_chunks(
+    index: DataFrame, groups: DataFrame | None = None, *, chunk_size: int = CHUNK_ROWS, value: str = "rms"
+) -> DataFrame:
+    """Repaired chunks of the indexed recordings, optionally of some (sensor, group_key) only.
+
+    Only these files are opened. For repeated loads :func:`ingest` once and read :func:`pruned` rows.
+    """
+    return load_with_skipped(index, groups, chunk_size=chunk_size, value=value)[0]
+
+
+def load_with_skipped(
+    index: DataFrame, groups: DataFrame | None = None, *, chunk_size: int = CHUNK_ROWS, value: str = "rms"
+) -> tuple[DataFrame, DataFrame]:
+    """The chunks of :func:`load_chunks` and ``path, reason`` of every file that gave none."""
+    rows, rejects = _scan(index if groups is None else index.join(groups, ["sensor", "group_key"], "left_semi"))
+    return chunks_of(rows, chunk_size=chunk_size, value=value), skipped_files(rows, rejects, chunk_size=chunk_size)
 
 
 def export_validation_chunks(index: DataFrame, split: DataFrame, out: str, *, chunk_size: int = CHUNK_ROWS) -> DataFrame:
-    """Chunk table of the validation groups, partitioned by sensor and ordered by group."""
+    """Chunk table of the validation groups, partitioned by sensor and ordered by group; files that gave no chunks go to ``{out}_skipped``."""
     held = split.filter(F.col("side") == "val").select("sensor", "group_key")
-    sinks.write_chunks(load_chunks(index, held, chunk_size=chunk_size), out)
+    chunks, skipped = load_with_skipped(index, held, chunk_size=chunk_size)
+    sinks.write_chunks(chunks, out)
+    skipped.write.mode("overwrite").json(f"{out.rstrip('/')}_skipped")
     return index.sparkSession.read.parquet(out)
 
 

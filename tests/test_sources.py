@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import struct
 import zlib
 
@@ -249,3 +250,67 @@ def test_sweep_report_of_the_pilot_profile(spark, tmp_path):
     assert sum(r["TOTAL"] for r in pivot.collect()) == 226 and pivot.count() == 9
     sinks.write_report(df, str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 82
+
+
+def test_columns_are_found_by_name_and_refused_files_are_listed(spark, tmp_path):
+    root = str(tmp_path / "t")
+    plain = write_csv(root, "KONA", "DEMAG", "Vib_TM", 1, 20)
+    turned = write_csv(root, "KONA", "DEMAG", "Vib_TM", 2, 20)
+    lines = [line.split(",") for line in open(turned).read().splitlines()]
+    open(turned, "w").write("\n".join(",".join(reversed(cells)) for cells in lines) + "\n")
+    cut = write_csv(root, "KONA", "DEMAG", "Vib_TM", 3, 20)
+    text = open(cut).read()
+    open(cut, "w").write(text[: text.rstrip().rindex(",")])  # the last row lost its last field
+    lacking = write_csv(root, "KONA", "DEMAG", "Vib_TM", 4, 20, drop=("zsplit",))
+    unordered = write_csv(root, "KONA", "DEMAG", "Vib_TM", 5, 20, drop=("time_idx",))
+    fewer = write_csv(root, "KONA", "DEMAG", "Vib_TM", 6, 20, drop=("band_start",))
+    empty, notes = (os.path.join(os.path.dirname(plain), n) for n in ("empty.csv", "a[b]{c} d.csv"))
+    open(empty, "w").close()
+    open(notes, "w").write("no header\n")
+    odd = os.path.join(os.path.dirname(plain), "x[b]{c} d.csv")
+    open(odd, "w").write(open(plain).read())
+    rows, rejects = signals.scan_with_rejects(spark, root)
+    got = {}
+    for r in rows.orderBy("path", "time_idx").collect():
+        got.setdefault(r["path"], []).append((r["time_idx"], r["peak_freq_bin"], r["rms"], r["fault_class"], r["band_start"]))
+    assert set(got) == {plain, turned, fewer, odd} and got[plain] == got[turned] == got[odd] and len(got[plain]) == 20
+    assert got[fewer] == [(*row[:4], None) for row in got[plain]]
+    reasons = {r["path"]: r["reason"] for r in rejects.collect()}
+    assert set(reasons) == {cut, lacking, unordered, notes}
+    assert reasons[cut] == "malformed rows: 1" and "zsplit" in reasons[lacking] and reasons[notes] == reasons[unordered] == signals.NO_HEADER
+    with pytest.raises(ValueError, match="malformed rows"):
+        signals.scan_signals(spark, root)
+    assert signals.scan_signals(spark, root, skip_unreadable=True).count() == 80
+    only = signals.scan_with_rejects(spark, [empty])
+    assert only[0].count() == 0 and only[0].columns == rows.columns and only[1].first()["reason"] == signals.EMPTY
+
+
+def test_ingested_table_opens_only_the_buckets_of_the_groups(spark, tmp_path):
+    from drivepulse.plans import training
+
+    root = str(tmp_path / "tree")
+    for rec in range(6):
+        for sensor in ("Vib_TM", "Current_U"):
+            write_csv(root, "KONA", "ECC20", sensor, rec, 40 if rec else 30)
+    index = training.build_index(spark, root)
+    table = training.ingest(index, str(tmp_path / "table"))
+    assert table.count() == 2 * (5 * 40 + 30) and spark.read.schema("path string").parquet(str(tmp_path / "table_rejects")).count() == 0
+    some = index.filter("sensor = 'Vib_TM' and group_key like '%zsplit002'").select("sensor", "group_key")
+    rows = training.pruned(table, some)
+    assert rows.count() == 40
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*sensor#\d+ = Vib_TM", plan)
+    # A file of another partition may be gone: it is not opened.
+    others = {f for f in table.inputFiles() if "sensor=Current_U" in f}
+    for f in others:
+        open(f.replace("file://", ""), "w").write("broken")
+    assert training.pruned(spark.read.schema(table.schema).parquet(str(tmp_path / "table")), some).count() == 40
+    want = {r["group_key"]: r["x"] for r in training.load_chunks(index, some, chunk_size=20).collect()}
+    got = {r["group_key"]: r["x"] for r in training.chunks_of(rows, chunk_size=20).collect()}
+    assert got.keys() == want.keys() and len(got) == 1
+    # Only this recording's file is read, and what gives no chunks is listed.
+    os.chmod(index.filter("sensor = 'Current_U'").first()["csv_path"].replace("file:", ""), 0)
+    chunks, skipped = training.load_with_skipped(index, index.filter("sensor = 'Vib_TM'").select("sensor", "group_key").distinct(), chunk_size=20)
+    assert chunks.count() == 10
+    found = skipped.collect()
+    assert len(found) == 1 and "zsplit000" in found[0]["path"] and found[0]["reason"] == "30 rows are no multiple of 20"
