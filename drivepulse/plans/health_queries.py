@@ -206,7 +206,10 @@ def q_labels(spark, sf):
 
 def probabilities(spark, sf):
     """Class probabilities per panel row from its first five samples."""
-    p = panel(spark, sf)
+    return with_probabilities(panel(spark, sf))
+
+
+def with_probabilities(p):
     return p.withColumn("probs", softmax(F.transform(F.slice("x", 1, 5), lambda v: v * 8.0)))
 
 
@@ -284,14 +287,14 @@ def q_edges(spark, sf):
     )
 
 
-@query(
-    "integrated_score",
-    "WITH " + PROBS + f""", scored AS (SELECT vec_id % 40 AS unit, sensor, vec_id, {_AS} AS s FROM probs),
+INTEGRATED = "WITH " + PROBS + f""", scored AS (SELECT vec_id % 40 AS unit, sensor, vec_id, {_AS} AS s FROM probs),
 latest AS (SELECT unit, sensor, arg_max(s, vec_id) AS s FROM scored GROUP BY 1, 2),
 agg AS (SELECT unit, avg(s) AS m, max(s) AS w FROM latest GROUP BY 1)
 SELECT unit, {r('0.6e0 * m + 0.4e0 * w', 3)} AS integrated, {r('m', 3)} AS mean, {r('w', 3)} AS worst,
-  CAST(round_even({r('0.6e0 * m + 0.4e0 * w', 3)} * 100e0, 0) AS INTEGER) AS points FROM agg""",
-)
+  CAST(round_even({r('0.6e0 * m + 0.4e0 * w', 3)} * 100e0, 0) AS INTEGER) AS points FROM agg"""
+
+
+@query("integrated_score", INTEGRATED)
 def q_integrated(spark, sf):
     scored = probabilities(spark, sf).select(
         (F.col("vec_id") % 40).alias("unit"), "sensor", "vec_id",

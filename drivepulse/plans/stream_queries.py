@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivepulse.functions.scalars import half_up
-from drivepulse.operators import models
+from drivepulse.operators import health, models
 from drivepulse.operators.ranking import dense_position
-from drivepulse.plans.health_queries import ALERTS, responses_of
+from drivepulse.plans.health_queries import ALERTS, INTEGRATED, responses_of, with_probabilities
 from drivepulse.plans.model_queries import _N, CENTROIDS
 from drivepulse.plans.registry import half_up_sql as r
 from drivepulse.plans.registry import query
@@ -61,6 +61,16 @@ def q_stream_latest(spark, sf):
     return streams.upsert(state, "stream-latest", ["unit", "sensor"])
 
 
+@query("stream_integrated", INTEGRATED)
+def q_stream_integrated(spark, sf):
+    """The integrated score kept up to date by a stream."""
+    arriving = with_probabilities(panel_of(streams.table_stream(spark, table_path(sf, "embeddings"))))
+    scored = arriving.select(
+        (F.col("vec_id") % 40).alias("unit"), "sensor", "vec_id", health.anomaly_score(F.get("probs", F.lit(0))).alias("score"))
+    state = streams.integrated_state(scored, keys=["unit"], sensor="sensor", score="score", order=["vec_id"])
+    return streams.upsert(state, "stream-integrated", ["unit"])
+
+
 @query(
     "stream_ring",
     """SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from drivepulse.operators import alerts, models
+from drivepulse.functions.domains import SENSORS
+from drivepulse.functions.scalars import half_up
+from drivepulse.operators import alerts, health, models
 from drivepulse.session import shared_dir
 
+# Buckets of keys that a ring is kept in.
+RING_BUCKETS = 64
+
 
 def file_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format("parquet")
@@ -84,53 +90,69 @@ def upsert(stream: DataFrame, purpose: str, keys: Sequence[str], *, location: st
 
 
 def assemble_live(
-    rows: DataFrame, *, recording: Sequence[tuple[str, str]], place: str, value: str, chunk_size: int, timeout_ms: int | None = None
+    rows: DataFrame, *, recording: Sequence[tuple[str, str]], place: str, value: str, chunk_size: int, ts: str | None = None, delay: str = "10 minutes"
 ) -> DataFrame:
     """Emit a chunk as soon as all of its samples have arrived, in any order.
 
     ``recording`` lists (column, type). The sample's position tells its chunk, so
     state is keyed by (recording, chunk): a busy recording spreads over many keys
-    and no key holds more than one chunk. A repeated sample counts once. A live job
-    sets ``timeout_ms`` to drop chunks that stay unfinished; a run over the
-    available files must not, since such a timeout keeps the query alive.
+    and no key holds more than one chunk. A repeated sample counts once.
+
+    With the event time ``ts`` state is bounded: once the watermark (``delay`` behind the newest sample)
+    has passed a chunk's newest sample, its state goes. A finished chunk's mark just ends; an unfinished
+    one comes out with ``finished`` false, a null ``x`` and the ``n_rows`` that had arrived, so that none
+    is lost uncounted. Samples behind the watermark are left out and counted in the query's progress.
+    Without ``ts`` nothing is ever too late and marks stay.
     """
     names = [n for n, _ in recording]
-    keyed = rows.select(
+    timed = event_time(rows, ts).withWatermark(ts, delay) if ts else rows
+    stamp = [F.col(ts).alias("_ts")] if ts else []
+    keyed = timed.select(
         *names,
         F.floor(F.col(place) / chunk_size).cast("int").alias("chunk_id"),
         (F.col(place) % chunk_size).cast("int").alias("pos"),
         F.col(value).cast("double").alias("v"),
+        *stamp,
     )
     key_types = ", ".join(f"{n} {t}" for n, t in recording)
+    columns = [*names, "chunk_id", "x", *(["n_rows", "finished"] if ts else [])]
+
+    def row(key, x, n: int) -> pd.DataFrame:
+        return pd.DataFrame([[*key, x, n, x is not None][: len(columns)]], columns=columns)
 
     def collect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        places, values, done, newest = state.get if state.exists else ([], [], False, 0)
         if state.hasTimedOut:
             state.remove()
+            if not done:
+                yield row(key, None, len(places))
             return
-        places, values, done = state.get if state.exists else ([], [], False)
-        if done:
-            for _ in batches:
-                pass
-            return
-        held = dict(zip(places, values))
+        # What is held comes first, so a repeated sample changes nothing.
+        pos, val = [np.asarray(places, "int64")], [np.asarray(values, "float64")]
         for batch in batches:
-            for p, v in zip(batch["pos"], batch["v"]):
-                held.setdefault(int(p), None if pd.isna(v) else float(v))
-        full = len(held) == chunk_size
-        ordered = sorted(held)
-        kept = ([], [], True) if full else (ordered, [held[p] for p in ordered], False)
-        state.update(kept)
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+            pos.append(batch["pos"].to_numpy("int64"))
+            val.append(batch["v"].to_numpy("float64", na_value=np.nan))
+            if ts and len(batch):
+                newest = max(newest, int(batch["_ts"].max().timestamp() * 1000))
+        full = False
+        if not done:
+            at, first = np.unique(np.concatenate(pos), return_index=True)
+            held = np.concatenate(val)[first]
+            full = len(at) == chunk_size
+            x = [None if np.isnan(v) else float(v) for v in held]
+            places, values = ([], []) if full else (at.tolist(), x)
+        state.update((places, values, done or full, newest))
+        if ts:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
         if full:
-            yield pd.DataFrame([[*key, [held[p] for p in ordered]]], columns=[*names, "chunk_id", "x"])
+            yield row(key, x, chunk_size)
 
     return keyed.groupBy(*names, "chunk_id").applyInPandasWithState(
         collect,
-        f"{key_types}, chunk_id int, x array<double>",
-        "places array<int>, values array<double>, done boolean",
+        f"{key_types}, chunk_id int, x array<double>" + (", n_rows int, finished boolean" if ts else ""),
+        "places array<int>, values array<double>, done boolean, newest long",
         "append",
-        GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout,
     )
 
 
@@ -144,34 +166,82 @@ def latest_state(scored: DataFrame, *, keys: Sequence[str], score: str, order: S
     return scored.groupBy(*keys).agg(F.max_by(score, F.struct(*order)).alias("score"))
 
 
+def integrated_state(
+    scored: DataFrame, *, keys: Sequence[str], sensor: str, score: str, order: Sequence[str], sensors: Sequence[str] = SENSORS
+) -> DataFrame:
+    """Integrated score of each unit from the newest score of each of its sensors (update mode).
+
+    The sensors are few and known, so one aggregate holds the newest of each of them and what is
+    integrated follows from its row; two aggregates in a row are not possible in update mode.
+    """
+    newest = [F.max_by(F.when(F.col(sensor) == s, F.col(score)), F.when(F.col(sensor) == s, F.struct(*order))) for s in sensors]
+    state = scored.groupBy(*keys).agg(F.array(*newest).alias("_all"))
+    held = state.select(*keys, F.filter("_all", lambda v: v.isNotNull()).alias("_s"))
+    mean = F.aggregate("_s", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("_s"), F.lit(0))
+    worst = F.array_max("_s")
+    value = health.integrated_score(mean, worst)
+    return held.select(
+        *keys, value.alias("integrated"), half_up(mean, 3).alias("mean"), half_up(worst, 3).alias("worst"),
+        F.bround(value * 100.0, 0).cast("int").alias("points"))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ring(
     stream: DataFrame, purpose: str, *, keys: Sequence[str], order: Sequence[str], keep: int, location: str | None = None
 ) -> DataFrame:
-    """Newest ``keep`` rows per key, carried from batch to batch as a compacted table.
+    """Newest ``keep`` rows per key, carried from batch to batch in buckets of keys.
 
-    Every batch writes its table, also when it brings no row; so from the second on the
-    previous table must be there, and a missing or unreadable one is an error.
+    A batch reads and writes the buckets that it has rows for; a manifest tells in which batch's folder
+    each bucket stands. A repeated batch starts from the manifest before it; versions that neither this
+    nor the last manifest names are removed. A missing version is an error.
     """
     spark = stream.sparkSession
     schema = stream.schema
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(RING_BUCKETS)).cast("int") if keys else F.lit(0)
+
+    def manifest(session: SparkSession, base: str, number: int) -> dict[int, int]:
+        rows = session.read.schema("bucket int, batch int").parquet(f"{base}/manifest/{number}").collect()
+        return {r["bucket"]: r["batch"] for r in rows}  # at most one row per bucket
+
+    def versions(base: str, places: dict[int, int]) -> list[str]:
+        return [f"{base}/data/{n}/__bucket={b}" for b, n in sorted(places.items())]
 
     def compact(batch: DataFrame, number: int, base: str) -> None:
-        merged = batch
-        if number > 0:
-            merged = batch.sparkSession.read.schema(schema).parquet(f"{base}/data/{number - 1}").unionByName(batch)
+        session = batch.sparkSession
+        before = manifest(session, base, number - 1) if number > 0 else {}
+        arrived = batch.withColumn("__bucket", bucket).persist()
+        touched = [r["__bucket"] for r in arrived.select("__bucket").distinct().collect()]
+        old = versions(base, {b: before[b] for b in touched if b in before})
+        merged = arrived.drop("__bucket")
+        if old:
+            merged = session.read.schema(schema).parquet(*old).unionByName(merged)
         newest = [F.col(c).desc() for c in order]
         kept = (
             alerts.keep_newest_per(merged, keys, newest, keep) if keys else merged.orderBy(*newest).limit(keep)
         )
-        kept.write.mode("overwrite").parquet(f"{base}/data/{number}")
-        batch.sparkSession.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{base}/last")
+        if touched:
+            kept.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{base}/data/{number}")
+        arrived.unpersist()
+        after = before | dict.fromkeys(touched, number)
+        session.createDataFrame(sorted(after.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/{number}")
+        session.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{base}/last")
+        if number > 1:
+            named = {*versions(base, before), *versions(base, after)}
+            for path in versions(base, manifest(session, base, number - 2)):
+                if path not in named:
+                    _remove(session, path)
 
     base = each_batch(stream, purpose, compact, mode="append", location=location)
     try:
         last = spark.read.schema("batch int").parquet(f"{base}/last").first()
     except AnalysisException:  # no batch yet
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/data/{last['batch']}")
+    places = manifest(spark, base, last["batch"])
+    return spark.read.schema(schema).parquet(*versions(base, places)) if places else spark.createDataFrame([], schema)
 
 
 def alert_stream(responses: DataFrame, *, ts: str = "ts", delay: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Splits, random-convolution features, models, spectra and streams."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -254,6 +256,51 @@ def test_live_chunks_handle_disorder_and_repeats(spark, tmp_path):
     assert got == [(u, c, [float(v) for v in range(c * 20, c * 20 + 20)]) for u in (1, 2) for c in (0, 1)]
 
 
+def test_live_chunks_leave_no_state_behind(spark, tmp_path):
+    """A finished, a repeated and an unfinished chunk: the last comes out with what it had when the watermark passes it."""
+    at = lambda second: f"2024-01-01 00:{second // 60:02d}:{second % 60:02d}"
+    files = [
+        [(1, p, float(p), at(p)) for p in range(6)] + [(2, p, float(p), at(p)) for p in range(3)],
+        [(1, p, float(p), at(p)) for p in range(4, 10)] + [(2, 1, 99.0, at(1))],
+        [(3, p, None, at(300 + p)) for p in range(10)],
+        [(3, 10, 1.0, at(320))],
+        [(2, 3, 3.0, at(3))],  # behind the watermark
+        [(3, 20 + p, 1.0, at(900 + p)) for p in range(2)]]
+    stamped = set()
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "u long, place long, v double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in set((tmp_path / "in").glob("*.parquet")) - stamped:  # files are taken by their time
+            os.utime(f, (1_500_000_000 + i, 1_500_000_000 + i))
+            stamped.add(f)
+    arriving = streams.table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    live = streams.assemble_live(arriving, recording=[("u", "long")], place="place", value="v", chunk_size=10, ts="ts", delay="30 seconds")
+    got = {(r["u"], r["chunk_id"]): (r["x"], r["n_rows"], r["finished"]) for r in streams.append_to(live, "t-live").collect()}
+    assert got[1, 0] == ([float(v) for v in range(10)], 10, True) and got[3, 0] == ([None] * 10, 10, True)
+    assert got[2, 0] == (None, 3, False) and got[3, 1] == (None, 1, False)
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (3, 1)}  # the newest chunk is still open
+
+
+def test_a_ring_rewrites_only_the_buckets_of_a_batch(spark, tmp_path):
+    source, place = str(tmp_path / "in"), str(tmp_path / "job")
+
+    def step(lo, hi, keys):
+        rows = spark.range(lo, hi).select((F.col("id") % keys).alias("k"), F.col("id").alias("t"))
+        rows.coalesce(1).write.mode("append").parquet(source)
+        out = streams.ring(streams.file_stream(spark, source, "k long, t long"), "t", keys=["k"], order=["t"], keep=2, location=place)
+        return {(r["k"], r["t"]) for r in out.collect()}
+
+    assert len(step(0, 200, 100)) == 200
+    folders = lambda n: {f.name for f in (tmp_path / "job" / "data" / str(n)).glob("__bucket=*")}
+    assert len(folders(0)) > 30
+    assert {t for k, t in step(1000, 1001, 1) if k == 0} == {100, 1000} and len(folders(1)) == 1
+    assert {t for k, t in step(2000, 2001, 1) if k == 0} == {1000, 2000} and len(folders(2)) == 1
+    got = step(3000, 3001, 1)
+    assert len(got) == 200 and {t for k, t in got if k == 0} == {2000, 3000}
+    # Superseded versions of the bucket are gone, untouched buckets stand where they were.
+    assert not folders(1) and folders(2) == folders(3) and len(folders(0)) > 30 and not folders(0) & folders(3)
+
+
 def test_ring_and_latest_over_several_batches(spark, tmp_path):
     df = spark.range(200).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), (F.col("id") * 1.0).alias("s"))
     df.repartition(4).write.parquet(str(tmp_path / "in"))
