@@ -278,8 +278,9 @@ def _contaminated(share: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows, with their columns, that are not contaminated."""
-    return mark(docs, benchmark, window).filter(~_contaminated(share)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows, with their columns, that are not contaminated; the columns may have any names."""
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return mark(plain, benchmark, window).filter(~_contaminated(share)).select(*plain.columns).toDF(*docs.columns)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
