@@ -7,32 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drivepulse.session import SMALL_TABLE_ROWS, small_rows
-
-# Rows of one key above which its rows are ranked slice by slice.
-HOT_ROWS = 2_000_000
-
-
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> DataFrame | bool | None:
-    """Keys with more than ``hot_rows`` rows.
-
-    None when there are none (or no limit is set), True when they are too many to
-    list, else a short table that may be broadcast: at most total/hot_rows keys
-    can be hot. One aggregate over the key columns alone.
-    """
-    if hot_rows is None:
-        return None
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    rows = small_rows(hot, SMALL_TABLE_ROWS)
-    if rows is None:
-        return True
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-
-
 def dense_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,49 +19,32 @@ def dense_position(
     slice_by: Column,
     name: str = "pos",
     size: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    hot: DataFrame | bool | None = False,
 ) -> DataFrame:
     """0-based position of each row inside its key, as a long; ``size`` adds the key's row count.
 
-    ``order`` must be total inside a key and ``slice_by`` must not decrease along
-    it. Keys up to ``hot_rows`` rows are ranked by a plain window. Hot keys are
-    ranked inside (key, slice) and shifted by the rows of the earlier slices, so
-    the largest task holds one slice instead of one key. ``hot`` takes the result
-    of :func:`find_hot` when it is known already.
+    ``order`` must be total inside a key and ``slice_by`` must not decrease along it. Rows are ranked
+    inside (key, slice) and shifted by the rows of the key's earlier slices, so the largest task holds
+    one slice, however many rows the key has. The plan is the same at every size and runs no job of
+    its own. Null keys form a key of their own; a null slice comes first.
     """
     keys = list(keys)
-    if hot is False:
-        hot = find_hot(df, keys, hot_rows)
-    if hot is None:
-        ranks = Window.partitionBy(*keys).orderBy(*_cols(order))
-        out = df.withColumn(name, F.row_number().over(ranks).cast("long") - 1)
-        return out if size is None else out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-
-    if hot is True:
-        sliced = df.withColumn("_slice", slice_by)
-    else:
-        marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-        sliced = marked.withColumn("_slice", F.when(F.col("_hot"), slice_by)).drop("_hot")
-    # Slices of hot keys only, counted map-side: hot keys × slices rows, whatever the data size.
-    # Rows of other keys have no slice and need no offset.
-    counts = sliced.filter(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    # One struct as the key of rows and offsets: nulls in it are equal, so the join keeps them and
+    # needs no other partitioning than the window before it.
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("slice"))
+    sliced = df.withColumn("_slice", slice_by)
+    # Slices only, counted map-side over the key columns alone.
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        place.alias("_place"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias("_total"),
     )
-    group = Window.partitionBy(*keys, "_slice")
-    ranked = sliced.withColumn("_rank", F.row_number().over(group.orderBy(*_cols(order))).cast("long") - 1)
-    extra = []
-    if size is not None:
-        ranked = ranked.withColumn("_own", F.count(F.lit(1)).over(group))
-        extra = [F.coalesce("_total", "_own").alias(size)]
-    # The windows above already partition by (key, slice), which the join reuses.
-    placed = ranked.join(offsets, [*keys, "_slice"], "left")
-    position = F.col("_rank") + F.coalesce("_before", F.lit(0))
-    return placed.select(*df.columns, position.alias(name), *extra)
+    rank = F.row_number().over(Window.partitionBy("_place").orderBy(*_cols(order)))
+    ranked = sliced.withColumn("_place", place).withColumn("_rank", rank.cast("long") - 1)
+    extra = [] if size is None else [F.col("_total").alias(size)]
+    position = F.col("_rank") + F.col("_before")
+    return ranked.join(offsets, "_place").select(*df.columns, position.alias(name), *extra)
 
 
 def exact_quantiles(

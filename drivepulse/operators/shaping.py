@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from drivepulse.functions.domains import CHUNK_ROWS, SENSORS, SIGNAL_COLUMNS
 from drivepulse.functions.matrices import spread
 from drivepulse.functions.scalars import fit_length, length_action
-from drivepulse.operators.ranking import HOT_ROWS, dense_position, find_hot
+from drivepulse.operators.ranking import dense_position
 
 
 def chunk_rows(
@@ -21,7 +21,6 @@ def chunk_rows(
     slice_by: Column | None = None,
     chunk_size: int = CHUNK_ROWS,
     strict: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Non-overlapping chunks in row form: adds ``chunk_id`` and ``pos``.
 
@@ -32,9 +31,7 @@ def chunk_rows(
         raise ValueError(f"chunk_size must be positive, got {chunk_size}")
     recording = list(recording)
     slice_by = F.floor(F.col(order[0]) / F.lit(1_000_000)) if slice_by is None else slice_by
-    placed = dense_position(
-        signal, recording, list(order), slice_by=slice_by, name="_at", size="_len", hot_rows=hot_rows
-    )
+    placed = dense_position(signal, recording, list(order), slice_by=slice_by, name="_at", size="_len")
     # Complete chunks of a recording are known from its length alone.
     length, at = F.col("_len"), F.col("_at")
     whole = length % chunk_size == 0 if strict else at < length - length % chunk_size
@@ -145,17 +142,13 @@ def to_panel(df: DataFrame, target: int = CHUNK_ROWS, *, array: str = "x", out:
 
 def stitch_fragments(
     fragments: DataFrame, *, recording: Sequence[str], number: str = "fragment", size: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Runs of consecutive fragment numbers: (recording, run, first, last, fragments[, rows]).
 
     Inside a run the fragment number minus its position is constant.
     """
     recording = list(recording)
-    hot = find_hot(fragments, recording, hot_rows)  # runs are never more than fragments
-    placed = dense_position(
-        fragments, recording, [number], slice_by=F.floor(F.col(number) / 10_000), name="_at", hot=hot
-    )
+    placed = dense_position(fragments, recording, [number], slice_by=F.floor(F.col(number) / 10_000), name="_at")
     extra = [F.sum(size).alias("n_rows")] if size else []
     runs = placed.groupBy(*recording, (F.col(number) - F.col("_at")).alias("_island")).agg(
         F.min(number).alias("first_fragment"),
@@ -164,8 +157,7 @@ def stitch_fragments(
         *extra,
     )
     numbered = dense_position(
-        runs, recording, ["first_fragment", "_island"], slice_by=F.floor(F.col("first_fragment") / 10_000), name="_run",
-        hot=hot,
+        runs, recording, ["first_fragment", "_island"], slice_by=F.floor(F.col("first_fragment") / 10_000), name="_run"
     )
     return numbered.withColumn("run", F.col("_run") + 1).drop("_run", "_island")
 
@@ -226,7 +218,6 @@ def interleave(
     order: Sequence[str] = ("group_key", "chunk_id"),
     slice_by: Column | None = None,
     sensors: Sequence[str] = SENSORS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Round-robin ``step`` over the sensors; exhausted sensors are skipped.
 
@@ -235,11 +226,12 @@ def interleave(
     """
     known = chunks.filter(F.col(sensor).isin(*sensors))
     slice_by = F.col(order[0]) if slice_by is None else slice_by
-    ranked = dense_position(known, [sensor], list(order), slice_by=slice_by, name="_rank", hot_rows=hot_rows)
-    sizes = {r[0]: r[1] for r in known.groupBy(sensor).count().collect()}  # one row per sensor
+    ranked = dense_position(known, [sensor], list(order), slice_by=slice_by, name="_rank")
+    counts = [F.count_if(F.col(sensor) == s).alias(f"n{i}") for i, s in enumerate(sensors)]
+    sizes = known.agg(*counts).select(F.struct("*")).scalar()  # one row, read when the result is
     step = F.lit(0)
     for i, s in enumerate(sensors):
-        size = F.lit(int(sizes.get(s, 0)))
+        size = sizes[f"n{i}"]
         step = step + F.least(F.col("_rank"), size)
         ahead = F.array(*[F.lit(x) for x in sensors[i + 1 :]]) if i + 1 < len(sensors) else None
         if ahead is not None:

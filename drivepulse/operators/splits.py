@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES
 from drivepulse.functions.scalars import hash_word
-from drivepulse.operators.ranking import HOT_ROWS, dense_position
+from drivepulse.operators.ranking import dense_position
 
 WORD_SLICE = 1 << 20  # 4096 slices over the 32-bit hash range
+# Leading binary digits of a class count that tell profiles apart; smaller counts are exact.
+PROFILE_BITS = 5
+# Groups that one task assigns one after another.
+FOLD_BLOCK = 10_000
 
 
 def group_labels(samples: DataFrame, *, group: str, label: str, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
@@ -21,17 +27,15 @@ def group_labels(samples: DataFrame, *, group: str, label: str, by: Sequence[str
 
 def holdout_trials(
     groups: DataFrame, *, by: str, group: str, label: str, test_size: float = 0.2, base_seed: int = 42, trials: int = 10,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every group under every seed with its side; all seeds in one plan."""
     seeds = F.array(*[F.lit(base_seed + i) for i in range(trials)])
     tried = groups.withColumn("seed", F.explode(seeds)).withColumn("_h", hash_word(F.col("seed"), F.col(group)))
     ranked = dense_position(
-        tried, [by, "seed"], ["_h", group], slice_by=F.floor(F.col("_h") / WORD_SLICE), name="_rank", hot_rows=hot_rows
+        tried, [by, "seed"], ["_h", group], slice_by=F.floor(F.col("_h") / WORD_SLICE), name="_rank", size="_n"
     )
-    sizes = groups.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     side = F.when(F.col("_rank") < F.ceil(F.col("_n") * F.lit(test_size)), "val").otherwise("train")
-    return ranked.join(sizes, by).select(by, "seed", group, label, side.alias("side"))
+    return ranked.select(by, "seed", group, label, side.alias("side"))
 
 
 def trial_report(trials: DataFrame, *, by: str, label: str, classes: Sequence[str] = CLASSES, val_min_classes: int = 1) -> DataFrame:
@@ -51,7 +55,7 @@ def trial_report(trials: DataFrame, *, by: str, label: str, classes: Sequence[st
 
 def group_holdout(
     groups: DataFrame, *, by: str, group: str, label: str, classes: Sequence[str] = CLASSES, test_size: float = 0.2,
-    base_seed: int = 42, trials: int = 10, val_min_classes: int = 1, hot_rows: int = HOT_ROWS,
+    base_seed: int = 42, trials: int = 10, val_min_classes: int = 1,
 ) -> DataFrame:
     """Hold-out by group: the smallest accepted seed per ``by`` wins.
 
@@ -60,7 +64,6 @@ def group_holdout(
     """
     tried = holdout_trials(
         groups, by=by, group=group, label=label, test_size=test_size, base_seed=base_seed, trials=trials,
-        hot_rows=hot_rows,
     )
     report = trial_report(tried, by=by, label=label, classes=classes, val_min_classes=val_min_classes)
     few = F.min(F.col("n_train_groups") + F.col("n_val_groups")) < 5
@@ -86,7 +89,7 @@ def assert_no_leak(splits: DataFrame, *, by: str, group: str) -> None:
         raise AssertionError(f"groups on both sides: {[tuple(r) for r in found]}")
 
 
-def stratified_folds(samples: DataFrame, *, group: str, label: str, k: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
+def stratified_folds(samples: DataFrame, *, group: str, label: str, k: int = 3) -> DataFrame:
     """Fold per group: groups of a class by size, dealt to folds back and forth.
 
     A group goes to exactly one fold; its class is its first label by name.
@@ -94,12 +97,79 @@ def stratified_folds(samples: DataFrame, *, group: str, label: str, k: int = 3,
     groups = samples.groupBy(group).agg(F.min(label).alias(label), F.count(F.lit(1)).alias("size"))
     keyed = groups.withColumn("_neg", -F.col("size")).withColumn("_h", hash_word(F.col(group)))
     slices = F.struct("_neg", F.floor(F.col("_h") / WORD_SLICE).alias("s"))
-    placed = dense_position(keyed, [label], ["_neg", "_h", group], slice_by=slices, name="_r", hot_rows=hot_rows)
+    placed = dense_position(keyed, [label], ["_neg", "_h", group], slice_by=slices, name="_r")
     step = F.col("_r") % k
     fold = F.when(F.floor(F.col("_r") / k) % 2 == 0, step).otherwise(F.lit(k - 1) - step)
     return placed.select(group, label, "size", fold.cast("int").alias("fold"))
 
 
+def _leading(count: Column, bits: int = PROFILE_BITS) -> Column:
+    """``count`` with all but its leading binary digits set to zero."""
+    low = F.greatest(F.length(F.bin(count)) - bits, F.lit(0))
+    unit = F.pow(F.lit(2.0), low).cast("long")
+    return count - count % unit
+
+
+def _assign(block: pd.DataFrame, classes: int, k: int) -> np.ndarray:
+    """Fold of every row, one after another: where the squared class shares of the folds grow least.
+
+    Ties go to the fold with fewer rows, then round the folds from one that changes with the block.
+    """
+    counts = block[[f"_n{c}" for c in range(classes)]].to_numpy(np.int64)
+    weight = np.maximum(counts.sum(0), 1).astype(float)
+    weight = weight * weight
+    size, shift = block["size"].to_numpy(), int(block["_block"].iloc[0]) % k
+    held, rows, turn = np.zeros((k, classes), np.int64), np.zeros(k, np.int64), (np.arange(k) + shift) % k
+    fold = np.zeros(len(block), np.int32)
+    for i, own in enumerate(counts):
+        cost = np.zeros(k)
+        for c in np.flatnonzero(own):
+            cost += own[c] * (2 * held[:, c] + own[c]) / weight[c]
+        f = np.lexsort([turn, rows, cost])[0]
+        held[f] += own
+        rows[f] += size[i]
+        fold[i] = f
+    return fold
+
+
+def class_balanced_folds(
+    samples: DataFrame, *, group: str, label: str, classes: Sequence[str] = CLASSES, k: int = 3, block: int = FOLD_BLOCK
+) -> DataFrame:
+    """Fold per group where a group may hold several classes: ``group, size, fold``.
+
+    A group is its vector of class counts. Groups with the same profile (counts to their leading
+    digits) are interchangeable: whole rounds of k are dealt back and forth, which leaves the folds
+    even. The rest, fewer than k groups of a profile, go one after another, large ones first, to the
+    fold where the squared class shares grow least, in blocks of ``block`` groups that each start
+    from even folds. Rows with a null or another label count in ``size`` only; a null group is a group.
+    """
+    counts = [F.count_if(F.col(label) == c).alias(f"_n{i}") for i, c in enumerate(classes)]
+    vectors = samples.groupBy(group).agg(F.count(F.lit(1)).alias("size"), *counts)
+    profile = [f"_p{i}" for i in range(len(classes))]
+    keyed = vectors.withColumn("_h", hash_word(F.col(group))).withColumns(
+        {p: _leading(F.col(f"_n{i}")) for i, p in enumerate(profile)}
+    )
+    by_hash = F.floor(F.col("_h") / WORD_SLICE)
+    ranked = dense_position(keyed, profile, ["_h", group], slice_by=by_hash, name="_r", size="_m").drop(*profile)
+    whole = F.col("_r") < F.col("_m") - F.col("_m") % k
+    step = F.col("_r") % k
+    dealt = F.when(F.floor(F.col("_r") / k) % 2 == 0, step).otherwise(F.lit(k - 1) - step)
+    even = ranked.filter(whole).select(group, "size", dealt.cast("int").alias("fold"))
+
+    rest = ranked.filter(~whole).drop("_r", "_m").withColumns({"_all": F.lit(0), "_neg": -F.length(F.bin("size"))})
+    # Sizes by binary digits and hashes by slice: at most 64 x 4096 slices.
+    order = dense_position(rest, ["_all"], ["_neg", "_h", group], slice_by=F.struct("_neg", by_hash.alias("s")), name="_i")
+    blocks = order.withColumn("_block", F.floor(F.col("_i") / block))
+    kind = samples.schema[group].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_i")
+        return pd.DataFrame({group: rows[group], "size": rows["size"], "fold": _assign(rows, len(classes), k)})
+
+    odd = blocks.drop("_all", "_neg", "_h").groupBy("_block").applyInPandas(run, f"`{group}` {kind}, size bigint, fold int")
+    return even.unionByName(odd)
+
+
 def record_split(samples: DataFrame, key: str, *, train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """Split single records regardless of their group (leaks by design; for comparison)."""
     limit = int(round(train_share * 10_000))

@@ -14,11 +14,10 @@ from drivepulse.plans.views import CHUNK, LENIENT, REPAIRED, SIG, STRICT, sig, s
 CHUNK_KEYS = ["unit", "chunk_id"]
 
 
-def chunked(spark, sf, strict=False, hot_rows=None):
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
+def chunked(spark, sf, strict=False):
     return shaping.chunk_rows(
         sig(spark, sf), recording=["unit"], order=["ts", "seq"], slice_by=sig_slice(),
-        chunk_size=CHUNK, strict=strict, **extra,
+        chunk_size=CHUNK, strict=strict,
     )
 
 

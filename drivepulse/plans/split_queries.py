@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from drivepulse.functions.domains import CLASSES
 from drivepulse.functions.scalars import half_up
 from drivepulse.operators import splits as sp
 from drivepulse.plans.registry import half_up_sql as r
@@ -113,6 +114,45 @@ def q_folds(spark, sf):
     return sp.stratified_folds(pred(spark, sf), group="session", label="true_label")
 
 
+def _leading_sql(n):
+    return f"({n} - {n} % CAST(pow(2, greatest(length(bin({n})) - 5, 0)) AS BIGINT))"
+
+
+def _cost_sql(f):
+    """Growth of the squared class shares of fold f, summed in order of the classes; absent ones add nothing."""
+    terms = [f"CAST(r.v[{c}] * (2 * s.held[{5 * f + c}] + r.v[{c}]) AS DOUBLE) / w.w[{c}]" for c in range(1, 6)]
+    return f"{{'cost': {' + '.join(terms)}, 'n': s.n[{f + 1}], 'turn': ({f} + s.block) % 3, 'fold': {f}}}"
+
+
+BALANCED = "WITH RECURSIVE " + PRED + f""",
+vec AS (SELECT session, count(*) AS size, {', '.join(f"count(*) FILTER (WHERE true_label = '{c}') AS n{i}" for i, c in enumerate(CLASSES))},
+   {hash_sql('session')} AS h FROM pred GROUP BY session),
+prof AS (SELECT *, {', '.join(f"{_leading_sql(f'n{i}')} AS p{i}" for i in range(5))} FROM vec),
+placed AS (SELECT *, row_number() OVER (PARTITION BY p0, p1, p2, p3, p4 ORDER BY h, session) - 1 AS r,
+   count(*) OVER (PARTITION BY p0, p1, p2, p3, p4) AS m FROM prof),
+rest AS (SELECT session, size, [n0, n1, n2, n3, n4] AS v, (i // 10000) AS block, i % 10000 AS i FROM (
+   SELECT *, row_number() OVER (ORDER BY -length(bin(size)), h, session) - 1 AS i FROM placed WHERE r >= m - m % 3)),
+weights AS (SELECT block, [{', '.join(f"CAST(greatest(sum(v[{c}]), 1) AS DOUBLE) * CAST(greatest(sum(v[{c}]), 1) AS DOUBLE)" for c in range(1, 6))}] AS w
+   FROM rest GROUP BY block),
+walk AS (
+  SELECT DISTINCT block, CAST(0 AS BIGINT) AS i, list_transform(range(15), lambda x: CAST(0 AS BIGINT)) AS held,
+     list_transform(range(3), lambda x: CAST(0 AS BIGINT)) AS n, CAST(NULL AS BIGINT) AS session, CAST(NULL AS BIGINT) AS size, CAST(NULL AS INTEGER) AS fold
+  FROM rest
+  UNION ALL
+  SELECT block, i + 1, list_transform(range(15), lambda j: held[j + 1] + CASE WHEN j // 5 = f THEN v[j % 5 + 1] ELSE 0 END),
+     list_transform(range(3), lambda j: n[j + 1] + CASE WHEN j = f THEN size ELSE 0 END), session, size, CAST(f AS INTEGER)
+  FROM (SELECT s.block, s.i, s.held, s.n, r.session, r.size, r.v,
+          list_min([{', '.join(_cost_sql(f) for f in range(3))}]).fold AS f
+        FROM walk s JOIN rest r ON r.block = s.block AND r.i = s.i JOIN weights w ON w.block = s.block) q)
+SELECT session, size, CAST(CASE WHEN (r // 3) % 2 = 0 THEN r % 3 ELSE 2 - r % 3 END AS INTEGER) AS fold FROM placed WHERE r < m - m % 3
+UNION ALL SELECT session, size, fold FROM walk WHERE i > 0"""
+
+
+@query("class_balanced_folds", BALANCED)
+def q_balanced_folds(spark, sf):
+    return sp.class_balanced_folds(pred(spark, sf), group="session", label="true_label")
+
+
 _REC = f"CASE WHEN {hash_sql('42', 'sample_id')} % 10000 < 8000 THEN 'train' ELSE 'val' END"
 
 

@@ -1,4 +1,4 @@
-"""Session defaults, shared scratch locations and size-checked broadcasts."""
+"""Session defaults and shared scratch locations."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a driver-side lookup may hold before an operator falls back to a join.
-SMALL_TABLE_ROWS = 20_000
-
 
 def build_session(app: str = "drivepulse", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC time, adaptive execution and Arrow exchange switched on."""
@@ -53,9 +50,3 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_rows(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS):
-    """All rows of ``df`` when there are at most ``max_rows``, otherwise None."""
-    rows = df.limit(max_rows + 1).collect()
-    return None if len(rows) > max_rows else rows

@@ -24,8 +24,8 @@ def test_holdout_shape_and_disjointness(groups):
     splits.assert_no_leak(s, by="sensor", group="grp")
     tried = splits.holdout_trials(groups, by="sensor", group="grp", label="fault")
     assert tried.groupBy("sensor", "seed", "grp").count().filter("count > 1").count() == 0
-    sliced = splits.holdout_trials(groups, by="sensor", group="grp", label="fault", hot_rows=5)
-    assert sorted(map(tuple, tried.collect())) == sorted(map(tuple, sliced.select(tried.columns).collect()))
+    counts = {(r["sensor"], r["seed"], r["side"]): r["count"] for r in tried.groupBy("sensor", "seed", "side").count().collect()}
+    assert all(n == (21 if side == "train" else 6) for (_, _, side), n in counts.items())
 
 
 def test_holdout_errors(spark, groups):
@@ -47,8 +47,28 @@ def test_folds_are_balanced(spark):
     f = splits.stratified_folds(df, group="g", label="y")
     per = [r["count"] for r in f.groupBy("y", "fold").count().collect()]
     assert f.count() == 300 and max(per) - min(per) <= 1
-    again = splits.stratified_folds(df, group="g", label="y", hot_rows=10)
-    assert sorted(map(tuple, f.collect())) == sorted(map(tuple, again.select(f.columns).collect()))
+
+
+def test_folds_of_groups_with_several_classes(spark):
+    """Each class is spread over the folds, although groups mix two of them in unlike sizes."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(400):
+        first, second = rng.choice(5, 2, replace=False)
+        rows += [(g, CLASSES[first])] * int(rng.integers(1, 90)) + [(g, CLASSES[second])] * int(rng.integers(0, 40))
+    rows += [(None, CLASSES[0]), (None, None), (7, "other")]
+    df = spark.createDataFrame(rows, "g int, y string")
+    for block in (10_000, 50):
+        f = splits.class_balanced_folds(df, group="g", label="y", block=block)
+        fold = {r["g"]: r["fold"] for r in f.collect()}
+        assert len(fold) == 401 and f.agg(F.sum("size")).first()[0] == len(rows)
+        for c in CLASSES:
+            per = np.bincount([fold[g] for g, y in rows if y == c], minlength=3)
+            assert per.max() - per.min() <= 0.05 * per.sum()
+    # Groups that do not differ are dealt in whole rounds.
+    same = spark.range(3000).select((F.col("id") % 300).alias("g"), F.lit(CLASSES[1]).alias("y"))
+    assert [r["count"] for r in splits.class_balanced_folds(same, group="g", label="y").groupBy("fold").count().collect()] == [100] * 3
+    assert splits.class_balanced_folds(df.limit(0), group="g", label="y").count() == 0
 
 
 def test_balanced_sample_is_even_over_drives(spark):

@@ -130,21 +130,41 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("hot", [1, 100, 10_000])
-def test_positions_do_not_depend_on_the_hot_path(spark, hot):
-    df = dense_position(skewed(spark), ["k"], ["t"], slice_by=F.floor(F.col("t") / 40), hot_rows=hot)
-    got = {(r["k"], r["t"]): r["pos"] for r in df.collect()}
+@pytest.mark.parametrize("width", [1, 40, 10_000])
+def test_positions_do_not_depend_on_the_slices(spark, width):
+    df = dense_position(skewed(spark), ["k"], ["t"], slice_by=F.floor(F.col("t") / width), size="n")
+    got = {(r["k"], r["t"]): (r["pos"], r["n"]) for r in df.collect()}
     by_key = {}
     for k, t in got:
         by_key.setdefault(k, []).append(t)
-    assert got == {(k, t): i for k, ts in by_key.items() for i, t in enumerate(sorted(ts))}
+    assert got == {(k, t): (i, len(ts)) for k, ts in by_key.items() for i, t in enumerate(sorted(ts))}
     assert len(got) == 900
 
 
+def test_null_keys_are_ranked_like_others(spark):
+    rows = [(None, t) for t in (5, 1, 90, None)] + [("a", t) for t in (70, 2)]
+    df = spark.createDataFrame(rows, "k string, t int")
+    out = dense_position(df, ["k"], ["t"], slice_by=F.floor(F.col("t") / 10), size="n")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(None, None, 0, 4), (None, 1, 1, 4), (None, 5, 2, 4), (None, 90, 3, 4), ("a", 2, 0, 2), ("a", 70, 1, 2)], key=str
+    )
+
+
+def test_no_job_runs_while_plans_are_built(spark):
+    s = signal(spark, 400)
+    spark.sparkContext.setJobGroup("plan", "plan")
+    chunks = shaping.chunk_rows(s, chunk_size=20).select("group_key", "sensor", "chunk_id").distinct()
+    steps = shaping.interleave(chunks)
+    runs = shaping.stitch_fragments(chunks.withColumnRenamed("chunk_id", "fragment"), recording=["sensor"])
+    found = spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert steps.columns and runs.columns and not list(found)
+
+
 def test_hot_recordings_chunk_like_others(spark):
     s = signal(spark, 400).unionByName(signal(spark, 40, "H"))
     plain = shaping.chunk_rows(s, chunk_size=20)
-    sliced = shaping.chunk_rows(s, chunk_size=20, hot_rows=100, slice_by=F.floor(F.col("time_idx") / 64))
+    sliced = shaping.chunk_rows(s, chunk_size=20, slice_by=F.floor(F.col("time_idx") / 64))
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sliced.select(plain.columns).collect()))
 
 
@@ -165,22 +185,20 @@ def test_round_robin_order(spark):
     sizes = {"Current_U": 2, "Vib_Motor": 4, "Vib_TM": 1}
     rows = [(s, f"g{i}", 0) for s, n in sizes.items() for i in range(n)] + [("other", "g0", 0)]
     df = spark.createDataFrame(rows, "sensor string, group_key string, chunk_id int")
-    for hot in (1, 1000):
-        out = shaping.interleave(df, hot_rows=hot).orderBy("step").collect()
-        assert [r["step"] for r in out] == list(range(7))
-        assert [r["sensor"] for r in out] == [
-            "Current_U", "Vib_Motor", "Vib_TM", "Current_U", "Vib_Motor", "Vib_Motor", "Vib_Motor"
-        ]
+    out = shaping.interleave(df).orderBy("step").collect()
+    assert [r["step"] for r in out] == list(range(7))
+    assert [r["sensor"] for r in out] == [
+        "Current_U", "Vib_Motor", "Vib_TM", "Current_U", "Vib_Motor", "Vib_Motor", "Vib_Motor"
+    ]
 
 
 def test_stitching_runs(spark):
     rows = [("a", n, 10) for n in (1, 2, 3, 7, 8, 20)]
     df = spark.createDataFrame(rows, "rec string, fragment int, size int")
-    for hot in (1, 1000):
-        out = shaping.stitch_fragments(df, recording=["rec"], size="size", hot_rows=hot).orderBy("run").collect()
-        assert [(r["run"], r["first_fragment"], r["last_fragment"], r["n_rows"]) for r in out] == [
-            (1, 1, 3, 30), (2, 7, 8, 20), (3, 20, 20, 10)
-        ]
+    out = shaping.stitch_fragments(df, recording=["rec"], size="size").orderBy("run").collect()
+    assert [(r["run"], r["first_fragment"], r["last_fragment"], r["n_rows"]) for r in out] == [
+        (1, 1, 3, 30), (2, 7, 8, 20), (3, 20, 20, 10)
+    ]
 
 
 def test_fusion_cuts_to_the_shortest_and_drops_incomplete(spark):
