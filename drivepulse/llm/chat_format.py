@@ -6,7 +6,9 @@ sums along the conversation) decide its window: a window holds the turns that en
 of the token capacity, whole turns only. The capacity is the budget less the system turn and the
 history. A further window repeats the first system turn and the last turns of the window before it,
 as many as ``HISTORY`` tokens allow; what is repeated is masked, so that every assistant text is a
-target exactly once. A window goes beyond the budget only by a turn of over half of the capacity.
+target exactly once. A system turn of over half of budget less history is not repeated and takes
+nothing off the capacity: it stands in its own place once. So a window goes beyond the budget only by
+a turn of over half of its capacity.
 
 Null text counts as empty, a null role as the empty role. Turns are in order of ``turn``, then role,
 then text; null turns come first and repeated rows stay. Rows with a null ``conv_id`` form one
@@ -64,9 +66,12 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         escape_role(F.col("role")).alias("r"), escape(F.col("text")).alias("t"),
         F.sum((F.regexp_count("text", F.lit(WORD)) + MARKS).cast("long")).over(along).alias("after"))
     system = F.min(F.when(F.col("role") == "system", F.struct("pos", "n", "r", "t"))).over(whole)
-    placed = placed.withColumn("system", system)
-    half = F.greatest(F.lit(1), F.floor((budget - history - F.coalesce(F.col("system.n"), F.lit(0))) / 2))
-    celled = placed.withColumn("window", F.floor((F.col("after") - 1) / half))
+    fits = F.col("system.n") * 2 <= budget - history
+    half = F.greatest(F.lit(1), F.floor((budget - history - F.when(fits, F.col("system.n")).otherwise(0)) / 2))
+    celled = placed.withColumn("system", system).withColumn("window", F.floor((F.col("after") - 1) / half))
+    # Only the row that opens a window carries the system turn on.
+    opens = ~F.col("window").eqNullSafe(F.lag("window").over(Window.partitionBy("conv_id").orderBy("pos")))
+    celled = celled.withColumn("opens", opens).withColumn("system", F.when(F.col("opens") & fits, F.col("system")))
     following = Window.partitionBy("conv_id").orderBy("window").rangeBetween(1, Window.unboundedFollowing)
     ahead = F.min("window").over(following)
     closes = F.max("after").over(Window.partitionBy("conv_id", "window"))
@@ -75,8 +80,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     uses = F.when(again, F.array(F.struct(F.col("window").alias("w"), F.lit(True).alias("new")), F.struct(F.col("ahead").alias("w"), F.lit(False).alias("new"))))
     uses = uses.otherwise(F.array(F.struct(F.col("window").alias("w"), F.lit(True).alias("new"))))
     spread = celled.select("conv_id", "system", "pos", "r", "t", F.explode(uses).alias("use"))
+    spread = spread.withColumn("system", F.when(F.col("use.new"), F.col("system")))
     gathered = spread.groupBy("conv_id", F.col("use.w").alias("window")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.col("use.new").alias("new"), "r", "t"))).alias("items"), F.first("system").alias("system"))
+        F.sort_array(F.collect_list(F.struct("pos", F.col("use.new").alias("new"), "r", "t"))).alias("items"), F.first("system", ignorenulls=True).alias("system"))
     lead = F.struct(F.col("system.pos").alias("pos"), F.lit(False).alias("new"), F.col("system.r").alias("r"), F.col("system.t").alias("t"))
     held = F.exists("items", lambda x: x["pos"] == F.col("system.pos"))
     items = F.when(F.col("system").isNull() | held, F.col("items")).otherwise(F.concat(F.array(lead), F.col("items")))

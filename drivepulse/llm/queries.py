@@ -94,7 +94,7 @@ sized AS (
 placed AS (
   SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS after,
     min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys FROM sized),
-system AS (SELECT conv_id, n AS sys_n, chars AS sys_chars FROM placed WHERE pos = sys),
+system AS (SELECT conv_id, n AS sys_n, chars AS sys_chars FROM placed WHERE pos = sys AND 2 * n <= {chat_format.BUDGET - chat_format.HISTORY}),
 celled AS (
   SELECT placed.*, sys_chars,
     (after - 1) // greatest(1, ({chat_format.BUDGET - chat_format.HISTORY} - coalesce(sys_n, 0)) // 2) AS w
@@ -105,7 +105,7 @@ uses AS (
   UNION ALL SELECT conv_id, ahead, pos, chars, sys, sys_chars FROM celled JOIN cells USING (conv_id, w)
   WHERE ahead IS NOT NULL AND closes - after + n <= {chat_format.HISTORY}),
 windows AS (
-  SELECT conv_id, w, sum(chars) + CASE WHEN any_value(sys) IS NOT NULL AND NOT bool_or(pos = sys) THEN any_value(sys_chars) ELSE 0 END AS chars
+  SELECT conv_id, w, sum(chars) + CASE WHEN any_value(sys) IS NOT NULL AND NOT bool_or(pos = sys) THEN coalesce(any_value(sys_chars), 0) ELSE 0 END AS chars
   FROM uses GROUP BY 1, 2),
 totals AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM windows GROUP BY 1),
 read AS (
