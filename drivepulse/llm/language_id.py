@@ -1,6 +1,6 @@
 """Language identification of mixed text: scripts, per-word scores and a Viterbi path.
 
-Words are runs of letters. Every word has a score for each language: the log-likelihood of its
+Words are runs of letters, cut where the script changes. Every word has a score for each language: the log-likelihood of its
 character n-grams under naive Bayes, spread evenly between the languages so that unknown n-grams say
 nothing. The script of a word (a code range) leaves only languages that were learned with this
 script. Over the words of a text the Viterbi algorithm then chooses the languages with the highest
@@ -8,7 +8,8 @@ total score, less a penalty for every switch; equal neighbours form the labelled
 
 The model is fitted on about ``SAMPLE_ROWS`` rows of each language (those whose hashed id falls below
 the share that this number has of the language; all rows, if there are fewer), n-grams hashed to
-``SLOTS`` slots, so that its size is bounded. Scoring reads every word of every text.
+``SLOTS`` slots: its size is that number times the languages, of which there may be any number. Scoring
+reads every word of every text.
 
 Text that is null, empty or without letters has no spans and the language ``und`` with score 0.
 The language of a text is the one with most letters in its spans (ties: alphabetical order); its score is its
@@ -17,6 +18,7 @@ share of the letters. With no training rows every text is ``und``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,6 @@ from drivepulse.llm.common import mix, run_sums, slices, texts_of, training_row
 
 SAMPLE_ROWS = 2_000
 SLOTS = 1 << 18
-MOST_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
 # Bytes of text that are labelled together.
@@ -55,6 +56,36 @@ def script_of(codes: np.ndarray) -> np.ndarray:
     return _SCRIPT[np.searchsorted(_FROM, codes, "right") - 1]
 
 
+def _alphabets() -> re.Pattern:
+    """Runs of one script; letters of no named script belong to the run that they stand in or before."""
+    ends = [code for code, _ in SCRIPTS[1:]] + [0x110000]
+
+    def ranges(names: tuple[str, ...]) -> str:
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for (a, kind), b in zip(SCRIPTS, ends, strict=True) if kind in names)
+
+    free = ranges(("other",))
+    runs = [f"[{free}]*+[{ranges((name,))}][{ranges((name, 'other'))}]*+" for name in SCRIPT_NAMES if name != "other"]
+    return re.compile("|".join([*runs, f"[{free}]+"]))
+
+
+_LETTERS, _ALPHABETS = re.compile(LETTERS), _alphabets()
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters of one script."""
+    found = _LETTERS.findall(text)
+    if text.isascii():
+        return found
+    return [part for word in found for part in ((word,) if word.isascii() else _ALPHABETS.findall(word))]
+
+
+def places(text: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of every word of ``words_of``."""
+    for word in _LETTERS.finditer(text):
+        for part in _ALPHABETS.finditer(word[0]):
+            yield word.start() + part.start(), word.start() + part.end()
+
+
 def gram_slots(words: list[str], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the n-grams of every word (with a boundary sign at both ends) and offsets of the words into them."""
     text = "\n".join(words)
@@ -89,26 +120,21 @@ class Model:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """About ``rows`` training rows of each language (all, if fewer): those whose hashed id is below its share."""
     usable = docs.filter(training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.lit(0)
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(share)
-    return usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    sizes = usable.groupBy("lang").count().withColumnsRenamed({"lang": "__lang", "count": "__n"})
+    share = F.least(F.lit(1.0), rows / F.col("__n")) * (1 << 20)
+    chosen = usable.join(sizes, usable.lang == sizes["__lang"]).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    return chosen.select("lang", "text")
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, slots: int = SLOTS) -> Model:
     """Naive Bayes weights from the sample; the driver receives at most ``slots`` rows per language."""
-    import re
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = re.compile(LETTERS)
         for batch in slices(batches):
             for lang in set(batch.column(0).to_pylist()):
                 seen, scripts = np.zeros(slots, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
                 for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = letters.findall(text.lower()) if k == lang else []
+                    words = words_of(text.lower()) if k == lang else []
                     for i in range(0, len(words), WORD_STEP):
                         part = words[i : i + WORD_STEP]
                         np.add.at(seen, gram_slots(part, slots)[0], 1)
@@ -199,13 +225,11 @@ SPAN = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32
 
 def judge(texts: list[str | None], model: Model, penalty: float = PENALTY, spans: bool = False) -> tuple[list, np.ndarray, list]:
     """Language, score and (on request) spans of every text."""
-    import re
-
-    letters, kinds = re.compile(LETTERS), len(model.languages)
+    kinds = len(model.languages)
     known: dict[str, int] = {}
     ids, sizes = [np.zeros(0, np.int32)], []
     for text in texts:
-        words = letters.findall((text or "").lower())
+        words = words_of((text or "").lower())
         sizes.append(len(words))
         ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
     flat = np.concatenate(ids)
@@ -225,7 +249,7 @@ def judge(texts: list[str | None], model: Model, penalty: float = PENALTY, spans
     score = weight[np.arange(len(texts)), best] / np.maximum(total, 1)
     found = []
     if spans:
-        found = [_spans(t or "", path[a:b], model.languages, letters) if kinds else [] for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        found = [_spans(t or "", path[a:b], model.languages) if kinds else [] for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     return lang, score, found
 
 
@@ -259,17 +283,17 @@ def keep_languages(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _spans(text: str, path: np.ndarray, languages: list[str], letters) -> list[dict]:
+def _spans(text: str, path: np.ndarray, languages: list[str]) -> list[dict]:
     """Maximal runs of words of one language.
 
     Places come from the text as it is, so lower-casing that changes its length falls back to the lower-cased text.
     """
     low = text.lower()
     found: list[dict] = []
-    for m, k in zip(letters.finditer(text if len(low) == len(text) else low), path.tolist(), strict=False):
+    for (a, b), k in zip(places(text if len(low) == len(text) else low), path.tolist(), strict=False):
         if found and found[-1]["lang"] == languages[k]:
-            found[-1]["end"] = m.end()
-            found[-1]["letters"] += m.end() - m.start()
+            found[-1]["end"] = b
+            found[-1]["letters"] += b - a
         else:
-            found.append({"lang": languages[k], "start": m.start(), "end": m.end(), "letters": m.end() - m.start()})
+            found.append({"lang": languages[k], "start": a, "end": b, "letters": b - a})
     return found
