@@ -7,7 +7,7 @@ rules, marks every place where a match of a rule begins, and from each mark in t
 automaton of that rule runs to the longest end. Matches of a rule are leftmost and do not overlap.
 
 Null text counts as empty and has no spans. Every row is scanned by itself and whole; the state of
-the scan is one automaton state, however long the text. Offsets are code points, ends exclusive;
+the scan is one automaton state, and a text with a hit gets one mark for each of its bytes. Offsets are code points, ends exclusive;
 spans are in order of start, then of the rule list. Repeated rows repeat their spans.
 """
 
@@ -202,6 +202,30 @@ def linked(moves: np.ndarray, marks: np.ndarray) -> list:
     return rows
 
 
+def next_mark(begins: np.ndarray, bit: int, at: int) -> int:
+    """The first place from ``at`` on that has the bit, -1 if none: looked for in steps that grow."""
+    step, bit = 64, begins.dtype.type(bit)
+    while at < len(begins):
+        hits = begins[at : at + step] & bit
+        first = int((hits != 0).argmax())
+        if hits[first]:
+            return at + first
+        at += step
+        step = min(2 * step, 1 << 16)
+    return -1
+
+
+def code_points(data: bytes, places: list[int]) -> dict[int, int]:
+    """Code points before each byte offset."""
+    found, count, done = {}, 0, 0
+    for place in sorted(set(places)):
+        # Bytes from 0x80 to 0xBF go on with a code point.
+        count += int(np.count_nonzero(np.frombuffer(data, np.int8, place - done, done) >= -64)) if place > done else 0
+        done = place
+        found[place] = count
+    return found
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
@@ -236,21 +260,23 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """All matches as (start, rule, end), in bytes."""
-        row, begins = self.back, []
+        row = self.back
+        # Which rules begin at each byte, one bit for each.
+        begins = np.zeros(len(data), np.uint8 if len(self.rules) <= 8 else np.uint64)
+        marks = memoryview(begins)
         for i in range(len(data) - 1, -1, -1):
             row = row[data[i]]
             if row[256]:
-                begins.append((i, row[256]))
-        begins.reverse()
+                marks[i] = row[256]
         found = []
         for k, rule in enumerate(self.rules):
-            free = 0
-            for i, mask in begins:
-                if mask >> k & 1 and i >= free:
-                    free = self._longest(k, data, i)
-                    match = self.exact[k].fullmatch(data, i, free)
-                    if len(match[rule.group]) >= rule.least:
-                        found.append((i, k, free))
+            i = next_mark(begins, 1 << k, 0)
+            while i >= 0:
+                free = self._longest(k, data, i)
+                match = self.exact[k].fullmatch(data, i, free)
+                if match.end(rule.group) - match.start(rule.group) >= rule.least:
+                    found.append((i, k, free))
+                i = next_mark(begins, 1 << k, free)
         return sorted(found)
 
     def _longest(self, k: int, data: bytes, i: int) -> int:
@@ -266,8 +292,9 @@ class Scanner:
     def scan(self, data: bytes) -> list[dict]:
         if not self.any(data):
             return []
-        points = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
-        return [{"kind": self.rules[k].kind, "start": int(points[a]), "end": int(points[b])} for a, k, b in self.spans(data)]
+        spans = self.spans(data)
+        points = code_points(data, [x for a, _, b in spans for x in (a, b)])
+        return [{"kind": self.rules[k].kind, "start": points[a], "end": points[b]} for a, k, b in spans]
 
 
 @cache
