@@ -8,10 +8,13 @@ from all documents, the class counts from the labelled rows. A text is described
 log-likelihood ratio per sign, by its most toxic word, by how far its toxic words exceed some bars
 and by its length; a logistic curve over these turns them into a score.
 
-Signs are mapped to 12 bits, so that a 5-gram is one exact 60-bit integer; all counting and the
-probabilities are Spark aggregations over such integers. What scoring needs is the log ratio of each
-seen n-gram and of each context, folded into ``SLOTS`` and ``CONTEXT_SLOTS`` hash slots: the driver
-receives, and the tasks get, a table of that size at most.
+Signs have 12 bits, so that a 5-gram is one 60-bit integer; code points from U+1000 on share 3,071 of
+them, so n-grams of such scripts may coincide. All counting and the probabilities are Spark
+aggregations over such integers. What scoring needs is the log ratio of every n-gram that a labelled
+row holds, and of every context: sorted by the n-gram itself and looked up exactly, so an n-gram
+outside them gets its context's ratio, and without a known context the shared backoff of both classes,
+whose ratio is 0. This table grows with the labelled rows, of which ``SAMPLE_ROWS`` is the bound, at 12
+bytes for an n-gram; it holds one row for each different one, however often it occurs.
 
 Class counts use about ``SAMPLE_ROWS`` labelled rows of each class (all, if fewer), chosen by hashed
 id. Two halves of these rows give two models; each row used to fit the curve is scored by the model
@@ -40,9 +43,6 @@ SAMPLE_ROWS = 20_000
 DISCOUNT = 0.75
 ORDER = 5
 BITS = 12
-# Primes: the slot of an n-gram is the rest of its division.
-SLOTS = 1_048_573
-CONTEXT_SLOTS = 262_139
 # Bars over which a word's log ratio is evidence of its own.
 EXCESS = (1.0, 2.0, 3.0)
 FEATURES = 7
@@ -167,14 +167,16 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
         (p_t, l_t), (p_o, l_o) = model(toxic), model(ordinary)
         columns += [(p_t - p_o).alias(name), (l_t - l_o).alias(f"c{name}")]
-    return rows.select("gram", "context", sum(F.col(c) for c in HALVES).alias("n"), *columns)
+    return rows.select("gram", "context", *columns)
 
 
 @dataclass
 class Model:
-    """Log ratios by slot (not a number where nothing was seen) and the curve over the features."""
+    """Log ratios of sorted n-grams and contexts, and the curve over the features."""
 
+    grams: np.ndarray
     gram: np.ndarray
+    contexts: np.ndarray
     context: np.ndarray
     curve: np.ndarray | None = None
     centre: np.ndarray | None = None
@@ -185,19 +187,30 @@ NAMES = ("a", "b", "ab")
 
 
 def fit_ratios(rows: DataFrame) -> dict[str, Model]:
-    """The three models; at most ``SLOTS`` + ``CONTEXT_SLOTS`` rows reach the driver."""
+    """The three models; the driver receives one row for each different n-gram and context of the labelled rows."""
     ratios = materialise(log_ratios(materialise(count_grams(rows), "grams")), "ratios")
 
-    def folded(key: str, slots: int, names: list[str]) -> dict[str, np.ndarray]:
-        mean = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in names]
-        found = ratios.groupBy(F.pmod(key, F.lit(slots)).alias("slot")).agg(*mean).toArrow()
-        out = {c: np.full(slots, np.nan, np.float32) for c in names}
-        for c in names:
-            out[c][found.column("slot").to_numpy()] = found.column(c).to_numpy()
-        return out
-
-    gram, context = folded("gram", SLOTS, list(NAMES)), folded("context", CONTEXT_SLOTS, [f"c{c}" for c in NAMES])
-    return {c: Model(gram[c], context[f"c{c}"]) for c in NAMES}
+    def table(rows: DataFrame, key: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        found = rows.toArrow()
+        keys = found.column(key).to_numpy()
+        order = np.argsort(keys)
+        return keys[order], [found.column(c).to_numpy()[order] for c in found.column_names if c != key]
+
+    grams, of_gram = table(ratios.select("gram", *(F.col(c).cast("float") for c in NAMES)), "gram")
+    # A context has one ratio, which all of its n-grams carry.
+    each = ratios.groupBy("context").agg(*(F.max(f"c{c}").cast("float").alias(f"c{c}") for c in NAMES))
+    contexts, of_context = table(each, "context")
+    return {c: Model(grams, of_gram[i], contexts, of_context[i]) for i, c in enumerate(NAMES)}
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Value of every wanted key, not a number where there is none."""
+    out = np.full(len(wanted), np.nan)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        here = keys[at] == wanted
+        out[here] = values[at[here]]
+    return out
 
 
 def features(texts: list[str], model: Model) -> np.ndarray:
@@ -208,10 +221,12 @@ def features(texts: list[str], model: Model) -> np.ndarray:
     if not words:
         return out
     gram, offsets = grams(words)
-    ratio = model.gram[gram % SLOTS]
+    # Sorted, repeated ones once: neighbours are looked up side by side.
+    asked, back = np.unique(gram, return_inverse=True)
+    ratio = look_up(model.grams, model.gram, asked)
     unseen = np.isnan(ratio)
-    ratio[unseen] = model.context[(gram[unseen] >> BITS) % CONTEXT_SLOTS]
-    ratio = np.nan_to_num(ratio, nan=0.0).astype(np.float64)
+    ratio[unseen] = look_up(model.contexts, model.context, asked[unseen] >> BITS)
+    ratio = np.nan_to_num(ratio, nan=0.0)[back]
     word = run_sums(ratio, offsets)
     size = np.diff(offsets)
     some = np.flatnonzero(np.diff(at))

@@ -47,6 +47,27 @@ def test_secret_report_and_redaction(spark):
     assert secret_scan.report(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_long_hex_text_needs_little_memory():
+    import tracemalloc
+
+    tool = secret_scan.scanner(secret_scan.RULES)
+    data = ("é " + "0123456789abcdef" * 60_000 + " token=abcdefgh12").encode()
+    tracemalloc.start()
+    found = tool.scan(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(s["kind"], s["start"], s["end"]) for s in found] == [("hex", 2, 960_002), ("assign", 960_003, 960_019)]
+    assert peak < 3 * len(data)
+
+
+def test_more_rules_than_bits_of_a_byte():
+    rules = tuple(secret_scan.Rule(f"r{k}", f"{chr(97 + k)}[0-9]+") for k in range(20))
+    tool = secret_scan.scanner(rules)
+    text = "".join(f"é{chr(97 + k)}{k}" for k in range(20)) + "a77"
+    got = [(s["kind"], s["start"], s["end"]) for s in tool.scan(text.encode())]
+    assert got == sorted(((f"r{k}", m.start(), m.end()) for k in range(20) for m in re.finditer(f"{chr(97 + k)}[0-9]+", text)), key=lambda s: s[1])
+
+
 def test_pem_blocks_are_covered_whole(spark):
     def block(kind, body, line="\n"):
         return f"-----BEGIN {kind}PRIVATE KEY-----{line}{body}{line}-----END {kind}PRIVATE KEY-----"

@@ -55,6 +55,28 @@ def test_language_id_without_training_rows(spark):
     assert language_id.label(empty, language_id.fit(empty)).collect() == []
 
 
+def test_any_number_of_languages(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(chr(0x4E00 + 40 * (i // 3) + rnd.randrange(40)) * 2 for _ in range(20)), f"l{i // 3:03}", *[None] * 4) for i in range(900)]
+    docs = frame(spark, rows)
+    model = language_id.fit(docs, slots=1 << 12)
+    assert len(model.languages) > 256
+    found = {r.doc_id: r.lang_pred for r in language_id.label(docs.filter("doc_id % 50 = 0"), model).collect()}
+    assert sum(found[i] == f"l{i // 3:03}" for i in found) >= 0.9 * len(found)
+
+
+def test_words_end_where_the_script_changes(spark):
+    text = "abcдом日本かな end ñé"
+    want = ["abc", "дом", "日本", "かな", "end", "ñé"]
+    assert language_id.words_of(text) == want == [text[a:b] for a, b in language_id.places(text)]
+    assert language_id.words_of("ﬁnd ªb") == ["ﬁnd", "ªb"]
+    rnd = random.Random(7)
+    model = language_id.fit(frame(spark, tongues()))
+    mixed = words(rnd, "en", 6).replace(" ", "") * 3 + words(rnd, "ru", 6).replace(" ", "") * 3
+    row = language_id.label(frame(spark, [(1, mixed, *[None] * 5)]), model).first()
+    assert [s.lang for s in row.spans] == ["en", "ru"] and row.spans[0].end == row.spans[1].start
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
@@ -101,6 +123,16 @@ def test_toxicity_without_labels(spark):
     assert [(r.score, r.predicted) for r in toxicity.score(docs, None).collect()] == [(0.0, 0)]
 
 
+def test_ratios_belong_to_one_gram():
+    """N-grams that agreed modulo any table size keep their own ratios; others fall back to their context, then to nothing."""
+    gram = np.sort(toxicity.grams(["vile", "kind"])[0])
+    model = toxicity.Model(gram, np.arange(1, len(gram) + 1, dtype=np.float32), np.array([5]), np.array([7.0]))
+    for size in (1_048_573, 262_139, 4096):
+        assert np.isnan(toxicity.look_up(model.grams, model.gram, gram + size)).all()
+    assert toxicity.look_up(model.grams, model.gram, gram[::-1]).tolist() == list(range(len(gram), 0, -1))
+    assert np.isnan(toxicity.look_up(np.zeros(0, np.int64), np.zeros(0), gram)).all()
+
+
 def test_kneser_ney_sums_to_one():
     """The shared distribution and a class model, over all signs after a context, by hand for a few words."""
     gram, at = toxicity.grams(["ab", "abc"])
@@ -190,3 +222,15 @@ def test_chat_windows(spark):
     # Every further window of a conversation with a system turn repeats it first.
     assert all(w.formatted.startswith("<s>system\n") for c in (1, 3, 5) for w in wide[c])
     assert chat_format.digests(chat_format.format_windows(frame_.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize(("system", "repeated"), [(380, True), (381, False), (5000, False)])
+def test_long_system_turns_keep_the_budget(spark, system, repeated):
+    rows = [(1, 0, "system", "w " * system)] + [(1, t, ["user", "assistant"][t % 2], "a b c d e f") for t in range(1, 200)]
+    windows = chat_format.format_windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("window").collect()
+    tokens = [chat_format.MARKS * w.formatted.count("</s>") + sum(len(t.split("\n", 1)[1].split()) for t in w.formatted.split("</s>")[:-1]) for w in windows]
+    # Only the window of a system turn that is longer than the budget itself goes beyond it.
+    assert all(n <= chat_format.BUDGET for w, n in zip(windows, tokens, strict=True) if system < 1000 or "<s>system" not in w.formatted)
+    assert sum("<s>system" in w.formatted for w in windows) == (len(windows) if repeated else 1)
+    assert len(windows) < 25
+    assert sum(len(w.loss) for w in windows) == 100
