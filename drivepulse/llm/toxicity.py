@@ -6,7 +6,8 @@ from continuation counts (in how many contexts a shorter n-gram occurs), so that
 neither class knows well gets the same backoff from both and says nothing. The shared counts come
 from all documents, the class counts from the labelled rows. A text is described by its
 log-likelihood ratio per sign, by its most toxic word, by how far its toxic words exceed some bars
-and by its length; a logistic curve over these turns them into a score.
+and by its length; a logistic curve over these turns them into a score, fitted with equal weight for
+both classes, so that 0.5 is where either is as likely as among equally many of both.
 
 Signs have 12 bits, so that a 5-gram is one 60-bit integer; code points from U+1000 on share 3,071 of
 them, so n-grams of such scripts may coincide. All counting and the probabilities are Spark
@@ -242,15 +243,16 @@ def features(texts: list[str], model: Model) -> np.ndarray:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps over standardised features."""
+    """Logistic regression by Newton steps over standardised features; both classes weigh the same, however rare one is."""
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
     weights = np.zeros(z.shape[1])
+    share = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))[y]
     keep = ridge * len(x) / 100 * np.append(np.ones(x.shape[1]), 0)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
-        slope = z.T @ (p - y) + keep * weights
-        bend = (z * (p * (1 - p))[:, None]).T @ z + np.diag(keep) + 1e-9 * np.eye(len(weights))
+        slope = z.T @ (share * (p - y)) + keep * weights
+        bend = (z * (share * p * (1 - p))[:, None]).T @ z + np.diag(keep) + 1e-9 * np.eye(len(weights))
         change = np.linalg.solve(bend, slope)
         weights -= change
         if np.abs(change).max() < 1e-6:
