@@ -122,7 +122,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     usable = docs.filter(training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").count().withColumnsRenamed({"lang": "__lang", "count": "__n"})
     share = F.least(F.lit(1.0), rows / F.col("__n")) * (1 << 20)
-    chosen = usable.join(sizes, usable.lang == sizes["__lang"]).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    # One row per language, far less than the model itself, which every task gets.
+    chosen = usable.join(F.broadcast(sizes), usable.lang == sizes["__lang"]).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     return chosen.select("lang", "text")
 
 
