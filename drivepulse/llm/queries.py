@@ -42,19 +42,23 @@ def op5(spark, sf):
 # Words, windows and hits of op8 in SQL.
 OP8_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP8 = f"""WITH dw AS (SELECT doc_id, {OP8_WORDS} AS w FROM documents),
-bw AS (SELECT item_id, {OP8_WORDS} AS w FROM benchmark),
-win AS (SELECT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+bw AS (SELECT row_number() OVER () AS b, item_id, {OP8_WORDS} AS w FROM benchmark),
+win AS (SELECT b, i AS j, item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
         FROM bw, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT k FROM win),
 spots AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
           FROM dw, sizes, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
-occ AS (SELECT doc_id, i, spots.k, item_id FROM spots JOIN win USING (s, k)),
+occ AS (SELECT doc_id, i, spots.k, item_id, b, j FROM spots JOIN win USING (s, k)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + k)) AS t(p) GROUP BY 1),
 found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
-          string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM occ GROUP BY 1)
+          string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM occ GROUP BY 1),
+chained AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, b, i - j ORDER BY i) AS chain FROM occ),
+matches AS (SELECT doc_id, min(i) AS start, max(i) - min(i) + max(k) AS n FROM chained GROUP BY doc_id, b, i - j, chain),
+longest AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, start) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)"""
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n, 0) AS BIGINT) AS longest, CAST(start - 1 AS BIGINT) AS longest_at
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)"""
 
 
 @query("op8_decontaminate", OP8)

@@ -125,13 +125,28 @@ def contamination_brute(docs, items, window=13):
                     found |= names
         found.discard(None)
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-        out.append((doc, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
+        best, where = 0, None
+        for _, text in items:
+            x = bench_words(text)
+            for i in range(len(w)):
+                for j in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    if n > best and n >= min(window, len(x)):
+                        best, where = n, i
+        # The first of equally long ones over all items.
+        if best:
+            runs = {tuple(x[j : j + best]) for _, text in items for x in [bench_words(text)] for j in range(len(x) - best + 1) if best >= min(window, len(x))}
+            where = next(i for i in range(len(w)) if tuple(w[i : i + best]) in runs)
+        out.append((doc, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w), best, where))
     return out
 
 
-@pytest.mark.parametrize("block, piece", [(1 << 20, 1 << 19), (300, 100)])
-def test_decontamination(spark, monkeypatch, block, piece):
+@pytest.mark.parametrize("block, turn, piece", [(1 << 20, 1 << 26, 1 << 19), (300, 1 << 26, 100), (300, 600, 100)])
+def test_decontamination(spark, monkeypatch, block, turn, piece):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "ROUND_WORDS", turn)
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
     rnd = random.Random(5)
     rows = corpus()
@@ -162,7 +177,7 @@ def test_items_without_id_are_searched(spark, monkeypatch, block):
     assert got == {0: (n[secret], [], True), 1: (n[secret] + n[named], [0], True), 2: (n[named], [0], True), 3: (n[odd], [], True), 4: (0, [], False)}
     # Hits as the brute force sees all items; names and counts as it sees those with an id.
     hits, names = (contamination_brute(rows, x) for x in (items, [i for i in items if i[0] is not None]))
-    want = [(*h[:3], *k[3:5], h[5]) for h, k in zip(hits, names, strict=True)]
+    want = [(*h[:3], *k[3:5], *h[5:]) for h, k in zip(hits, names, strict=True)]
     assert bag(decontaminate.report(frame(spark, rows), bench).collect()) == bag(want)
     assert [r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()] == [4]
     found = {(r.item_id, r.doc_id, r.n_words) for r in decontaminate.longest_matches(frame(spark, rows), bench).collect() if not r.place}
@@ -179,6 +194,21 @@ def test_longest_matches(spark):
     assert got == {i: (n - i, 4, 1 + i) for i in range(n - 12)}
 
 
+def test_long_items_in_bounded_memory(spark):
+    """An item of 20,000 words that a document repeats, and one word over and over in both."""
+    rnd = random.Random(31)
+    text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(20_000))
+    same = "la " * 600
+    docs = frame(spark, [(i, t, *[None] * 5) for i, t in enumerate([f"x y {text}", text[200:] + " z", f"x {same}", "x " * 3])])
+    bench = spark.createDataFrame([(1, text), (2, "la " * 400)], "item_id bigint, text string")
+    words = [len(bench_words(t)) for t in (text, text[200:])]
+    got = {r.doc_id: (r.n_hit, r.items, r.longest, r.longest_at) for r in decontaminate.occurrences(docs, bench).collect()}
+    cut = text[199] != " "
+    assert got == {0: (words[0], [1], words[0], 2), 1: (words[1] - cut, [1], words[1] - cut, int(cut)), 2: (600, [2], 400, 1), 3: (0, [], 0, None)}
+    found = {r.place: r for r in decontaminate.longest_matches(docs, bench).filter("item_id = 1 AND place < 100").collect()}
+    assert (found[0].n_words, found[0].doc_id, found[0].at) == (words[0], 0, 2) and len(found) == 100
+
+
 def test_suffix_array():
     rnd = np.random.default_rng(3)
     words = rnd.integers(1, 4, 300).astype(np.uint64)
