@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,8 @@ from drivepulse.session import shared_dir
 
 # Buckets of keys that a ring is kept in.
 RING_BUCKETS = 64
+# States that open chunks are dealt to.
+CHUNK_SHARDS = 256
 
 
 def file_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: int | None = None) -> DataFrame:
@@ -94,10 +97,12 @@ def assemble_live(
 ) -> DataFrame:
     """Emit a chunk as soon as all of its samples have arrived, in any order.
 
-    ``recording`` lists (column, type). The sample's position tells its chunk, so
-    state is keyed by (recording, chunk): a busy recording spreads over many keys
-    and no key holds more than one chunk. A repeated sample counts once.
+    ``recording`` lists (column, type). The sample's position tells its chunk. A repeated sample counts once.
 
+    Without ``ts`` the open chunks are dealt by a hash of (recording, chunk) to ``CHUNK_SHARDS`` states, so a
+    busy recording spreads over all of them; a batch assembles a shard's chunks together, as tables.
+
+    With ``ts`` state is keyed by (recording, chunk), and no key holds more than one chunk.
     With the event time ``ts`` state is bounded: once the watermark (``delay`` behind the newest sample)
     has passed a chunk's newest sample, its state goes. A finished chunk's mark just ends; an unfinished
     one comes out with ``finished`` false, a null ``x`` and the ``n_rows`` that had arrived, so that none
@@ -116,6 +121,8 @@ def assemble_live(
     )
     key_types = ", ".join(f"{n} {t}" for n, t in recording)
     columns = [*names, "chunk_id", "x", *(["n_rows", "finished"] if ts else [])]
+    if not ts:
+        return _assemble_shards(keyed, recording, chunk_size)
 
     def row(key, x, n: int) -> pd.DataFrame:
         return pd.DataFrame([[*key, x, n, x is not None][: len(columns)]], columns=columns)
@@ -156,6 +163,41 @@ def assemble_live(
     )
 
 
+def _assemble_shards(keyed: DataFrame, recording: Sequence[tuple[str, str]], chunk_size: int) -> DataFrame:
+    """Finished chunks of samples ``recording, chunk_id, pos, v``; a state holds a shard's open samples and the marks of its chunks."""
+    names = [n for n, _ in recording]
+    # Columns of a recording travel as text, which keeps nulls beside long numbers exact.
+    texts = [f"r{i}" for i in range(len(names))]
+    key, sample = [*texts, "chunk_id"], [*texts, "chunk_id", "pos"]
+    dealt = keyed.filter("chunk_id IS NOT NULL").select(
+        F.pmod(F.xxhash64(*names, "chunk_id"), F.lit(CHUNK_SHARDS)).cast("int").alias("shard"),
+        *[F.col(n).cast("string").alias(t) for n, t in zip(names, texts, strict=True)], "chunk_id", "pos", "v")
+    shape = pd.DataFrame({**dict.fromkeys(texts, pd.Series(dtype=object)), "chunk_id": pd.Series(dtype="int32"), "pos": pd.Series(dtype="int32"), "v": pd.Series(dtype="float64")})
+
+    def collect(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, done = pickle.loads(state.get[0]) if state.exists else (shape, shape[key])
+        # What is held comes first, so a repeated sample changes nothing.
+        rows = pd.concat([held, *(b[[*sample, "v"]] for b in batches)], ignore_index=True).drop_duplicates(sample, ignore_index=True)
+        rows[texts] = rows[texts].astype(object)
+        # Chunks that are done come first and have no samples left.
+        group = pd.concat([done, rows[key]], ignore_index=True).groupby(key, dropna=False, sort=False).ngroup().to_numpy()
+        group = group[len(done) :]
+        open_ = group >= len(done)
+        rows, group = rows[open_], group[open_] - len(done)
+        full = np.bincount(group, minlength=1)[group] == chunk_size
+        whole = rows[full].iloc[np.lexsort((rows["pos"].to_numpy()[full], group[full]))]
+        firsts = whole[key].iloc[::chunk_size]
+        state.update((pickle.dumps((rows[~full], pd.concat([done, firsts], ignore_index=True)), pickle.HIGHEST_PROTOCOL),))
+        values = whole["v"].to_numpy().reshape(-1, chunk_size)
+        x = [[None if np.isnan(v) else float(v) for v in chunk] for chunk in values]
+        if len(x):
+            yield firsts.assign(x=x)
+
+    out = dealt.groupBy("shard").applyInPandasWithState(
+        collect, ", ".join(f"{t} string" for t in texts) + ", chunk_id int, x array<double>", "held binary", "append", GroupStateTimeout.NoTimeout)
+    return out.select(*[F.col(t).cast(kind).alias(n) for t, (n, kind) in zip(texts, recording, strict=True)], "chunk_id", "x")
+
+
 def score_stream(chunks: DataFrame, coefficients: DataFrame, *, slot: str = "sensor", column: str = "features") -> DataFrame:
     """Stateless scoring of arriving chunks against a fixed coefficient table."""
     return models.verdicts(models.linear_probabilities(chunks, coefficients, slot=slot, column=column), slot=slot)
