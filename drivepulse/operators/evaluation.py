@@ -20,8 +20,8 @@ REPLICATE_STEP = 1_000
 # Profiles that travel to every task (24 bytes each), and words that a step draws (so few that its arrays stay in the cache).
 POOL_PROFILES = 1_000_000
 DRAW_STEP = 1 << 14
-# Places up to which a task keeps a table of them (16 bytes each).
-TABLE_PLACES = 1 << 21
+# Entries of a table by leading bits of a word (8 bytes each; none: draws are searched for), and the mark of entries that profiles share.
+TABLE_PLACES, SHARED = 1 << 20, 1 << 62
 
 TRUE, PRED = "true_label", "predicted_label"
 
@@ -224,9 +224,13 @@ def session_profiles(counts: DataFrame) -> DataFrame:
 
 def _mix32(word: np.ndarray) -> np.ndarray:
     """The mixing of :func:`drivepulse.functions.scalars.with_mix32` on arrays; products wrap at 32 bits."""
-    for _ in range(2):
-        word = (word >> np.uint32(16) ^ word) * np.uint32(0x45D9F3B)
-    return word >> np.uint32(16) ^ word
+    high = word >> np.uint32(16)
+    word = word ^ high
+    word *= np.uint32(0x45D9F3B)
+    word ^= np.right_shift(word, np.uint32(16), out=high)
+    word *= np.uint32(0x45D9F3B)
+    word ^= np.right_shift(word, np.uint32(16), out=high)
+    return word
 
 
 class _Pool:
@@ -236,7 +240,7 @@ class _Pool:
         rows = sorted((r["d"], r["n"], r["sessions"]) for r in rows)
         self.d, self.n, sessions = (np.array(c, "int64") for c in zip(*rows, strict=True))
         self.upto, self.seed = np.cumsum(sessions), seed
-        self.total, self._tables, self._runs = int(self.upto[-1]), None, None
+        self.total, self._table, self._runs = int(self.upto[-1]), None, None
 
     def words(self, reps: np.ndarray, low: int, high: int) -> np.ndarray:
         """A word for every replicate and each number from ``low`` to ``high``."""
@@ -247,22 +251,37 @@ class _Pool:
         """Sums of d and of n over as many draws with replacement as there are sessions."""
         over, under = np.zeros(len(reps), "int64"), np.zeros(len(reps), "int64")
         for low in range(0, self.total, DRAW_STEP):
-            words = self.words(reps, low, min(low + DRAW_STEP, self.total)).astype("uint64")
-            places = (words * np.uint64(self.total) >> np.uint64(32)).astype("int64")
-            d, n = self._at(places)
-            over += d.sum(axis=1)
-            under += n.sum(axis=1)
+            d, n = self._drawn(self.words(reps, low, min(low + DRAW_STEP, self.total)))
+            over += d
+            under += n
         return over, under
 
-    def _at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """d and n at places: from tables of all places while these are short, else by search."""
-        if self.total > TABLE_PLACES:
-            met = np.searchsorted(self.upto, places, "right")
-            return self.d[met], self.n[met]
-        if self._tables is None:
-            size = np.diff(self.upto, prepend=0)
-            self._tables = np.repeat(self.d, size), np.repeat(self.n, size)
-        return self._tables[0][places], self._tables[1][places]
+    def _drawn(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of d and n of each row of words, whose places are ``words * total >> 32``.
+
+        Places rise with words, so a profile is a span of words. A table by the leading bits of a word holds
+        its profile; only words of entries that two profiles share are searched for.
+        """
+        if self._table is None:
+            ends = -(-(self.upto.astype(object) << 32) // self.total)
+            self._ends = np.array(ends, "uint64")
+            # Some 64 entries for each profile, while so many are allowed, leave few of them shared.
+            bits = min(max(12, 6 + len(self.d).bit_length()), max(1, TABLE_PLACES).bit_length() - 1)
+            begin = np.arange(1 << bits, dtype="uint64") << np.uint64(32 - bits)
+            first, last = (np.searchsorted(self._ends, w, "right") for w in (begin, begin + np.uint64((1 << (32 - bits)) - 1)))
+            # d and n of a profile in one number where sums of both fit it.
+            self._packed = int(max(np.abs(self.d).max(), np.abs(self.n).max())) < 1 << 15 and int(self.n.min()) >= 0
+            values = self.d * (1 << 32) + self.n if self._packed else np.arange(len(self.d))
+            self._shift, self._values, self._table = np.uint64(32 - bits), values, np.where(first == last, values[first], SHARED)
+        drawn = words.ravel()
+        found = self._table.take(drawn >> np.uint32(self._shift)) if self._shift < 32 else np.full(drawn.shape, SHARED)
+        several = np.flatnonzero(found == SHARED)
+        found[several] = self._values[np.searchsorted(self._ends, drawn[several].astype("uint64"), "right")]
+        found = found.reshape(words.shape)
+        if not self._packed:
+            return self.d[found].sum(axis=1), self.n[found].sum(axis=1)
+        sums = found.sum(axis=1)
+        return sums >> 32, sums & 0xFFFFFFFF
 
     def flipped(self, reps: np.ndarray) -> np.ndarray:
         """Sum of d with a sign for every session: a session's place is a bit, and counts of bits give the sums of signs."""
@@ -315,7 +334,7 @@ def bootstrap_draws(counts: DataFrame, replicates: int = REPLICATES, seed: int =
     """Replicate deltas by hashed draws with replacement.
 
     Sessions with equal (d, n) are interchangeable: in order of (d, n) each profile takes a span of
-    places, and a draw is one place, found by binary search in the cumulated profiles. The profiles
+    places, and a draw is one place, found by the leading bits of its word. The profiles
     travel to all tasks while there are at most ``POOL_PROFILES`` of them and fewer than 2^31 sessions;
     beyond that :func:`bootstrap_multinomial` draws the same distribution from blocks of profiles.
     """
