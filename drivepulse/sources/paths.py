@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drivepulse.functions.domains import CLASSES, RECORDING_SUFFIX, SENSORS, VEHICLES
 from drivepulse.functions.scalars import let
+from drivepulse.session import materialise
 
 
 def plain_path(path: Column) -> Column:
@@ -187,6 +188,8 @@ def spectrogram_index(listing: DataFrame, *, sensors: Sequence[str] = SENSORS) -
         ),
     )
     files = listing.select("path", F.explode_outer(F.array(record)).alias("r")).select("path", "r.*")
+    # Listed and taken apart once; folders, names and labels below are read from it.
+    files = materialise(files, "files")
     images = files.filter(F.col("kind") == "png")
     by_folder = images.groupBy("day", "channel").agg(F.min("path").alias("_spare"))
     lead = by_folder.groupBy("day").agg(
