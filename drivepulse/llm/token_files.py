@@ -213,12 +213,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, buckets:
 def segments(spark, path: str) -> DataFrame:
     """The segments with ``start``, the number of tokens before each.
 
-    Only one total per bucket is put in order, not the segments.
+    Only one total per bucket is put in order, not the segments; these totals, as many as the files have
+    buckets, go to the segments, so no payload is shuffled.
     """
     files = spark.read.schema(SEGMENTS).parquet(path)
     totals = files.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     base = totals.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
-    return files.join(base, "bucket").withColumn("start", F.col("base") + F.col("first")).drop("base")
+    return files.join(F.broadcast(base), "bucket").withColumn("start", F.col("base") + F.col("first")).drop("base")
 
 
 def tokens_at(spark, path: str, positions: DataFrame) -> DataFrame:
