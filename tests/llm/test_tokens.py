@@ -106,3 +106,16 @@ def test_long_text_is_read_in_runs():
     tool = byte_bpe.codec(RANKS, P.PATTERN)
     text = "an other word, " * 200_000
     assert np.frombuffer(tool.encode(text), "<u4").tolist() == ENCODING.encode_ordinary(text)
+
+
+def test_payloads_are_read_back_without_a_shuffle(spark, tmp_path):
+    path = str(tmp_path / "t")
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(20)], "doc_id long, text string")
+    token_files.write(docs, path, P.path("word_bpe_49k.json"), buckets=3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = token_files.segments(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

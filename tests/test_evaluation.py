@@ -174,3 +174,14 @@ def test_design_effect_without_correlation(spark):
     rows = [(41.0, float(r.sum()), float((r * r).sum())) for r in x]
     out = ev.design_effect(spark.createDataFrame(rows, "n double, s double, ss double")).first()
     assert abs(out["icc"]) < 0.01 and out["mean_size"] == 41
+
+
+def test_the_table_of_draws_does_not_grow_with_the_sessions():
+    pool = ev._Pool([{"d": d, "n": n, "sessions": 70_001 + 13 * d + n} for d in range(-3, 4) for n in range(1, 7)], 5)
+    reps = np.arange(2)
+    over, under = pool.drawn(reps)
+    assert pool.total > 1 << 21 and len(pool._table) <= 1 << 16
+    for i in reps:
+        words = np.concatenate([pool.words(reps[i : i + 1], low, min(low + (1 << 18), pool.total))[0] for low in range(0, pool.total, 1 << 18)])
+        met = np.searchsorted(pool.upto, words.astype("uint64") * np.uint64(pool.total) >> np.uint64(32), "right")
+        assert over[i] == pool.d[met].sum() and under[i] == pool.n[met].sum()

@@ -360,3 +360,18 @@ def test_alerts_are_emitted_once(spark, tmp_path):
     r.write.mode("append").parquet(str(tmp_path / "in"))
     arriving = streams.table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
     assert streams.append_to(streams.alert_stream(arriving), "t-alerts").count() == 2
+
+
+def test_chunks_of_a_shard_are_assembled_together(spark, tmp_path, monkeypatch):
+    """Three states hold all chunks; long numbers stand beside a null, and a sample repeated after its chunk ended changes nothing."""
+    monkeypatch.setattr(streams, "CHUNK_SHARDS", 3)
+    units = [2**53 + 1, 2**53, None, 4]
+    rows = [(u, p, None if p == 3 else float(p)) for u in units for p in range(22)]
+    halves = [rows[::2], rows[1::2], [(2**53 + 1, 0, 99.0), (4, 21, 99.0)]]
+    for i, part in enumerate(halves):
+        spark.createDataFrame(part, "u long, place long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = streams.table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    live = streams.assemble_live(arriving, recording=[("u", "long")], place="place", value="v", chunk_size=10)
+    out = [(r["u"], r["chunk_id"], r["x"]) for r in streams.append_to(live, "t-shards").collect()]
+    assert len(out) == 8 and {(u, c) for u, c, _ in out} == {(u, c) for u in units for c in (0, 1)}
+    assert all(len(x) == 10 and x[1:] == [None if p == 3 else float(p) for p in range(c * 10 + 1, c * 10 + 10)] for _, c, x in out)

@@ -314,3 +314,10 @@ def test_ingested_table_opens_only_the_buckets_of_the_groups(spark, tmp_path):
     assert chunks.count() == 10
     found = skipped.collect()
     assert len(found) == 1 and "zsplit000" in found[0]["path"] and found[0]["reason"] == "30 rows are no multiple of 20"
+
+
+def test_a_listing_is_taken_apart_once(spark):
+    files = [f"/img/IONIQ/NORMAL/0101/{c}/r1_{c}.png" for c in ("Current_U", "Vib_TM")] + ["/lbl/IONIQ/NORMAL/0101/Current_U/r1_Current_U.json"]
+    out = paths.spectrogram_index(spark.createDataFrame([(f,) for f in files], "path string"))
+    assert "regexp_extract" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 1
