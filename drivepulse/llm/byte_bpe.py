@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.llm.common import PieceCache, slices, texts_of
+from drivepulse.session import bounded_batches
 
 # Matches that are looked up at once, encoded matches that a process keeps, and bytes of text per batch of results.
 RUN = 200_000
@@ -134,6 +135,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
 
     ``path`` is a rank file present on every worker.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id bigint, ids binary" + (", decoded binary" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from drivepulse.llm.common import slices, span_hashes, texts_of, utf8_parts, words_of
-from drivepulse.session import materialise
+from drivepulse.session import bounded_batches, materialise
 
 WINDOW = 13
 # A document is contaminated when at least one in so many of its words is hit.
@@ -351,6 +351,7 @@ FOUND = "__n_words bigint, __runs array<struct<start:bigint,end:bigint>>, __item
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows with all columns and ``__n_words, __n_hit, __runs, __items, __longest, __longest_at``: hit words as
     runs of word positions, the items whose windows occur, and words and place of the longest verbatim match."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     at = docs.columns.index("text")
     names = docs.columns + [c.split()[0] for c in FOUND.split(", ")]

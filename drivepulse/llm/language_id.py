@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.llm.common import mix, run_sums, slices, texts_of, training_row
+from drivepulse.session import bounded_batches
 
 SAMPLE_ROWS = 2_000
 SLOTS = 1 << 18
@@ -129,6 +130,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, slots: int = SLOTS) -> Model:
     """Naive Bayes weights from the sample; the driver receives at most ``slots`` rows per language."""
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -256,6 +258,7 @@ def judge(texts: list[str | None], model: Model, penalty: float = PENALTY, spans
 
 def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = True) -> DataFrame:
     """Rows ``doc_id, lang_pred, score`` and, on request, ``spans`` (in code points) of every whole text."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id bigint, lang_pred string, score double" + (", spans array<struct<lang:string,start:int,end:int,letters:int>>" if spans else "")
     names = ["doc_id", "lang_pred", "score", "spans"][: 4 if spans else 3]
@@ -273,6 +276,7 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool =
 
 def keep_languages(docs: DataFrame, model: Model) -> DataFrame:
     """The rows, with all columns, whose text has a language, however many others share it."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drivepulse.llm.common import slices, texts_of
+from drivepulse.session import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -323,6 +324,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
 
     Overlapping spans are replaced by one mark. A null text stays null.
     """
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
 

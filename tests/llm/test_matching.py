@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,47 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.report(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_prefixes_are_sent_in_bounded_parts(monkeypatch):
+    """What a task holds does not grow with its documents, and every token and set is sent."""
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, 100)) for i in range(60)] + [(60, prose(rnd, 3000)), (61, ""), (61, "one")]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+    rule = ngram_join.Rule()
+    longest = max(rule.missing(n) + int(rule.extension(n)) for n in (len(s) for s in ngram_join.token_sets(batch.column(1), rule)))
+    whole = list(ngram_join.prefixes(iter([batch]), rule))
+    monkeypatch.setattr(ngram_join, "SENT_TOKENS", 300)
+    parts = list(ngram_join.prefixes(iter([batch, batch.slice(0, 0)]), rule))
+    pairs = lambda found: [b for b in found if b.num_rows and b.column(2).null_count or not (b.column(3).to_numpy() <= 0).all()]
+    assert len(pairs(whole)) == 1 and len(pairs(parts)) > 5
+    assert all(b.num_rows <= max(300, longest) * 2 for b in parts)
+    sets = lambda found: sorted(tuple(r.values()) for b in found for r in b.to_pylist() if r["n"] <= 0)
+    assert sets(parts) == sets(whole) and len(sets(parts)) == len(rows)
+    # A pair that is alone or shared: its key is the part where no other is named.
+    tokens = lambda found: {(r["part"] if r["key"] is None else r["key"], r["doc"]) for b in found for r in b.to_pylist() if r["n"] > 0 and r["doc"] is not None}
+    assert tokens(parts) == tokens(whole)
+
+
+def test_ngram_join_in_small_parts(spark, monkeypatch):
+    rows = corpus(9, 50)
+    want = bag(links_brute(rows))
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text").coalesce(1)
+    small = docs.mapInArrow(lambda batches: ngram_join.prefixes(batches, ngram_join.Rule()), ngram_join.KEYED)
+    assert small.count()
+    monkeypatch.setattr(ngram_join, "profile", _profile_in_parts)
+    assert bag(ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
+def _profile_in_parts(docs, rule):
+    def run(batches):
+        ngram_join.SENT_TOKENS = 200
+        try:
+            yield from ngram_join.prefixes(batches, rule)
+        finally:
+            ngram_join.SENT_TOKENS = 1 << 19
+
+    return ngram_join.shared_pairs(ngram_join.texts_of(docs).filter("doc_id IS NOT NULL").mapInArrow(run, ngram_join.KEYED))
+
+
 def test_no_pair_is_lost_by_keys():
     rnd = np.random.default_rng(2)
     rule = ngram_join.Rule()
