@@ -309,6 +309,35 @@ def _profile_in_parts(docs, rule):
     return ngram_join.shared_pairs(ngram_join.texts_of(docs).filter("doc_id IS NOT NULL").mapInArrow(run, ngram_join.KEYED))
 
 
+def test_packed_pairs_are_those_of_the_rows(spark, monkeypatch):
+    """Few rows go through the shuffle, a task holds a bounded number of pairs, and the pairs are the same."""
+    from drivepulse.llm import common
+
+    rng = np.random.default_rng(4)
+    for docs in (np.arange(300), rng.integers(-(2**62), 2**62, 300)):
+        sent = [common.keyed_rows(rng.integers(-900, 900, 400), rng.choice(docs, 400)) for _ in range(6)]
+        rows = pa.Table.from_batches(sent)
+        plain = spark.createDataFrame([tuple(r.values()) for r in rows.to_pylist()], common.KEYED)
+        want = bag(common.shared_pairs(plain).collect())
+        packed = list(common.packed_parts(iter(sent)))
+        assert sum(b.num_rows for b in packed) < rows.num_rows and all(b.num_rows <= common.PARTS for b in packed)
+        found = spark.createDataFrame([tuple(r.values()) for r in pa.Table.from_batches(packed).to_pylist()], common.PACKED)
+        assert bag(common.shared_packed(found).collect()) == want
+        small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        monkeypatch.setattr(common, "HELD_PAIRS", 50)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            assert bag(common.shared_packed(found).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+
+
+def test_profile_shuffles_packed_rows(spark):
+    docs = spark.createDataFrame(corpus(9, 50), DOCS).select("doc_id", "text")
+    plan = ngram_join.profile(docs, ngram_join.Rule())._jdf.queryExecution().executedPlan().toString()
+    assert "keys#" in plan and "Sort [part#" in plan
+
+
 def test_no_pair_is_lost_by_keys():
     rnd = np.random.default_rng(2)
     rule = ngram_join.Rule()
